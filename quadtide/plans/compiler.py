@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..errors import UnsupportedError
 from ..functions.expressions import Compiler, Value, effective_truth, number_value, text_value
-from ..model import INTEGER, IRI, ntriples, number_text
+from ..model import DECIMAL, INTEGER, IRI, ntriples, number_text
 from ..workspace import discard, materialize
 from .ast import (
     Aggregate, Alternative, Ask, Bind, Call, Const, Construct, Describe, Exists, Filter, Graph, Group, Inverse, Item, Link, Minus,
@@ -525,7 +525,8 @@ class Plan:
         for row in v.rows:
             flat: list = []
             for c in row:
-                flat += [None, None, None] if c is None else [number_lex(c), c.kind, c.num]
+                # stored numbers are decimals, so a whole number meets them as one
+                flat += [None, None, None] if c is None else [number_lex(c), c.kind if c.num is None else DECIMAL, c.num]
             rows.append(tuple(flat))
         df = self.spark.createDataFrame(rows, ", ".join(fields))
         return Rel(df, {n: Info(all(r[k] is not None for r in v.rows), False) for k, n in enumerate(v.names)}, ())
