@@ -438,21 +438,21 @@ class Plan:
         return nodes.select(*keys, *(F.col(a).alias(f"{e}{b}") for e in "so" for a, b in (("x", ""), ("k", "_kind"), ("n", "_num"))))
 
     def closure(self, step: DataFrame, keys: list[str], start: Const | None) -> DataFrame:
-        """Transitive closure by rounds: only pairs that are new go on. A constant start bounds it to
-        what can be reached from there. Each round is a written table; cycles end it, as nothing is new."""
+        """Transitive closure by rounds: only pairs that are new go on, and meet all known ones, so the
+        reached distance doubles with each round. A constant start bounds it to what can be reached from
+        there, step by step. Each round is a written table; cycles end it, as nothing is new."""
         step = materialize(step, "path-step")
         first = step if start is None else step.where((F.col("s") == start.lex) & (F.col("s_kind") == start.kind))
         known = fresh = materialize(first, "path-0")
-        on, turn, old = [*keys, "s", "s_kind", "o", "o_kind"], 0, []
+        on, turn = [*keys, "s", "s_kind", "o", "o_kind"], 0
         while True:
             turn += 1
-            ahead = self.chained(fresh, step, keys).dropDuplicates(on).join(known.select(*on), on, "left_anti")
+            ahead = self.chained(fresh, known if start is None else step, keys).dropDuplicates(on).join(known.select(*on), on, "left_anti")
             ahead = materialize(ahead.select(*known.columns), f"path-{turn}")
             if not ahead.limit(1).count():
                 discard(ahead)
                 return known
             known, fresh = known.unionByName(ahead), ahead
-            old.append(ahead)
 
     # -- groups
     def group(self, g: Group, data: Dataset | None = None, graph=None) -> Rel:
