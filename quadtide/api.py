@@ -18,6 +18,7 @@ from .plans.hybrid import HybridEvaluation
 from .plans.parser import parse_hybrid
 from .sources.log import QuadLog
 from .streaming.live import LiveQuery
+from .workspace import materialize
 
 
 class Status(Enum):
@@ -213,16 +214,16 @@ class Engine:
                         return
                     self._historical(meta.query_id, run, h, w)
             if meta.parsed.live_windows and not run.stop.is_set():
-                static = self.static
-                if warms:
-                    base = h.baseline()
-                    if base is not None:
-                        from .workspace import materialize
-
-                        base = materialize(base, "baseline")
-                        static = base if static is None else static.unionByName(base.select(*static.columns))
+                base = None
+                if warms and not self.async_baseline:
+                    base = self._baseline(h)
+                static = self.static if base is None else self._with(base)
                 run.live = LiveQuery(meta.parsed, {u: make() for u, make in self.streams.items() if u in {w.stream for w in meta.parsed.live_windows}}, static, on_result=lambda out: self._live(meta.query_id, run, out), **self.live_options)
                 run.live.start()
+                if warms and self.async_baseline:  # live windows that fire before see no baseline
+                    base = self._baseline(h)
+                    if base is not None:
+                        run.live.static = self._with(base)
                 self.registry.set_status(meta.query_id, Status.RUNNING, (Status.WARMING_BASELINE, Status.RUNNING))
                 run.live.await_end()
             self.registry.set_status(meta.query_id, Status.COMPLETED, (Status.RUNNING, Status.WARMING_BASELINE))
@@ -233,6 +234,13 @@ class Engine:
         finally:
             run.handle.done.set()
 
+    def _baseline(self, h: HybridEvaluation) -> DataFrame | None:
+        base = h.baseline()
+        return None if base is None else materialize(base, "baseline")
+
+    def _with(self, base: DataFrame) -> DataFrame:
+        return base if self.static is None else self.static.unionByName(base.select(*self.static.columns))
+
     def _historical(self, query_id: str, run: _Run, h: HybridEvaluation, w) -> None:
         """One result for each window, also for windows without solutions; large ones in parts."""
         out = h.historical(w.name, "ntriples")

@@ -48,7 +48,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    return with_ms(table(spark, sf_dir, "events"))
+
+
+def with_ms(e: DataFrame) -> DataFrame:
     # times without a zone are UTC, whatever the session's zone
     ms = F.timestamp_diff("MILLISECOND", F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'"), F.col("ts").cast("timestamp_ntz"))
     return e.select(ms.cast("long").alias("ts_ms"), "event_id", "user_id", "event_type", "value")
@@ -59,8 +62,17 @@ def _iri(kind: str, key: str) -> Column:
 
 
 def event_table(spark: SparkSession, sf_dir: str) -> Wide:
-    e = events(spark, sf_dir).select("ts_ms", _iri("event", "event_id").alias("event"), _iri("user", "user_id").alias("user"), F.col("event_type").alias("type"), F.col("value").alias("number"))
-    return Wide(e, "event", {f"{EX}user": ("user", IRI, None), f"{EX}type": ("type", STRING, None), f"{EX}value": ("number", DECIMAL, "number")}, f"{EX}events")
+    return as_wide(events(spark, sf_dir))
+
+
+def as_wide(e: DataFrame) -> Wide:
+    wide = e.select("ts_ms", _iri("event", "event_id").alias("event"), _iri("user", "user_id").alias("user"), F.col("event_type").alias("type"), F.col("value").alias("number"))
+    return Wide(wide, "event", {f"{EX}user": ("user", IRI, None), f"{EX}type": ("type", STRING, None), f"{EX}value": ("number", DECIMAL, "number")}, f"{EX}events")
+
+
+def as_quads(raw: DataFrame) -> DataFrame:
+    """Rows of events, also streaming ones, as quads."""
+    return as_wide(with_ms(raw)).quads()
 
 
 def event_quads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -504,4 +516,22 @@ def dictionary_roundtrip(spark, sf_dir):
     return dictionary.decode(dictionary.encode(q, terms), terms).select("ts_ms", "s", "o")
 
 
+@register("live_streaming_equals_batch", f"""WITH {EV}, {LIVE(2 * DAY, DAY)} SELECT ws, we, u, round(avg(value), 6) AS m, count(*) AS n FROM (SELECT DISTINCT ws, we, e, u, value FROM w WHERE we <= (SELECT max(ts_ms) FROM ev)) GROUP BY ws, we, u""")
+def live_streaming_equals_batch(spark, sf_dir):
+    """The same live query run by Structured Streaming over the table's files, until they are used up:
+    windows that the watermark has passed."""
+    from .streaming.live import LiveQuery
+    from .workspace import scratch
+
+    raw = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)  # a stream's path is a folder
+    at = scratch(spark, "streamed")
+    text = PREFIX + f"REGISTER RStream ex:o AS SELECT ?u (AVG(?v) AS ?m) (COUNT(?e) AS ?n) FROM NAMED WINDOW ex:w ON STREAM ex:events [RANGE {2 * DAY} STEP {DAY}] WHERE {{ WINDOW ex:w {{ ?e ex:user ?u ; ex:value ?v }} }} GROUP BY ?u"
+    spark.createDataFrame([], "ws long, we long, u string, u__k tinyint, m string, m__k tinyint, m__n double, n string, n__k tinyint, n__n double").write.parquet(at)
+    columns = ["ws", "we", "u", "m__n", "n__n"]
+    run = LiveQuery(text, {f"{EX}events": as_quads(raw)}, style="full", on_result=lambda out: out.select(*columns).write.mode("append").parquet(at))
+    run.start().await_end()
+    out = spark.read.schema("ws long, we long, u string, m__n double, n__n double").parquet(at)
+    return out.select("ws", "we", "u", rounded(F.col("m__n")).alias("m"), F.col("n__n").cast("long").alias("n"))
+
+
 __all__ = ["ORACLES", "QUERIES"]
