@@ -93,22 +93,22 @@ def sliding_dataset(quads: DataFrame | Wide, spec: WindowSpec, now_ms: int, uniq
 
 
 def live_dataset(quads: DataFrame | Wide, spec: WindowSpec, **options) -> Dataset:
-    """One live window by itself: keys ws, we and last_ms, the time of the last quad of the window."""
+    """One live window by itself: keys ws and we; stamps have the time of each window's last quad."""
     if isinstance(quads, Wide):
         assigned = assign_live(quads.df, spec.width, spec.slide)
-        last = assigned.groupBy("ws").agg(F.max("ts_ms").alias("last_ms"))
-        return _wide_dataset(quads, assigned.join(last, "ws"), ("ws", "we", "last_ms"), **options)
-    assigned = assign_live(quads, spec.width, spec.slide)
-    last = assigned.groupBy("ws").agg(F.max("ts_ms").alias("last_ms"))
-    keyed = as_set(assigned, "ws", "we").join(last, "ws")
-    return Dataset(keyed.select("ws", "we", "last_ms", *TERMS), ("ws", "we", "last_ms"), **options)
+        data = _wide_dataset(quads, assigned, ("ws", "we"), **options)
+    else:
+        assigned = assign_live(quads, spec.width, spec.slide)
+        data = Dataset(as_set(assigned, "ws", "we"), ("ws", "we"), **options)
+    data.stamps = assigned.groupBy("ws", "we").agg(F.max("ts_ms").alias("last_ms"))
+    return data
 
 
 def joined_live_datasets(streams: list[tuple[WindowSpec, DataFrame]], **options) -> dict[str, Dataset]:
     """Several live windows: whenever one of them closes, at t, it meets what the others hold at t.
 
-    Keys: by (which window fired), ws, we = t and last_ms (the last quad's time of the one that
-    fired). Of another window's instances that are open at t, the one that opened first is taken.
+    Keys: by (which window fired), ws and we = t; stamps have the last quad's time of the one that
+    fired. Of another window's instances that are open at t, the one that opened first is taken.
     """
     streams = [(w, q.quads() if isinstance(q, Wide) else q) for w, q in streams]
     assigned = {w.name: assign_live(q, w.width, w.slide) for w, q in streams}
@@ -124,5 +124,5 @@ def joined_live_datasets(streams: list[tuple[WindowSpec, DataFrame]], **options)
         content = assigned[w.name].select(F.col("ws").alias("_ws"), "ts_ms", *TERMS)
         # the instance is still open: only what came before t is there
         met = held.join(content, "_ws").where((F.col("by") == k) | (F.col("ts_ms") < F.col("_t")))
-        out[w.name] = Dataset(as_set(met, "by", "ws", "we", "last_ms"), ("by", "ws", "we", "last_ms"), **options)
+        out[w.name] = Dataset(as_set(met, "by", "ws", "we"), ("by", "ws", "we"), stamps=firings, **options)
     return out

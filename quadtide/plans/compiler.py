@@ -55,7 +55,8 @@ class Dataset:
     """Quads (keys..., s, p, o, g, o_kind, o_num) that patterns match. functional: predicates that
     have at most one object for each subject, graph and key, so stars over them need no join.
     extra_graphs: graphs that count as the default graph too. static: quads without keys that every
-    key sees, in the default graph; small ones are broadcast by the engine's own size check."""
+    key sees, in the default graph; small ones are broadcast by the engine's own size check. stamps:
+    (keys..., last_ms), the time of each window's last quad, joined to results that need it."""
 
     quads: DataFrame
     keys: tuple[str, ...] = ()
@@ -63,6 +64,7 @@ class Dataset:
     extra_graphs: tuple[str, ...] = ()
     static: DataFrame | None = None
     wide: Wide | None = None
+    stamps: DataFrame | None = None
 
 
 @dataclass

@@ -151,6 +151,10 @@ class HybridEvaluation:
         return got
 
     def live_rel(self) -> Rel:
+        """The solutions with the windows' keys ws and we (and by, which window fired, if there are several)."""
+        return self._live()[0]
+
+    def _live(self) -> tuple[Rel, DataFrame]:
         if self.split.live is None:
             raise ExecutionError("the query has no live window")
         static = self.static
@@ -164,13 +168,13 @@ class HybridEvaluation:
     def live(self, style: str = "plain") -> DataFrame:
         """The solutions of every live window that has content: ws, we, ts (the last quad's time plus
         the window's width) and the variables; after the query's relation-to-stream operator."""
-        rel = self.live_rel()
-        out = stamped(presented(rel, style), self.query)
+        rel, stamps = self._live()
+        out = stamped(presented(rel, style).join(stamps, list(rel.keys)), self.query)
         return r2s.apply(self.query.operator, out, self.query.live_windows[0].slide)
 
 
-def live_plan(query: HybridQuery, q: Select, streams: dict[str, DataFrame], static: DataFrame | None, now_ms: int | None = None, functional: frozenset[str] = frozenset()) -> Rel:
-    """Evaluates the live query over the streams' quads. In a window, the default graph holds quads
+def live_plan(query: HybridQuery, q: Select, streams: dict[str, DataFrame], static: DataFrame | None, now_ms: int | None = None, functional: frozenset[str] = frozenset()) -> tuple[Rel, DataFrame]:
+    """Evaluates the live query over the streams' quads; the solutions and the windows' stamps. In a window, the default graph holds quads
     without a graph, those in the graph named like the stream, and the static quads."""
     specs = query.live_windows
     options = {"functional": functional}
@@ -188,7 +192,7 @@ def live_plan(query: HybridQuery, q: Select, streams: dict[str, DataFrame], stat
         for d in data.values():
             d.static = static
     where = Group([*[p for p in q.where.parts if not isinstance(p, Filter)], *[p for p in q.where.parts if isinstance(p, Filter)]])
-    return Plan(outer, data, now_ms).select(replace(q, where=where))
+    return Plan(outer, data, now_ms).select(replace(q, where=where)), data[specs[0].name].stamps
 
 
 def stamped(out: DataFrame, query: HybridQuery) -> DataFrame:

@@ -27,7 +27,8 @@ def compare_stream(stream: DataFrame, key: str, config: Config = Config()) -> Da
         for ts, a, b in zip(rows["ts"].astype(float), rows["live"].astype(float), rows["hist"].astype(float)):
             out += [(keys[0], ts, EVENTS.index(e) + 1, e, x, y) for e, x, y in c.update(ts, a, b)]
         state.update(([t for t, _ in c.live], [v for _, v in c.live], [v for _, v in c.hist]))
-        yield pd.DataFrame(out, columns=[key, "ts", "position", "event", "live_value", "hist_value"])
+        if out:
+            yield pd.DataFrame(out, columns=[key, "ts", "position", "event", "live_value", "hist_value"])
 
     kind = dict(stream.dtypes)[key]
     return stream.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {_OUT}", _STATE, "append", GroupStateTimeout.NoTimeout)

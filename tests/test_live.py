@@ -75,6 +75,7 @@ def test_errors(spark):
 
 def test_comparator_stream_equals_batch(spark, tmp_path):
     import json
+    import os
     import random
 
     from quadtide.operators.comparator import EVENTS, Comparator
@@ -84,6 +85,7 @@ def test_comparator_stream_equals_batch(spark, tmp_path):
     points = [(k, float(t), rng.gauss(10, 3), rng.gauss(10, 1)) for t in range(30) for k in ("x", "y")]
     for part in range(3):
         (tmp_path / f"{part}.json").write_text("\n".join(json.dumps(dict(zip(("k", "ts", "live", "hist"), p))) for p in points[part * 20:part * 20 + 20]))
+        os.utime(tmp_path / f"{part}.json", (1000 + part, 1000 + part))  # files are read oldest first
     stream = spark.readStream.schema("k string, ts double, live double, hist double").option("maxFilesPerTrigger", 1).json(str(tmp_path))
     q = compare_stream(stream, "k").writeStream.format("memory").queryName("compared").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
