@@ -6,16 +6,26 @@ hashes of all their bytes, so set sizes and overlaps are exact but for a collisi
 
 Tensored banding: 2 * M small collections of K minhashes each, A_1..A_M and B_1..B_M. Table (i, j)
 has the key (A_i, B_j), so M * M tables cost only 2 * M * K minhashes. A pair of similarity s meets
-in some table with probability (1 - (1 - s^K)^M)^2: 0.9994 at s = 0.8 with M = 8 and K = 2.
+in some table with probability (1 - (1 - s^K)^M)^2: 0.9996 at s = 0.8 and 0.99998 at s = 0.85 with
+M = 12 and K = 3; a pair at s = 0.2, as a shared passage makes it, with probability 0.008.
 
 1. Documents with equal sets are one class; a class goes on as its smallest doc_id.
-2. A collection's value that no other class has can't meet anything: what is left becomes table keys.
-3. Each bucket links its members to one member, picked by a hash so that tables pick different ones;
-   the pairs are confirmed on the full sets, and connected components are taken.
-4. Buckets that still hold several components give all pairs across components, but those whose
-   minhashes agree too seldom (a pair at the threshold fails that with probability below 1e-6);
-   confirmed pairs join the components. So no link that a table shows is lost, though a group of
-   copies never becomes all its pairs.
+2. A collection's value that no other class has can't meet anything; classes without a shared value
+   on either side are done.
+3. Each bucket of the M tables (i, i) links its members to one member, picked by a hash so that
+   tables pick different ones; the pairs are confirmed on the full sets, and connected components
+   are taken.
+4. The tables (i, 1) to (i, M) are the parts of the buckets of A_i, so a bucket of A_i that still
+   holds several components stands for them all: in it, pairs across components that share some B_j
+   too are looked at, in the first A_i that they share. Pairs whose minhashes agree too seldom don't
+   count (a pair at the threshold fails that with probability below 1e-6). The larger of a pair's two
+   components is its hub. For each hub, the shown members and outsiders are compared on the full
+   sets, in blocks of bounded size; an outsider that links with a block gives one link. So every pair
+   that a table shows is decided, but a group of copies never becomes all its pairs.
+
+Full sets are made again from the texts for the documents of asked pairs, picked out while reading
+by a Bloom filter of bounded size; a false positive there costs a set that nobody asks for. No text
+is shuffled.
 
 Defined cases: a null or wordless text has an empty set and links with nothing; rows that share a
 doc_id are one node, linked with whatever any of them is; a null doc_id links with nothing, its
@@ -33,7 +43,7 @@ from .blocks import blocked
 from .common import attach_group_min, materialize, prepare
 from .components import components
 
-M, K = 8, 2
+M, K = 12, 3
 HASHES = 2 * M * K
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(0, 2**64, 256, dtype=np.uint64)
@@ -124,13 +134,49 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(apply, "doc_id long, n_shingles long, d1 long, d2 long, sig binary")
 
 
-def _shingle_sets(docs: DataFrame, width: int) -> DataFrame:
+#: Bits of the Bloom filter that picks documents, at most (16 MB).
+BLOOM_BITS = 1 << 27
+
+
+def _bloom_places(ids: np.ndarray, bits: int) -> np.ndarray:
+    """Three places for each id."""
+    h = ids.astype(np.int64).view(np.uint64)
+    return np.stack([_mix(h * _FOLD + np.uint64(k + 1)) % np.uint64(bits) for k in range(3)])
+
+
+def _bloom(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of the column doc_id as 64-bit words; its size follows the count and is bounded."""
+    bits = min(max(1 << 16, 1 << (16 * ids.count()).bit_length()), BLOOM_BITS)
+
+    def mark(batches):
+        for b in batches:
+            at = np.unique(_bloom_places(b.column("doc_id").to_numpy(zero_copy_only=False), bits))
+            word, first = np.unique(at >> np.uint64(6), return_index=True)
+            if len(word):
+                mask = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first)
+                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(mask.view(np.int64))], ["word", "mask"])
+
+    out = np.zeros(bits // 64, np.uint64)
+    got = ids.mapInArrow(mark, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    out[got.column("word").to_numpy()] = got.column("mask").to_numpy().view(np.uint64)
+    return out
+
+
+def _shingle_sets(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
+    """doc_id, n and set of the rows whose doc_id is wanted, and of a few others."""
+    words = docs.sparkSession.sparkContext.broadcast(_bloom(wanted))
+
     def apply(batches):
+        table = words.value
         for b in batches:
+            ids = b.column("doc_id")
+            at = _bloom_places(ids.fill_null(0).to_numpy(zero_copy_only=False), 64 * len(table))
+            there = ((table[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).all(0)
+            b = b.filter(pa.array(there))
             sets = [shingles(t, width) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "n", "set"])
 
-    return docs.mapInArrow(apply, "doc_id long, n long, set binary").where("n > 0")
+    return docs.where("doc_id IS NOT NULL").mapInArrow(apply, "doc_id long, n long, set binary").where("n > 0")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -177,6 +223,86 @@ def _sift(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return met.select("a", "b", "sa", "sb").mapInArrow(apply, "a long, b long")
 
 
+#: Documents of a block when components are compared, and rows of a task.
+HUB_BLOCK, LOT_ROWS = 512, 4096
+
+
+def _hubs(buckets: DataFrame, comps: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """(hub, id, inside): the documents to compare across components. buckets: id, side, val."""
+    least = _likely(percent)
+    sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("crowd"))
+    known = comps.join(sizes, "comp")
+    told = buckets.join(known, "id", "left").select("id", "side", "val", F.coalesce("comp", "id").alias("comp"), F.coalesce("crowd", F.lit(1)).alias("crowd"))
+    told = materialize(told, "minhash-told")
+    mixed = told.groupBy("side", "val").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo != hi").select("side", "val", "n")
+    carried = told.join(mixed, ["side", "val"]).withColumn("key", F.xxhash64("side", "val")).join(reps.select(F.col("doc_id").alias("id"), "n_shingles", "sig"), "id")
+
+    def shown(left, right, same):
+        ids, comp, crowd, size = (np.asarray(right[c]) for c in ("id", "comp", "crowd", "n_shingles"))
+        side = left["side"][0]
+        sig = np.frombuffer(b"".join(right["sig"]), np.uint32).reshape(len(ids), HASHES)
+        found = []
+        for k in range(len(left["id"])):
+            own = np.frombuffer(left["sig"][k], np.uint32)
+            x, c, m, n = left["id"][k], left["comp"][k], left["crowd"][k], left["n_shingles"][k]
+            near = (comp != c) & (np.minimum(size, n) * 100 >= np.maximum(size, n) * percent)
+            if same:
+                near &= ids > x
+            at = np.flatnonzero(near)
+            equal = sig[at] == own
+            likely = equal.sum(1) >= least
+            at, equal = at[likely], equal[likely]
+            parts = equal.reshape(-1, 2, M, K).all(3)
+            at = at[(parts[:, 0].argmax(1) == side) & parts[:, 1].any(1)]  # in the first A_i, with some B_j
+            if len(at):
+                mine = (crowd[at] < m) | ((crowd[at] == m) & (comp[at] > c))  # x's component is the hub
+                out = at[mine]
+                found += [(c, x, 1)] * bool(len(out)) + [(c, int(ids[j]), 0) for j in out]
+                for j in at[~mine]:
+                    found += [(int(comp[j]), int(ids[j]), 1), (int(comp[j]), x, 0)]
+        if found:
+            got = np.unique(np.array(found, np.int64), axis=0)
+            yield got[:, 0], got[:, 1], got[:, 2]
+
+    return blocked(carried, "key", "n", "id", shown, "hub long, id long, inside long").distinct()
+
+
+def _across(part: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) across components: for each outsider and block of a hub's shown members one, if there is any."""
+    many = part.groupBy("hub").agg(F.ceil(F.sum("inside") / HUB_BLOCK).cast("int").alias("bi"), F.ceil(F.sum(1 - F.col("inside")) / HUB_BLOCK).cast("int").alias("bo"))
+    lots = max(1, part.count() // LOT_ROWS)
+    dealt = part.join(many, "hub")
+    own = F.pmod(F.xxhash64("id"), F.when(F.col("inside") == 1, F.col("bi")).otherwise(F.col("bo"))).cast("int")
+    dealt = dealt.withColumn("own", own)
+    pairs = F.when(F.col("inside") == 1, F.transform(F.sequence(F.lit(0), F.col("bo") - 1), lambda j: F.struct(F.col("own").alias("i"), j.alias("j")))).otherwise(
+        F.transform(F.sequence(F.lit(0), F.col("bi") - 1), lambda i: F.struct(i.alias("i"), F.col("own").alias("j"))))
+    dealt = dealt.withColumn("at", F.explode(pairs)).select("hub", "id", "inside", F.col("at.i").alias("i"), F.col("at.j").alias("j"))
+    dealt = dealt.withColumn("lot", F.pmod(F.xxhash64("hub", "i", "j"), F.lit(lots))).join(sets.select(F.col("doc_id").alias("id"), "set"), "id")
+
+    def decide(table):
+        table = table.sort_by([("hub", "ascending"), ("i", "ascending"), ("j", "ascending"), ("inside", "descending"), ("id", "ascending")])
+        hub, i, j, inside, ids = (table.column(c).to_numpy() for c in ("hub", "i", "j", "inside", "id"))
+        body = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("set")]
+        new = np.flatnonzero(np.r_[True, (hub[1:] != hub[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+        out = []
+        for lo, hi in zip(new.tolist(), [*new[1:].tolist(), len(hub)]):
+            mid = lo + int(inside[lo:hi].sum())
+            if mid in (lo, hi):
+                continue
+            sizes = np.array([len(body[k]) for k in range(lo, mid)])
+            every, owner = np.concatenate(body[lo:mid]), np.repeat(np.arange(mid - lo), sizes)
+            for k in range(mid, hi):
+                x = body[k]
+                place = np.minimum(np.searchsorted(x, every), len(x) - 1)
+                common = np.bincount(owner[x[place] == every], minlength=mid - lo)
+                linked = np.flatnonzero(100 * common >= percent * (sizes + len(x) - common))
+                if len(linked):
+                    out.append((int(ids[k]), int(ids[lo + linked[0]])))
+        return pa.table([pa.array([min(r) for r in out], pa.int64()), pa.array([max(r) for r in out], pa.int64())], names=["a", "b"])
+
+    return dealt.groupBy("lot").applyInArrow(decide, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs (doc_id, text and any others)."""
     prepare(docs.sparkSession)
@@ -201,46 +327,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     subs = materialize(reps.select("doc_id", "sig").mapInArrow(subkeys, "id long, side int, val long"), "minhash-subkeys")
     shared = subs.groupBy("side", "val").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo != hi").select("side", "val")
-    live = subs.join(shared, ["side", "val"], "left_semi").groupBy("id").agg(
-        F.collect_set(F.when(F.col("side") < M, F.struct("side", "val"))).alias("as_"), F.collect_set(F.when(F.col("side") >= M, F.struct("side", "val"))).alias("bs"))
-    rows = live.select("id", F.explode("as_").alias("x"), "bs").select("id", "x", F.explode("bs").alias("y")).select("id", F.xxhash64("x.side", "x.val", "y.side", "y.val").alias("key"))
-    rows = materialize(rows, "minhash-tables")
-    centres = rows.groupBy("key").agg(F.min_by("id", F.xxhash64("id", "key")).alias("a"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo != hi").select("key", "a")
-    stars = rows.join(centres, "key").where("a != id").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+    met = materialize(subs.join(shared, ["side", "val"], "left_semi"), "minhash-shared")
+    live = met.groupBy("id").agg(F.min("side").alias("lo"), F.max("side").alias("hi")).where((F.col("lo") < M) & (F.col("hi") >= M)).select("id")
+    met = materialize(met.join(live, "id", "left_semi"), "minhash-live")
+    # the tables (i, i): both collections of a number, put together
+    square = met.groupBy("id", (F.col("side") % M).alias("i")).agg(F.count(F.lit(1)).alias("n"), F.min_by("val", "side").alias("a"), F.max_by("val", "side").alias("b")).where("n = 2").select("id", F.xxhash64("i", "a", "b").alias("key"))
+    centres = square.groupBy("key").agg(F.min_by("id", F.xxhash64("id", "key")).alias("a"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo != hi").select("key", "a")
+    stars = square.join(centres, "key").where("a != id").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
     asked = materialize(_sift(stars, reps, percent), "minhash-stars")
-    ends = asked.select(F.col("a").alias("doc_id")).union(asked.select("b")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = materialize(_shingle_sets(texts.join(ends, "doc_id", "left_semi"), width), "minhash-sets")
+    ends = asked.select(F.col("a").alias("doc_id")).union(asked.select("b")).distinct()
+    sets = materialize(_shingle_sets(texts, width, ends), "minhash-sets")
     links = materialize(_confirm(asked, sets, percent), "minhash-links")
     first = components(links, "minhash-first")
-    # second round: pairs across components in one bucket
-    told = rows.join(first, "id", "left").select("id", "key", F.coalesce("comp", "id").alias("comp"))
-    told = materialize(told, "minhash-told")
-    mixed = told.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo != hi").select("key", "n")
-    carried = told.join(mixed, "key").join(reps.select(F.col("doc_id").alias("id"), "n_shingles", "sig"), "id")
-    least = _likely(percent)
-
-    def across(left, right, same):
-        ids, comp, size = (np.asarray(right[c]) for c in ("id", "comp", "n_shingles"))
-        sig = np.stack([np.frombuffer(s, np.uint32) for s in right["sig"]])
-        for k in range(len(left["id"])):
-            own = np.frombuffer(left["sig"][k], np.uint32)
-            n = left["n_shingles"][k]
-            near = (comp != left["comp"][k]) & (np.minimum(size, n) * 100 >= np.maximum(size, n) * percent)
-            if same:
-                near &= ids > left["id"][k]
-            at = np.flatnonzero(near)
-            at = at[(sig[at] == own).sum(1) >= least]
-            if len(at):
-                x = left["id"][k]
-                yield np.minimum(ids[at], x), np.maximum(ids[at], x)
-
-    more = blocked(carried, "key", "n", "id", across, "a long, b long").distinct()
-    more = materialize(more.join(asked, ["a", "b"], "left_anti"), "minhash-across")
-    new_ends = more.select(F.col("a").alias("doc_id")).union(more.select("b")).distinct().join(sets.select("doc_id"), "doc_id", "left_anti")
-    if more.limit(1).count():
-        new_sets = materialize(_shingle_sets(texts.join(new_ends, "doc_id", "left_semi"), width), "minhash-sets")
-        links = links.unionByName(materialize(_confirm(more, sets.unionByName(new_sets), percent), "minhash-links"))
+    hubs = materialize(_hubs(met.where(F.col("side") < M).select("id", "side", "val"), first, reps, percent), "minhash-hubs")
+    if hubs.limit(1).count():
+        lacking = hubs.select(F.col("id").alias("doc_id")).distinct().join(sets.select("doc_id"), "doc_id", "left_anti")
+        sets = sets.unionByName(materialize(_shingle_sets(texts, width, lacking), "minhash-sets"))
+        links = links.unionByName(materialize(_across(hubs, sets, percent), "minhash-across"))
         last = components(links, "minhash-last")
     else:
         last = first
@@ -257,9 +361,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that near_duplicates keeps, with all their columns; of repeated rows, each
-    distinct row once; rows without words and rows without a doc_id stay."""
+    """The rows of docs that near_duplicates keeps, with all their columns. Of rows that share a doc_id
+    the least by text stays; rows without words and rows without a doc_id all stay."""
     spoken = near_duplicates(docs, width, percent)
     gone = spoken.where("NOT kept").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    return kept
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    twice = spoken.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_many")).where("_many > 1").select("doc_id")
+    if not twice.limit(1).count():
+        return kept
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    one = kept.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *others)).alias("_row"))
+    one = one.select("doc_id", "_row.*").select(*docs.columns)
+    return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(one)
