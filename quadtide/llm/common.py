@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
-import io
 import os
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..workspace import discard, materialize, scratch, workspace
+
+__all__ = ["attach_group_min", "discard", "filesystem", "materialize", "prepare", "read_table", "scratch", "workspace"]
+
 PACKAGE = Path(__file__).resolve().parent.parent
 #: Rows of one Arrow batch: documents may be long, and a Python worker holds a batch or two.
 BATCH_ROWS = 1000
@@ -37,51 +38,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def workspace(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; in local mode without it, a temporary folder."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if set_dir:
-        return set_dir.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    own = "file://" + tempfile.mkdtemp(prefix="quadtide-shared-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
-
-
-def _remove_late(spark: SparkSession, path: str) -> None:
-    try:
-        remove(spark, path)
-    except Exception:  # the session may be gone when the interpreter ends
-        pass
-
-
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder; it goes when the interpreter ends."""
-    path = f"{workspace(spark)}/quadtide/{label}-{uuid.uuid4().hex}"
-    atexit.register(_remove_late, spark, path)
-    return path
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back, which cuts lineage and survives lost executors."""
-    spark, path = df.sparkSession, scratch(df.sparkSession, label)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._quadtide_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Removes a materialized table that no later plan reads."""
-    remove(df.sparkSession, df._quadtide_path)
-
-
 def attach_group_min(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     """Adds the least `value` among rows with equal keys. df must be cheap to read more than once.
 
@@ -110,12 +66,3 @@ def filesystem(uri: str):
     if uri.startswith("file:") and not uri.startswith("file://"):
         uri = "file://" + uri[len("file:"):]
     return fs.FileSystem.from_uri(uri)
-
-
-def zip_bytes(members: dict[str, bytes]) -> bytes:
-    """A small ZIP archive for tests."""
-    buffer = io.BytesIO()
-    with zipfile.ZipFile(buffer, "w") as z:
-        for name, data in members.items():
-            z.writestr(name, data)
-    return buffer.getvalue()
