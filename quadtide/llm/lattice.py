@@ -187,7 +187,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, tables: int = TABLE
         first = np.zeros(len(i), bool)
         for lo in range(0, len(i), 4096):
             s = slice(lo, lo + 4096)
-            a, b = ca[i[s]], cb[j[s]]
+            swap = (na[i[s]] > nb[j[s]])[:, None, None]  # one order for a pair, wherever it meets
+            a, b = np.where(swap, cb[j[s]], ca[i[s]]), np.where(swap, ca[i[s]], cb[j[s]])
             hits_a, hits_b = a == b[:, :, :1], b == a[:, :, :1]  # a's cells that are b's own; b's that are a's own
             hits = np.concatenate([hits_a, hits_b], 2).reshape(len(a), -1)
             keys = np.concatenate([a, b], 2).reshape(len(a), -1)
