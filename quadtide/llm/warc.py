@@ -266,6 +266,11 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     return materialize(rows.mapInArrow(apply, "file string, records long"), "warc-manifest")
 
 
+def _tasks(manifest: DataFrame) -> int:
+    """A task for each package, within bounds."""
+    return min(max(manifest.count(), 16), 50_000)
+
+
 def locate(manifest: DataFrame) -> DataFrame:
     """file, at, lengths: ranges of neighbouring records, of at most about READ_BYTES, from each package's index."""
 
@@ -288,14 +293,14 @@ def locate(manifest: DataFrame) -> DataFrame:
                     out.append((file, base + at, lengths))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.list_(pa.int64())))], ["file", "at", "lengths"])
 
-    return manifest.select("file").repartition(64).mapInArrow(apply, "file string, at long, lengths array<long>")
+    return manifest.select("file").repartition(_tasks(manifest)).mapInArrow(apply, "file string, at long, lengths array<long>")
 
 
 def read(manifest: DataFrame, content: bool = False) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type and refers_to of each record, read from the
     packages by range; content: also url and payload (null for revisits)."""
     prepare(manifest.sparkSession)
-    ranges = locate(manifest).repartition(64, "file", "at")
+    ranges = locate(manifest).repartition(_tasks(manifest), "file", "at")
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + (", url string, payload binary" if content else "")
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()] + ([pa.string(), pa.binary()] if content else [])
     names = [c.split()[0] for c in schema.split(", ")]
