@@ -212,9 +212,10 @@ class Compiler:
             return truth_value(out)
         if op == "negate":
             return number_value(-self.num(args[0]))
-        a, b = self.num(args[0]), self.num(args[1])
-        kind = INTEGER if op != "/" and all(self.value(x).kind == INTEGER for x in args if isinstance(self.value(x).kind, int)) and all(isinstance(self.value(x).kind, int) for x in args) else DECIMAL
-        return number_value({"+": a + b, "-": a - b, "*": a * b}[op] if op != "/" else F.try_divide(a, b), kind)
+        left, right = self.value(args[0]), self.value(args[1])
+        whole = op != "/" and all(isinstance(v.kind, int) and v.kind == INTEGER for v in (left, right))
+        a, b = left.number, right.number
+        return number_value({"+": lambda: a + b, "-": lambda: a - b, "*": lambda: a * b, "/": lambda: F.try_divide(a, b)}[op](), INTEGER if whole else DECIMAL)
 
     def iri_call(self, e: IriCall) -> Value:
         if e.iri.startswith(XSD):
@@ -393,20 +394,20 @@ class Compiler:
 
     # numbers
     def f_abs(self, v):
-        return self._kept(v, F.abs(self.num(v)))
+        return self._kept(v, F.abs)
 
     def f_ceil(self, v):
-        return self._kept(v, F.ceil(self.num(v)))
+        return self._kept(v, F.ceil)
 
     def f_floor(self, v):
-        return self._kept(v, F.floor(self.num(v)))
+        return self._kept(v, F.floor)
 
     def f_round(self, v):  # halves go up
-        return self._kept(v, F.floor(self.num(v) + 0.5))
+        return self._kept(v, lambda n: F.floor(n + 0.5))
 
-    def _kept(self, v, n: Column) -> Value:
-        kind = self.value(v).kind
-        return number_value(n, kind if isinstance(kind, int) and kind == INTEGER else DECIMAL)
+    def _kept(self, v, f: Callable[[Column], Column]) -> Value:
+        x = self.value(v)
+        return number_value(f(x.number), INTEGER if isinstance(x.kind, int) and x.kind == INTEGER else DECIMAL)
 
     def f_rand(self):
         return number_value(F.rand())

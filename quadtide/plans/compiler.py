@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import UnsupportedError
-from ..functions.expressions import Compiler, Value, effective_truth, number_value, text_value
-from ..model import DECIMAL, INTEGER, IRI, ntriples, number_text
+from ..functions.expressions import Compiler, Value, number_value, text_value
+from ..model import DECIMAL, INTEGER, IRI, ntriples
 from ..workspace import discard, materialize
 from .ast import (
     Aggregate, Alternative, Ask, Bind, Call, Const, Construct, Describe, Exists, Filter, Graph, Group, Inverse, Item, Link, Minus,
@@ -721,5 +721,3 @@ def presented(rel: Rel, style: str = "plain") -> DataFrame:
         cols.append((value.lex if style == "plain" else ntriples(value.lex, value.kind_column)).alias(v))
     return rel.df.select(*cols)
 
-
-__all__ = ["Dataset", "Info", "Plan", "Rel", "presented", "effective_truth", "number_text"]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..errors import ExecutionError
 from ..operators import baseline as baselines
 from ..operators import r2s, windows
-from .ast import Const, Exists, Filter, Graph, Group, HybridQuery, Item, Select, Triple, Var, WindowPattern, WindowSpec, variables
+from .ast import Const, Exists, Filter, Graph, Group, HybridQuery, Select, Triple, Var, WindowPattern, WindowSpec, variables
 from .compiler import Dataset, Plan, Rel, Wide, _find_aggregates, presented
 from .parser import parse_hybrid
 
@@ -203,5 +203,3 @@ def stamped(out: DataFrame, query: HybridQuery) -> DataFrame:
         width = F.lit(widths[0])
     return out.withColumn("ts", (F.col("last_ms") + width).cast("long")).drop("last_ms", "by")
 
-
-__all__ = ["HybridEvaluation", "Item", "split"]

@@ -74,3 +74,9 @@ def test_builtins(spark):
     assert one("isIRI(e:a)") == "true" and one("isLiteral(?x)") == "true" and one("sameTerm(?x, ?x)") == "true" and one("STR(e:a)") == "http://e/a" and one("IRI(\"http://z\") = <http://z>") == "true"
     assert len(one("UUID()")) == 45 and len(one("STRUUID()")) == 36 and 0 <= float(one("RAND()")) < 1 and one("NOW()").endswith("Z")
     assert len(one("SHA512(?x)")) == 128 and len(one("SHA384(?x)")) == 96
+
+
+def test_deep_expressions_compile(spark):
+    q = quads_of(spark, [(0, "http://e/a", "http://e/p", "2", "")])
+    deep = "?o" + " + 1" * 40 + " - " + "(" * 12 + "?o" + " * 1)" * 12
+    assert sparql.query(q, f"SELECT (({deep}) AS ?r) {{ ?s ?p ?o }}").first()["r"] == "40"
