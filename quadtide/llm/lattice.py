@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import blocked
-from .common import attach_group_min, materialize, prepare
+from .common import materialize, prepare
 from .components import components
 
 TABLES, PROBES, SCALE = 4, 4, 2.0  # a pair at cosine 0.98 meets in a table with probability 0.96
