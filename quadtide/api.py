@@ -183,9 +183,6 @@ class Engine:
     def register_query(self, query_id: str, text: str, baseline_mode: str = "aggregate") -> QueryMetadata:
         return self.registry.register(query_id, text, baseline_mode)
 
-    def _quads(self) -> DataFrame | None:
-        return self.log.quads() if isinstance(self.log, QuadLog) else self.log
-
     def start_query(self, query_id: str, now_ms: int | None = None) -> QueryHandle:
         meta = self.registry.get(query_id)
         with self._lock:
@@ -200,7 +197,7 @@ class Engine:
             self.registry.increment(query_id)
             run = self._runs[query_id] = _Run(QueryHandle(query_id))
         now = now_ms if now_ms is not None else int(time.time() * 1000)
-        h = HybridEvaluation(q, log=self._quads(), static=self.static, now_ms=now, baseline_mode=meta.baseline_mode)
+        h = HybridEvaluation(q, log=self.log, static=self.static, now_ms=now, baseline_mode=meta.baseline_mode)
         worker = threading.Thread(target=self._work, args=(meta, run, h, warms), daemon=True)
         run.threads.append(worker)
         worker.start()

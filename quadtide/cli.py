@@ -96,7 +96,7 @@ def main(argv: list[str] | None = None) -> int:
     if "WINDOW" in text.upper():
         from .plans.hybrid import HybridEvaluation
 
-        out = HybridEvaluation(text, log=log.quads(), now_ms=args.now).historical()
+        out = HybridEvaluation(text, log=log, now_ms=args.now).historical()
     else:
         from .sparql import query
 

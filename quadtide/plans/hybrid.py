@@ -84,10 +84,10 @@ def _rewrite(node):
 
 
 class HybridEvaluation:
-    """Evaluates a hybrid query in batch: log is the stored past, streams the live quads by stream IRI
+    """Evaluates a hybrid query in batch: log is the stored past (a QuadLog, quads or a wide table), streams the live quads by stream IRI
     (or one DataFrame for all), static the background quads. Results are lazy."""
 
-    def __init__(self, query: HybridQuery | str, log: DataFrame | None = None, streams: dict[str, DataFrame] | DataFrame | None = None, static: DataFrame | None = None, now_ms: int | None = None, functional: frozenset[str] = frozenset(), baseline_mode: str = "aggregate"):
+    def __init__(self, query: HybridQuery | str, log=None, streams: dict[str, DataFrame] | DataFrame | Wide | None = None, static: DataFrame | None = None, now_ms: int | None = None, functional: frozenset[str] = frozenset(), baseline_mode: str = "aggregate"):
         self.query = parse_hybrid(query) if isinstance(query, str) else query
         self.log, self.streams, self.static, self.now_ms = log, streams, static, now_ms
         self.functional, self.baseline_mode = functional, baseline_mode
@@ -103,10 +103,13 @@ class HybridEvaluation:
     def historical_rel(self, window: WindowSpec, select: Select) -> Rel:
         if self.log is None:
             raise ExecutionError(f"there is no log for the window {window.name}")
+        log = self.log
+        if hasattr(log, "scan"):  # a quad log prunes its buckets
+            log = log.scan(*((window.start, window.end) if window.kind == "fixed" else (windows.sliding_starts(window, self._now())[0], self._now())))
         if window.kind == "fixed":
-            data = windows.fixed_dataset(self.log, window, functional=self.functional)
+            data = windows.fixed_dataset(log, window, functional=self.functional)
         else:
-            data = windows.sliding_dataset(self.log, window, self._now(), functional=self.functional)
+            data = windows.sliding_dataset(log, window, self._now(), functional=self.functional)
         return Plan(data, now_ms=self.now_ms).select(select)
 
     def historical(self, window: str | None = None, style: str = "plain") -> DataFrame:

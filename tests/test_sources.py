@@ -157,3 +157,15 @@ def test_line_source_and_topic_source(spark, tmp_path):
     q = spark.readStream.format("quadtide_topic").option("path", str(broker.folder("t"))).load().writeStream.format("memory").queryName("topic").trigger(availableNow=True).start()
     q.awaitTermination()
     assert parse_lines(spark.table("topic")).count() == 2
+
+
+def test_windows_prune_the_log(spark, tmp_path):
+    from quadtide.plans.hybrid import HybridEvaluation
+
+    log = QuadLog(spark, str(tmp_path / "log"), LogConfig(bucket_ms=100))
+    log.write_all((i, "http://e/s", "http://e/p", str(i), "http://e/g") for i in range(1000))
+    log.flush()
+    out = HybridEvaluation("PREFIX e: <http://e/> SELECT ?v FROM NAMED WINDOW e:w ON LOG e:l [START 250 END 349] WHERE { WINDOW e:w { ?s e:p ?v } }", log=log).historical()
+    assert out.count() == 100
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "bucket" in plan.split("PartitionFilters")[1][:80]
