@@ -126,3 +126,18 @@ def joined_live_datasets(streams: list[tuple[WindowSpec, DataFrame]], **options)
         met = held.join(content, "_ws").where((F.col("by") == k) | (F.col("ts_ms") < F.col("_t")))
         out[w.name] = Dataset(as_set(met, "by", "ws", "we"), ("by", "ws", "we"), stamps=firings, **options)
     return out
+
+
+def iterate(quads: DataFrame, spec: WindowSpec, now_ms: int | None = None):
+    """(ws, we, quads) of each window over the past in turn, for code that wants one at a time; the
+    contents are lazy. One job for all windows is what assign_sliding is for."""
+    if spec.kind == "fixed":
+        yield spec.start, spec.end, time_range(quads, spec.start, spec.end)
+        return
+    if spec.kind != "sliding" or now_ms is None:
+        raise ValueError("a sliding window over the past needs its offset and the time it ends at")
+    first, n = sliding_starts(spec, now_ms)
+    for k in range(n):
+        ws = first + k * spec.slide
+        we = min(ws + spec.width, now_ms)
+        yield ws, we, time_range(quads, ws, we)

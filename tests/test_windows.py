@@ -118,3 +118,13 @@ def test_multi_window_join_naive(spark):
                         x, y = (m, h) if k == 0 else (h, m)
                         want.append((ws, t, m[1], x[3], y[3]))
     assert got == sorted(want)
+
+
+def test_windows_one_at_a_time(spark):
+    q = sensors(spark, range(9400, 10_000, 100))
+    spec = WindowSpec("w", "log", "x", "sliding", 250, 100, 600)
+    got = [(ws, we, df.count()) for ws, we, df in windows.iterate(q, spec, 10_000)]
+    assert got[:2] == [(9400, 9650, 3), (9500, 9750, 3)] and got[-1] == (10_000, 10_000, 0) and len(got) == 7
+    assert [x[:2] for x in windows.iterate(q, WindowSpec("w", "log", "x", "fixed", start=1, end=2))] == [(1, 2)]
+    with pytest.raises(ValueError):
+        next(windows.iterate(q, WindowSpec("w", "stream", "x", "live", 20, 10), 5))
