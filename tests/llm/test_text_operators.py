@@ -3,12 +3,11 @@ import random
 import re
 
 import numpy as np
+import public_tokenizers
 import pytest
+import tiktoken
 
-tiktoken = pytest.importorskip("tiktoken")
-public_tokenizers = pytest.importorskip("public_tokenizers")
-
-from quadtide.llm import bestfit, bpe, packing, pii, quality, tokenbin, tokens, urlfilter  # noqa: E402
+from quadtide.llm import bestfit, bpe, packing, pii, quality, tokenbin, tokens, urlfilter
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 WORDS = public_tokenizers.path("word_bpe_49k.json")
