@@ -70,14 +70,16 @@ class QuadLog:
         if full and self._thread is None:
             self.flush()
 
-    def append(self, quads: DataFrame) -> None:
-        """Appends quads in bulk, sorted by time inside of buckets."""
+    def append(self, quads: DataFrame, clustered: bool = False) -> None:
+        """Appends quads in bulk, sorted by time inside of buckets. clustered: each partition holds a
+        short range of times already, as streams and time-ordered files do, so nothing is shuffled."""
         self.healthy()
         bucket = F.floor(F.col("ts_ms") / self.config.bucket_ms).cast("long")
         rows = quads if "o_kind" in quads.columns else typed(quads)
         rows = rows.select(*QUAD.names).withColumn("bucket", bucket)
-        # many tasks may write one bucket: a hot bucket isn't one task's
-        rows.repartitionByRange(F.col("bucket"), F.col("ts_ms")).sortWithinPartitions("bucket", "ts_ms").write.mode("append").option("parquet.block.size", self.config.row_group_bytes).partitionBy("bucket").parquet(self.path)
+        if not clustered:  # many tasks may write one bucket: a hot bucket isn't one task's
+            rows = rows.repartitionByRange(F.col("bucket"), F.col("ts_ms"))
+        rows.sortWithinPartitions("bucket", "ts_ms").write.mode("append").option("parquet.block.size", self.config.row_group_bytes).partitionBy("bucket").parquet(self.path)
 
     def flush(self) -> int:
         """Writes the buffer; the number of quads. After a failure they are in the buffer again, in front."""
@@ -86,7 +88,7 @@ class QuadLog:
             if not rows:
                 return 0
             try:
-                self.append(self.spark.createDataFrame(rows, COLUMNS))
+                self.append(self.spark.createDataFrame(rows, COLUMNS).coalesce(1), clustered=True)
             except Exception as e:
                 self._buffer = rows + self._buffer
                 self._bytes = sum(24 + sum(len(x) for x in r[1:]) for r in self._buffer)
@@ -162,4 +164,4 @@ class QuadLog:
 
     def writer(self, stream: DataFrame, checkpoint: str, every: str = "10 seconds"):
         """A streaming query that appends a stream of quads to the log."""
-        return stream.writeStream.option("checkpointLocation", checkpoint).trigger(processingTime=every).foreachBatch(lambda batch, _: self.append(batch)).start()
+        return stream.writeStream.option("checkpointLocation", checkpoint).trigger(processingTime=every).foreachBatch(lambda batch, _: self.append(batch, clustered=True)).start()
