@@ -144,9 +144,9 @@ def _bloom_places(ids: np.ndarray, bits: int) -> np.ndarray:
     return np.stack([_mix(h * _FOLD + np.uint64(k + 1)) % np.uint64(bits) for k in range(3)])
 
 
-def _bloom(ids: DataFrame) -> np.ndarray:
+def _bloom(ids: DataFrame, many: int) -> np.ndarray:
     """A Bloom filter of the column doc_id as 64-bit words; its size follows the count and is bounded."""
-    bits = min(max(1 << 16, 1 << (16 * ids.count()).bit_length()), BLOOM_BITS)
+    bits = min(max(1 << 16, 1 << (16 * many).bit_length()), BLOOM_BITS)
 
     def mark(batches):
         for b in batches:
@@ -163,8 +163,13 @@ def _bloom(ids: DataFrame) -> np.ndarray:
 
 
 def _shingle_sets(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
-    """doc_id, n and set of the rows whose doc_id is wanted, and of a few others."""
-    words = docs.sparkSession.sparkContext.broadcast(_bloom(wanted))
+    """doc_id, n and set of the rows whose doc_id is wanted, and of a few others. More wanted ids than
+    the Bloom filter is good for are met by a join instead, which shuffles the texts."""
+    docs = docs.where("doc_id IS NOT NULL")
+    many = wanted.count()
+    if many > BLOOM_BITS // 8:
+        return docs.join(wanted, "doc_id", "left_semi").mapInArrow(lambda batches: (_set_rows(b, width) for b in batches), _SETS).where("n > 0")
+    words = docs.sparkSession.sparkContext.broadcast(_bloom(wanted, many))
 
     def apply(batches):
         table = words.value
@@ -172,11 +177,17 @@ def _shingle_sets(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
             ids = b.column("doc_id")
             at = _bloom_places(ids.fill_null(0).to_numpy(zero_copy_only=False), 64 * len(table))
             there = ((table[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).all(0)
-            b = b.filter(pa.array(there))
-            sets = [shingles(t, width) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "n", "set"])
+            yield _set_rows(b.filter(pa.array(there)), width)
 
-    return docs.where("doc_id IS NOT NULL").mapInArrow(apply, "doc_id long, n long, set binary").where("n > 0")
+    return docs.mapInArrow(apply, _SETS).where("n > 0")
+
+
+_SETS = "doc_id long, n long, set binary"
+
+
+def _set_rows(b: pa.RecordBatch, width: int) -> pa.RecordBatch:
+    sets = [shingles(t, width) for t in b.column("text").to_pylist()]
+    return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "n", "set"])
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -225,10 +236,13 @@ def _sift(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
 #: Documents of a block when components are compared, and rows of a task.
 HUB_BLOCK, LOT_ROWS = 512, 4096
+#: Components with fewer documents are small.
+POOLED = 64
 
 
 def _hubs(buckets: DataFrame, comps: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """(hub, id, inside): the documents to compare across components. buckets: id, side, val."""
+    """(hub, id, inside): the documents to compare across components; inside is 1 for members of the
+    hub, 0 for outsiders, 2 for documents of a pool. buckets: id, side, val."""
     least = _likely(percent)
     sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("crowd"))
     known = comps.join(sizes, "comp")
@@ -254,6 +268,11 @@ def _hubs(buckets: DataFrame, comps: DataFrame, reps: DataFrame, percent: int) -
             at, equal = at[likely], equal[likely]
             parts = equal.reshape(-1, 2, M, K).all(3)
             at = at[(parts[:, 0].argmax(1) == side) & parts[:, 1].any(1)]  # in the first A_i, with some B_j
+            if m < POOLED:
+                pool = at[crowd[at] < POOLED]
+                at = at[crowd[at] >= POOLED]
+                key = left["key"][0]
+                found += [(key, x, 2)] * bool(len(pool)) + [(key, int(ids[j]), 2) for j in pool]
             if len(at):
                 mine = (crowd[at] < m) | ((crowd[at] == m) & (comp[at] > c))  # x's component is the hub
                 out = at[mine]
@@ -268,36 +287,58 @@ def _hubs(buckets: DataFrame, comps: DataFrame, reps: DataFrame, percent: int) -
 
 
 def _across(part: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) across components: for each outsider and block of a hub's shown members one, if there is any."""
-    many = part.groupBy("hub").agg(F.ceil(F.sum("inside") / HUB_BLOCK).cast("int").alias("bi"), F.ceil(F.sum(1 - F.col("inside")) / HUB_BLOCK).cast("int").alias("bo"))
+    """Links (a, b) across components: for each outsider and block of a hub's shown members one, if there
+    is any, and in each block of a pool those that join what isn't joined there yet."""
+    part = part.withColumn("pool", F.col("inside") == 2)
+    blocks_of = lambda k: F.ceil(F.count_if(F.col("inside") == k) / HUB_BLOCK).cast("int")
+    many = part.groupBy("hub", "pool").agg(blocks_of(1).alias("bi"), blocks_of(0).alias("bo"), blocks_of(2).alias("bp"))
     lots = max(1, part.count() // LOT_ROWS)
-    dealt = part.join(many, "hub")
-    own = F.pmod(F.xxhash64("id"), F.when(F.col("inside") == 1, F.col("bi")).otherwise(F.col("bo"))).cast("int")
-    dealt = dealt.withColumn("own", own)
-    pairs = F.when(F.col("inside") == 1, F.transform(F.sequence(F.lit(0), F.col("bo") - 1), lambda j: F.struct(F.col("own").alias("i"), j.alias("j")))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("bi") - 1), lambda i: F.struct(i.alias("i"), F.col("own").alias("j"))))
-    dealt = dealt.withColumn("at", F.explode(pairs)).select("hub", "id", "inside", F.col("at.i").alias("i"), F.col("at.j").alias("j"))
-    dealt = dealt.withColumn("lot", F.pmod(F.xxhash64("hub", "i", "j"), F.lit(lots))).join(sets.select(F.col("doc_id").alias("id"), "set"), "id")
+    blocks = F.when(F.col("inside") == 1, F.col("bi")).when(F.col("inside") == 0, F.col("bo")).otherwise(F.col("bp"))
+    dealt = part.join(many, ["hub", "pool"]).withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+    over = lambda n, pair: F.transform(F.sequence(F.lit(0), F.greatest(F.col(n) - 1, F.lit(0))), pair)
+    pairs = F.when(F.col("inside") == 1, over("bo", lambda j: F.struct(F.col("own").alias("i"), j.alias("j")))).when(
+        F.col("inside") == 0, over("bi", lambda i: F.struct(i.alias("i"), F.col("own").alias("j")))).otherwise(
+        over("bp", lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j"))))
+    dealt = dealt.withColumn("at", F.explode(pairs)).select("hub", "pool", "id", "inside", F.col("at.i").alias("i"), F.col("at.j").alias("j"))
+    dealt = dealt.withColumn("lot", F.pmod(F.xxhash64("hub", "pool", "i", "j"), F.lit(lots))).join(sets.select(F.col("doc_id").alias("id"), "set"), "id")
 
     def decide(table):
-        table = table.sort_by([("hub", "ascending"), ("i", "ascending"), ("j", "ascending"), ("inside", "descending"), ("id", "ascending")])
-        hub, i, j, inside, ids = (table.column(c).to_numpy() for c in ("hub", "i", "j", "inside", "id"))
+        table = table.sort_by([("hub", "ascending"), ("pool", "ascending"), ("i", "ascending"), ("j", "ascending"), ("inside", "descending"), ("id", "ascending")])
+        hub, pool, i, j, inside, ids = (table.column(c).to_numpy() for c in ("hub", "pool", "i", "j", "inside", "id"))
         body = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("set")]
-        new = np.flatnonzero(np.r_[True, (hub[1:] != hub[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+        new = np.flatnonzero(np.r_[True, (hub[1:] != hub[:-1]) | (pool[1:] != pool[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
         out = []
+
+        def linked(k: int, every: np.ndarray, owner: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+            """Which sets of a block link with the set at k."""
+            x = body[k]
+            place = np.minimum(np.searchsorted(x, every), len(x) - 1)
+            common = np.bincount(owner[x[place] == every], minlength=len(sizes))
+            return np.flatnonzero(100 * common >= percent * (sizes + len(x) - common))
+
         for lo, hi in zip(new.tolist(), [*new[1:].tolist(), len(hub)]):
-            mid = lo + int(inside[lo:hi].sum())
-            if mid in (lo, hi):
+            mid = hi if pool[lo] else lo + int((inside[lo:hi] == 1).sum())
+            if mid == lo or (mid == hi and not pool[lo]) or hi - lo < 2:
                 continue
             sizes = np.array([len(body[k]) for k in range(lo, mid)])
             every, owner = np.concatenate(body[lo:mid]), np.repeat(np.arange(mid - lo), sizes)
-            for k in range(mid, hi):
-                x = body[k]
-                place = np.minimum(np.searchsorted(x, every), len(x) - 1)
-                common = np.bincount(owner[x[place] == every], minlength=mid - lo)
-                linked = np.flatnonzero(100 * common >= percent * (sizes + len(x) - common))
-                if len(linked):
-                    out.append((int(ids[k]), int(ids[lo + linked[0]])))
+            if not pool[lo]:  # the members are one component: a link of each outsider will do
+                for k in range(mid, hi):
+                    met = linked(k, every, owner, sizes)
+                    if len(met):
+                        out.append((int(ids[k]), int(ids[lo + met[0]])))
+                continue
+            root = list(range(hi - lo))
+            for k in range(lo, hi):
+                for m in linked(k, every, owner, sizes).tolist():
+                    x, y = k - lo, m
+                    while root[x] != x:
+                        x = root[x]
+                    while root[y] != y:
+                        y = root[y]
+                    if x != y:
+                        root[y] = x
+                        out.append((int(ids[k]), int(ids[lo + m])))
         return pa.table([pa.array([min(r) for r in out], pa.int64()), pa.array([max(r) for r in out], pa.int64())], names=["a", "b"])
 
     return dealt.groupBy("lot").applyInArrow(decide, "a long, b long").distinct()
@@ -360,11 +401,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+#: Ids that are broadcast when duplicates are taken out, at most (about 30 MB).
+BROADCAST_IDS = 500_000
+
+
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that near_duplicates keeps, with all their columns. Of rows that share a doc_id
     the least by text stays; rows without words and rows without a doc_id all stay."""
     spoken = near_duplicates(docs, width, percent)
-    gone = spoken.where("NOT kept").select("doc_id").distinct()
+    gone = materialize(spoken.where("NOT kept").select("doc_id").distinct(), "minhash-gone")
+    if gone.count() <= BROADCAST_IDS:  # else the texts are shuffled by doc_id
+        gone = F.broadcast(gone)
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     twice = spoken.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_many")).where("_many > 1").select("doc_id")
     if not twice.limit(1).count():
