@@ -35,13 +35,13 @@ STEPS = 1.0
 _PIECES = "shard int, doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces_of(docs: DataFrame, path: str, capacity: int, shards: int, end_id: int = 0, with_ids: bool = False) -> DataFrame:
-    """A row for each piece of each document, dealt evenly into shards; with_ids: also its ids."""
+def pieces_of(docs: DataFrame, path: str, capacity: int, shards: int, end_id: int = 0) -> DataFrame:
+    """A row for each piece of each document, dealt evenly into shards."""
 
     def apply(batches):
         turn = None
         for b in batches:
-            rows: list[list] = [[] for _ in range(7)]
+            rows: list[list] = [[] for _ in range(6)]
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                 raw = ids_of(text, path) + int(end_id).to_bytes(4, "little")
                 if turn is None:  # partitions begin at different shards
@@ -49,16 +49,14 @@ def pieces_of(docs: DataFrame, path: str, capacity: int, shards: int, end_id: in
                 n = len(raw) // 4
                 for piece, start in enumerate(range(0, n, capacity)):
                     part = raw[4 * start: 4 * (start + capacity)]
-                    for col, v in zip(rows, (turn % shards, doc, piece, start, len(part) // 4, zlib.crc32(part), part if with_ids else None)):
+                    for col, v in zip(rows, (turn % shards, doc, piece, start, len(part) // 4, zlib.crc32(part))):
                         col.append(v)
                     turn += 1
-            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            names = ["shard", "doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-            cols = [pa.array(c, k) for c, k in zip(rows, kinds)]
-            yield pa.RecordBatch.from_arrays(cols[: 6 + with_ids], names[: 6 + with_ids])
+            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], ["shard", "doc_id", "piece", "start", "length", "ids_crc32"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return texts.mapInArrow(apply, _PIECES + (", ids binary" if with_ids else ""))
+    return texts.mapInArrow(apply, _PIECES)
 
 
 def local_search(lengths: np.ndarray, bins: np.ndarray, n_bins: int, capacity: int, steps: int) -> np.ndarray:

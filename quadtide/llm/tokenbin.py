@@ -1,8 +1,9 @@
 """Token ids in packed binary files: best-fit-decreasing by a segment tree over free capacities.
 
 Documents are tokenised whole, an end id is added, and only those over the row length are cut, in
-pieces that together give every id back. A shard of a bounded number of documents is one file in
-the shared folder:
+pieces that together give every id back. Documents are packed where they are read: each task turns
+every FILE_DOCS documents (or FILE_BYTES of ids) of its own into a file in the shared folder, so no
+token is shuffled, and a file wastes less than a row on average:
 
     magic, version, rows, row length, pieces, bytes of an id      (6 little-endian 64-bit integers)
     ids          rows x row length, unsigned; what is left of a row is the pad id
@@ -30,20 +31,22 @@ from pyspark.sql import functions as F
 
 from .bestfit import best_fit_decreasing
 from .common import filesystem, materialize, prepare, scratch
-from .packing import SHARD_DOCS, pieces_of
+from .tokens import ids_of
 
 ROW = 2048
+#: A file is closed at so many documents or bytes of ids.
+FILE_DOCS, FILE_BYTES = 8192, 64 << 20
 MAGIC = 0x51544B53
 _NULL = np.iinfo(np.int64).min
 _HEADER = 6
 
 
 def write_file(path: str, doc: np.ndarray, piece: np.ndarray, start: np.ndarray, ids: list[bytes], row_length: int, wide: bool, pad_id: int = 0) -> tuple[int, int]:
-    """Packs pieces into rows and writes the file; (rows, bytes)."""
-    lengths = np.array([len(x) // 4 for x in ids], np.int64)
+    """Packs pieces (ids: integers of 32 bits if wide, else 16) into rows and writes the file; (rows, bytes)."""
+    kind = "<u4" if wide else "<u2"
+    lengths = np.array([len(x) for x in ids], np.int64) // np.dtype(kind).itemsize
     rows_of, rows = best_fit_decreasing(lengths, row_length)
     order = np.argsort(rows_of, kind="stable")
-    kind = "<u4" if wide else "<u2"
     matrix = np.full((rows, row_length), pad_id, kind)
     cu: list[int] = []
     row_starts = [0]
@@ -55,7 +58,7 @@ def write_file(path: str, doc: np.ndarray, piece: np.ndarray, start: np.ndarray,
             last, at = int(rows_of[k]), 0
             cu.append(0)
         n = int(lengths[k])
-        matrix[last, at: at + n] = np.frombuffer(ids[k], "<u4")
+        matrix[last, at: at + n] = np.frombuffer(ids[k], kind)
         at += n
         cu.append(at)
     row_starts.append(len(cu))
@@ -106,22 +109,55 @@ class TokenFile:
                 k += 1
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, row_length: int = ROW, end_id: int = 0, shard_docs: int = SHARD_DOCS, wide: bool = False) -> DataFrame:
+class _Pieces:
+    """Pieces that wait for their file."""
+
+    def __init__(self):
+        self.doc, self.piece, self.start, self.ids = [], [], [], []
+        self.docs = self.bytes = 0
+
+    def add(self, doc: int | None, raw: bytes, row_length: int, kind: str) -> None:
+        """All ids of a document, as 32-bit integers, cut into pieces."""
+        for piece, start in enumerate(range(0, len(raw) // 4, row_length)):
+            part = np.frombuffer(raw[4 * start: 4 * (start + row_length)], "<u4").astype(kind).tobytes()
+            self.doc.append(_NULL if doc is None else doc), self.piece.append(piece), self.start.append(start), self.ids.append(part)
+            self.bytes += len(part)
+        self.docs += 1
+
+    def write(self, name: str, row_length: int, wide: bool, pad_id: int) -> tuple[str, int, int, int]:
+        rows, size = write_file(name, np.array(self.doc, np.int64), np.array(self.piece, np.int64), np.array(self.start, np.int64), self.ids, row_length, wide, pad_id)
+        return name, rows, len(self.ids), size
+
+
+def write(docs: DataFrame, path: str, tokenizer: str, row_length: int = ROW, end_id: int = 0, file_docs: int = FILE_DOCS, wide: bool = False, pad_id: int = 0) -> DataFrame:
     """Writes packed files under path; the manifest (file, rows, pieces, bytes), itself a written table.
 
     wide: ids of 32 bits, needed for vocabularies over 65,536."""
     prepare(docs.sparkSession)
-    shards = max(1, -(-docs.count() // shard_docs))
-    pieces = pieces_of(docs, tokenizer, row_length, shards, end_id, with_ids=True)
+    kind = "<u4" if wide else "<u2"
+
+    def apply(batches):
+        from pyspark import TaskContext
 
-    def apply(table):
-        table = table.sort_by([("ids_crc32", "ascending"), ("doc_id", "ascending"), ("piece", "ascending")])
-        name = f"{path}/tokens-{table.column('shard')[0].as_py():06d}-{uuid.uuid4().hex}.bin"
-        doc = table.column("doc_id").fill_null(int(_NULL)).to_numpy()
-        rows, size = write_file(name, doc, table.column("piece").to_numpy(), table.column("start").to_numpy(), table.column("ids").to_pylist(), row_length, wide)
-        return pa.table({"file": [name], "rows": pa.array([rows], pa.int64()), "pieces": pa.array([table.num_rows], pa.int64()), "bytes": pa.array([size], pa.int64())})
+        part, done, held = TaskContext.get().partitionId(), [], _Pieces()
+
+        def close() -> None:
+            nonlocal held
+            done.append(held.write(f"{path}/tokens-{part:06d}-{len(done):04d}-{uuid.uuid4().hex}.bin", row_length, wide, pad_id))
+            held = _Pieces()
+
+        for b in batches:
+            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+                held.add(doc, ids_of(text, tokenizer) + int(end_id).to_bytes(4, "little"), row_length, kind)
+                if held.docs >= file_docs or held.bytes >= FILE_BYTES:
+                    close()
+        if held.docs:
+            close()
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in done], t) for k, t in enumerate(kinds)], ["file", "rows", "pieces", "bytes"])
 
-    return materialize(pieces.groupBy("shard").applyInArrow(apply, "file string, rows long, pieces long, bytes long"), "tokens-manifest")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return materialize(texts.mapInArrow(apply, "file string, rows long, pieces long, bytes long"), "tokens-manifest")
 
 
 def read(manifest: DataFrame) -> DataFrame:
@@ -139,10 +175,10 @@ def read(manifest: DataFrame) -> DataFrame:
                         col.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names)
 
-    files = manifest.select("file").repartition(min(n, 4096))
+    files = manifest.select("file").repartition(min(n, 50_000))
     return files.mapInArrow(apply, "doc_id long, piece int, start long, length long, ids_crc32 long, file string, row long, offset long")
 
 
 def write_and_read(docs: DataFrame, tokenizer: str, row_length: int = ROW) -> DataFrame:
     """Writes the packed files into the shared folder and returns what they hold."""
-    return read(write(docs, scratch(docs.sparkSession, "tokens"), tokenizer, row_length)).withColumn("file", F.regexp_extract("file", r"^tokens-\d+", 0))
+    return read(write(docs, scratch(docs.sparkSession, "tokens"), tokenizer, row_length)).withColumn("file", F.regexp_extract("file", r"^tokens-\d+-\d+", 0))

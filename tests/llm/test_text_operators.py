@@ -151,7 +151,7 @@ def test_best_fit_takes_the_tightest_bin():
 
 def test_token_files(spark, tmp_path):
     texts = TEXTS * 2
-    manifest = tokenbin.write(docs(spark, texts), f"file://{tmp_path}/t", WORDS, 64, shard_docs=7)
+    manifest = tokenbin.write(docs(spark, texts), f"file://{tmp_path}/t", WORDS, 64, file_docs=7)
     rows = tokenbin.read(manifest).collect()
     assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in rows} == brute_pieces(texts, 64)
     for m in manifest.collect():
