@@ -382,6 +382,15 @@ def test_search_against_brute_force(spark):
     assert chroma.summary(*none).count() == 0
 
 
+def test_a_fifth_of_differing_bits_is_still_a_match():
+    a = np.arange(1, 101, dtype=np.uint32) * np.uint32(2654435761)
+    b = a.copy()
+    b[1:] ^= np.uint32(0b111111)  # 594 of 3,200 bits
+    assert chroma.accepts(a, b, chroma.align(a, b))
+    b[1:] ^= np.uint32(0b1000000)  # 693 of 3,200 bits
+    assert not chroma.accepts(a, b, chroma.align(a, b))
+
+
 def test_recordings(spark):
     df = spark.createDataFrame([(1, [0.1] * 64), (2, None), (3, []), (4, [None, 1.0])], "vec_id long, embedding array<double>")
     got = {r["rec_id"]: r["media"] for r in chroma.recordings(df).collect()}
