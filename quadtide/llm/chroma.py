@@ -9,9 +9,9 @@ they have equal integers; the share of differing bits over the overlap at the be
 bit error.
 
 Search: queries against all recordings. Equal fingerprints are a class, and classes are compared
-through their smallest ids. Index keys join two integers WINDOW windows apart; each recording is
-indexed by the keys that are least, by a hash, in some run of RUN: two recordings that share RUN keys
-in a row share an indexed one.
+through their smallest ids. Recordings go in blocks of a bounded number of integers; each block of
+queries meets each block of recordings, whose integers are sorted, so that every pair that shares an
+integer is aligned: the result is that of aligning all pairs, whatever the lengths.
 
 Defined cases: null, empty or unreadable media, and recordings too short for one window, have an
 empty fingerprint, are their own class and match nothing; a null id is kept without matches.
@@ -31,7 +31,6 @@ from pyspark.sql import functions as F
 from .common import attach_group_min, materialize, prepare
 
 RATE, FRAME, HOP, WINDOW = 4000, 512, 128, 16
-RUN = 8
 #: A match: at most so large a share of differing bits, over at least so large a share of the shorter one.
 MOST_ERROR, LEAST_OVERLAP = 0.2, 0.5
 _LOW, _HIGH, _STEP = 60.0, 1900.0, 0.12
@@ -163,23 +162,61 @@ def accepts(a: np.ndarray, b: np.ndarray, found: tuple[int, int, int] | None) ->
     return found is not None and found[1] >= LEAST_OVERLAP * min(len(a), len(b)) and found[2] <= MOST_ERROR * 32 * found[1]
 
 
-def indexed(f: np.ndarray) -> np.ndarray:
-    """The distinct index keys of a fingerprint. A key is a hash of two integers WINDOW windows apart,
-    so it speaks for a passage of twice that length; kept are the keys that are least in some run of
-    RUN (of all, if fewer). A shorter fingerprint has the keys of its single integers."""
-    if not len(f):
-        return np.zeros(0, np.int64)
-    h = _hash(f.astype(np.uint64) + np.uint64(1))
-    if len(f) > WINDOW:
-        h = _hash(h[:-WINDOW] * np.uint64(3) + h[WINDOW:])
-    runs = np.lib.stride_tricks.sliding_window_view(h, min(RUN, len(h)))
-    return np.unique(h[np.arange(len(runs)) + runs.argmin(1)]).view(np.int64)
+#: Integers of a block of recordings, blocks that a task makes, equal integers looked at together, and integers compared together, about.
+BLOCK, TASK_BLOCKS, HITS, COMPARED = 8192, 16, 1 << 20, 1 << 20
 
 
-def _hash(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def align_all(asked: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
+    """What align() finds for each pair that shares an integer: rows of (position in asked, position in
+    others, offset, overlap, bit errors). The integers of others are sorted once for all of asked."""
+    la, lb = (np.array([len(f) for f in x], np.int64) for x in (asked, others))
+    if not la.sum() or not lb.sum():
+        return np.zeros((0, 5), np.int64)
+    a, b = np.concatenate(asked), np.concatenate(others)
+    begin_a, begin_b = np.r_[0, la.cumsum()], np.r_[0, lb.cumsum()]
+    whose_a, whose_b = np.repeat(np.arange(len(la)), la), np.repeat(np.arange(len(lb)), lb)
+    order = np.argsort(b, kind="stable")
+    lo, hi = np.searchsorted(b[order], a, "left"), np.searchsorted(b[order], a, "right")
+    hits = np.r_[0, (hi - lo).cumsum()][begin_a]
+    span, out, k = la.max() + lb.max(), [], 0
+    while k < len(la):
+        m = max(k + 1, int(np.searchsorted(hits, hits[k] + HITS, "right")) - 1)
+        part = slice(begin_a[k], begin_a[m])
+        counts = hi[part] - lo[part]
+        ia = np.repeat(np.arange(part.start, part.stop), counts)
+        ib = order[np.repeat(lo[part], counts) + np.arange(counts.sum()) - np.repeat(counts.cumsum() - counts, counts)]
+        offset = (ib - begin_b[whose_b[ib]]) - (ia - begin_a[whose_a[ia]])
+        found, equal = np.unique((whose_a[ia] * len(lb) + whose_b[ib]) * span + offset + la.max(), return_counts=True)
+        k = m
+        if not len(found):
+            continue
+        pair, offset = found // span, found % span - la.max()
+        first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
+        group = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(pair)]))
+        most = equal == np.maximum.reduceat(equal, first)[group]
+        seen = most.cumsum()
+        most &= seen - (seen[first] - most[first])[group] <= 8
+        pair, offset = pair[most], offset[most]
+        x, y = pair // len(lb), pair % len(lb)
+        i0, overlap = np.maximum(0, -offset), np.minimum(la[x], lb[y] - offset) - np.maximum(0, -offset)
+        errors = _differing(a, b, begin_a[x] + i0, begin_b[y] + i0 + offset, overlap)
+        order_ = np.lexsort((offset, errors / overlap, pair))
+        best = order_[np.r_[True, pair[order_][1:] != pair[order_][:-1]]]
+        out.append(np.stack([c[best] for c in (x, y, offset, overlap, errors)], 1))
+    return np.concatenate(out) if out else np.zeros((0, 5), np.int64)
+
+
+def _differing(a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Differing bits of each passage of n > 0 integers of a and b."""
+    out, ends, k = [], np.r_[0, n.cumsum()], 0
+    while k < len(n):
+        m = max(k + 1, int(np.searchsorted(ends, ends[k] + COMPARED, "right")) - 1)
+        begin = ends[k:m] - ends[k]
+        step = np.arange(ends[m] - ends[k])
+        bits = np.bitwise_count(a[np.repeat(at_a[k:m] - begin, n[k:m]) + step] ^ b[np.repeat(at_b[k:m] - begin, n[k:m]) + step])
+        out.append(np.add.reduceat(bits, begin, dtype=np.int64))
+        k = m
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
 def fingerprints(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
@@ -205,29 +242,54 @@ def search(prints: DataFrame, queries: str) -> tuple[DataFrame, DataFrame]:
     asked = classes.where("heard").where(queries).select("class_id").distinct()
     heads = materialize(rows.where("digest IS NOT NULL").join(classes.where("rec_id = class_id").select("rec_id").distinct(), "rec_id", "left_semi").groupBy("rec_id").agg(F.min("fingerprint").alias("fingerprint")), "chroma-heads")
 
-    def index(batches):
-        for b in batches:
-            keys = [indexed(np.array(f, np.int32).view(np.uint32)) for f in b.column("fingerprint").to_pylist()]
-            ids = np.repeat(b.column("rec_id").to_numpy(zero_copy_only=False), [len(k) for k in keys]) if keys else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64), pa.int64())], ["rec_id", "value"])
-
-    keyed = materialize(heads.mapInArrow(index, "rec_id long, value long"), "chroma-index")
-    wanted = keyed.join(asked.withColumnRenamed("class_id", "rec_id"), "rec_id", "left_semi").withColumnRenamed("rec_id", "class_id")
-    pairs = wanted.join(keyed.withColumnRenamed("rec_id", "match_id"), "value").where("class_id != match_id").select("class_id", "match_id").distinct()
-    met = pairs.join(heads.select(F.col("rec_id").alias("class_id"), F.col("fingerprint").alias("fa")), "class_id").join(heads.select(F.col("rec_id").alias("match_id"), F.col("fingerprint").alias("fb")), "match_id")
+    mine = _blocks(heads.join(asked.withColumnRenamed("class_id", "rec_id"), "rec_id", "left_semi"), "chroma-asked")
+    every = _blocks(heads, "chroma-blocks")
+    tasks = max(4 * prints.sparkSession.sparkContext.defaultParallelism, -(-every.count() // TASK_BLOCKS))
+    met = every.repartition(tasks).hint("shuffle_replicate_nl").crossJoin(mine.toDF("asked_ids", "asked_sizes", "asked_values"))
 
     def verify(batches):
         for b in batches:
-            out = []
-            for x, y, fa, fb in zip(*(b.column(c).to_pylist() for c in ("class_id", "match_id", "fa", "fb"))):
-                fa, fb = np.array(fa, np.int32).view(np.uint32), np.array(fb, np.int32).view(np.uint32)
-                found = align(fa, fb)
-                if accepts(fa, fb, found):
-                    out.append((x, y, *found))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(5)], ["class_id", "match_id", "offset", "overlap", "bit_errors"])
+            out = [np.zeros((0, 5), np.int64)]
+            for k in range(b.num_rows):
+                (ia, fa), (ib, fb) = (_unpacked(b, k, p) for p in ("asked_", ""))
+                found = align_all(fa, fb)
+                a, m, (offset, overlap, errors) = ia[found[:, 0]], ib[found[:, 1]], found[:, 2:].T
+                shorter = np.minimum(np.array([len(f) for f in fa])[found[:, 0]], np.array([len(f) for f in fb])[found[:, 1]])
+                good = (a != m) & (overlap >= LEAST_OVERLAP * shorter) & (errors <= MOST_ERROR * 32 * overlap)
+                out.append(np.stack([c[good] for c in (a, m, offset, overlap, errors)], 1))
+            rows = np.concatenate(out)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows.T], ["class_id", "match_id", "offset", "overlap", "bit_errors"])
 
     schema = "class_id long, match_id long, offset long, overlap long, bit_errors long"
-    return classes.select("rec_id", "class_id"), met.select("class_id", "match_id", "fa", "fb").mapInArrow(verify, schema)
+    return classes.select("rec_id", "class_id"), met.mapInArrow(verify, schema)
+
+
+def _blocks(heads: DataFrame, name: str) -> DataFrame:
+    """ids, sizes and values (fingerprints end to end) of recordings with BLOCK integers together, or of one longer."""
+
+    def apply(batches):
+        for b in batches:
+            ids, values = b.column("rec_id").to_numpy(zero_copy_only=False), b.column("fingerprint")
+            sizes = values.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            flat, ends = values.flatten(), np.r_[0, sizes.cumsum()]
+            cuts, k = [], 0
+            while k < len(sizes):
+                m = max(k + 1, int(np.searchsorted(ends, ends[k] + BLOCK, "right")) - 1)
+                cuts.append((k, m))
+                k = m
+            columns = [[x[k:m] for k, m in cuts] for x in (ids, sizes)] + [[flat[ends[k]:ends[m]].to_numpy(zero_copy_only=False) for k, m in cuts]]
+            kinds = (pa.int64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([x.tolist() for x in c], pa.list_(k)) for c, k in zip(columns, kinds)], ["ids", "sizes", "values"])
+
+    total = heads.agg(F.sum(F.size("fingerprint"))).first()[0] or 0
+    dealt = heads.select("rec_id", "fingerprint").repartition(1 + total // (TASK_BLOCKS * BLOCK))
+    return materialize(dealt.mapInArrow(apply, "ids array<long>, sizes array<int>, values array<int>"), name)
+
+
+def _unpacked(b: pa.RecordBatch, k: int, prefix: str) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The ids and fingerprints of a block."""
+    ids, sizes, values = (b.column(f"{prefix}{c}")[k].values.to_numpy(zero_copy_only=False) for c in ("ids", "sizes", "values"))
+    return ids, np.split(np.ascontiguousarray(values).view(np.uint32), sizes.cumsum()[:-1])
 
 
 def summary(classes: DataFrame, matches: DataFrame) -> DataFrame:

@@ -391,6 +391,27 @@ def test_a_fifth_of_differing_bits_is_still_a_match():
     assert not chroma.accepts(a, b, chroma.align(a, b))
 
 
+def test_search_finds_every_match(spark):
+    """Tunes of unrelated vectors and copies with noise: all that aligning all pairs accepts, up to MOST_ERROR."""
+    rng = np.random.default_rng(3)
+    tunes = [chroma.melody(rng.normal(size=64)) for _ in range(150)]
+    tunes += [t + rng.normal(size=len(t)) * 0.3 for t in tunes[:50]]
+    prints = [chroma.fingerprint(t) for t in tunes]
+    rows = spark.createDataFrame([(i, f.view(np.int32).tolist()) for i, f in enumerate(prints)], "rec_id long, fingerprint array<int>")
+    got = {(r[0], r[1]): tuple(r)[2:] for r in chroma.search(rows, "rec_id % 2 = 0")[1].collect()}
+    want = {(a, b): chroma.align(prints[a], prints[b]) for a in range(0, 200, 2) for b in range(200) if a != b}
+    want = {k: v for k, v in want.items() if chroma.accepts(prints[k[0]], prints[k[1]], v)}
+    assert got == want and sum(v[2] > 0.15 * 32 * v[1] for v in want.values()) > 20
+
+
+def test_blocks_align_like_pairs():
+    rng = np.random.default_rng(4)
+    for _ in range(100):
+        asked, others = ([rng.integers(0, 4, rng.integers(0, n)).astype(np.uint32) for _ in range(5)] for n in (12, 30))
+        want = {(x, y): chroma.align(f, g) for x, f in enumerate(asked) for y, g in enumerate(others) if len(f) and len(g)}
+        assert {(x, y): tuple(v) for x, y, *v in chroma.align_all(asked, others).tolist()} == {k: v for k, v in want.items() if v}
+
+
 def test_recordings(spark):
     df = spark.createDataFrame([(1, [0.1] * 64), (2, None), (3, []), (4, [None, 1.0])], "vec_id long, embedding array<double>")
     got = {r["rec_id"]: r["media"] for r in chroma.recordings(df).collect()}
