@@ -292,6 +292,14 @@ def _unpacked(b: pa.RecordBatch, k: int, prefix: str) -> tuple[np.ndarray, list[
     return ids, np.split(np.ascontiguousarray(values).view(np.uint32), sizes.cumsum()[:-1])
 
 
+def listing(classes: DataFrame, matches: DataFrame) -> DataFrame:
+    """The whole result: rec_id, class_id, match_id, offset, overlap, bit_errors. Each recording has a row
+    with a null match_id; each match has a row under its queried class's smallest id, match_id being the
+    smallest id of the class it matches."""
+    members = classes.select("rec_id", "class_id", *(F.lit(None).cast("long").alias(c) for c in ("match_id", "offset", "overlap", "bit_errors")))
+    return members.unionByName(matches.withColumn("rec_id", F.col("class_id")))
+
+
 def summary(classes: DataFrame, matches: DataFrame) -> DataFrame:
     """A row for each recording: rec_id, class_id, n_matches (queried classes that match its class) and
     of the best of them (least share of differing bits, then smallest id) best_match, offset, overlap

@@ -66,9 +66,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tunes made from every row of embeddings; those whose id is divisible by 100 are the queries."""
+    """Tunes made from every row of embeddings; those whose id is divisible by 100 are the queries.
+    A row for each recording and one for each match of two classes."""
     tunes = chroma.recordings(read_table(spark, sf_dir, "embeddings"))
-    return chroma.summary(*chroma.search(chroma.fingerprints(tunes, "rec_id", "media"), "rec_id % 100 = 0"))
+    return chroma.listing(*chroma.search(chroma.fingerprints(tunes, "rec_id", "media"), "rec_id % 100 = 0"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -404,6 +404,24 @@ def test_search_finds_every_match(spark):
     assert got == want and sum(v[2] > 0.15 * 32 * v[1] for v in want.values()) > 20
 
 
+def test_query_lists_every_match(spark, tmp_path):
+    """Queries 0, 100 and 200 match each other, 1 and 101: the row of a recording can't hold them all."""
+    from quadtide.llm import queries
+
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=64)
+    vectors = {k: (base + rng.normal(size=64) * 0.08).tolist() for k in (0, 100, 200, 1, 101)} | {7: rng.normal(size=64).tolist(), 8: None}
+    spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    rows = queries.op10_chroma(spark, str(tmp_path)).collect()
+    prints = {k: chroma.fingerprint(chroma.decode_wav(chroma.encode_wav(chroma.melody(v)))) for k, v in vectors.items() if v}
+    owner = {k: min(j for j, g in prints.items() if g.tobytes() == f.tobytes()) for k, f in prints.items()} | {8: 8}
+    assert {r["rec_id"]: r["class_id"] for r in rows if r["match_id"] is None} == owner
+    want = {(a, b): chroma.align(prints[a], prints[b]) for a in {owner[k] for k in (0, 100, 200)} for b in set(owner.values()) - {8} if a != b}
+    want = {(*k, *v) for k, v in want.items() if chroma.accepts(prints[k[0]], prints[k[1]], v)}
+    listed = [(r["rec_id"], r["match_id"], r["offset"], r["overlap"], r["bit_errors"]) for r in rows if r["match_id"] is not None]
+    assert len(listed) == len(want) == 12 and set(listed) == want
+
+
 def test_blocks_align_like_pairs():
     rng = np.random.default_rng(4)
     for _ in range(100):
