@@ -422,6 +422,22 @@ def test_query_lists_every_match(spark, tmp_path):
     assert len(listed) == len(want) == 12 and set(listed) == want
 
 
+def test_short_excerpts_in_long_recordings(spark):
+    """Exact excerpts of 8 to 24 windows, on both sides of WINDOW, are found in whole recordings, and whole ones by them."""
+    rng = np.random.default_rng(6)
+    whole = [chroma.fingerprint(chroma.melody(rng.normal(size=64))) for _ in range(10)]
+    prints, inside = dict(enumerate(whole)), {}
+    for n in (8, 12, 16, 17, 18, 20, 24):
+        for k, f in enumerate(whole):
+            at = int(rng.integers(0, len(f) - n))
+            inside[len(prints)] = k
+            prints[len(prints)] = f[at:at + n]
+    rows = spark.createDataFrame([(i, f.view(np.int32).tolist()) for i, f in prints.items()], "rec_id long, fingerprint array<int>")
+    got = {(r["class_id"], r["match_id"]) for r in chroma.search(rows, "rec_id >= 0")[1].collect()}
+    want = {(a, b) for a in prints for b in prints if a != b and chroma.accepts(prints[a], prints[b], chroma.align(prints[a], prints[b]))}
+    assert got == want and {(i, k) for i, k in inside.items()} | {(k, i) for i, k in inside.items()} <= got
+
+
 def test_blocks_align_like_pairs():
     rng = np.random.default_rng(4)
     for _ in range(100):
