@@ -4,8 +4,8 @@ Base spans come from four fixed patterns with checks. On top, a conditional rand
 candidates of a document (base spans, and other tokens with a digit or "@", numeric neighbours taken
 together) as one of the kinds or as none. Neighbouring candidates are linked in a chain; skip edges
 link distant candidates that repeat each other or are similar: equal digits, the same last seven
-digits, the same name before "@". Occurrences of a key are linked one to the next, so edges grow
-with candidates. Loopy sum-product message passing runs over chain and skip edges; base spans are
+digits, the same name before "@". Occurrences of a key are linked one to the next and each to the key's first base span, so edges grow
+with candidates and no repeat is far from what is known of it. Loopy sum-product message passing runs over chain and skip edges; base spans are
 observed. So a number that a pattern shows as a phone once is one wherever the document repeats it
 in another form. Added spans never overlap base ones.
 
@@ -30,7 +30,8 @@ from .common import prepare
 
 KINDS = ("email", "ip", "card", "phone")
 NONE, LABELS = 0, len(KINDS) + 1
-ROUNDS, DAMPING, CHAIN_GAP = 12, 0.5, 60
+#: Messages go round until they stand still, for at most so many rounds and one more for each candidate.
+ROUNDS, DAMPING, CHAIN_GAP = 200, 0.5, 60
 
 _ANY = re.compile(r"[0-9@]")
 # one "@" lies in each address, so the search starts there; digits that a run has before a match's
@@ -164,12 +165,20 @@ def edges(text: str, nodes: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.
     """Chain edges and skip edges as pairs of positions, the earlier one first."""
     chain = [(k, k + 1) for k in range(len(nodes) - 1) if nodes[k + 1][0] - nodes[k][1] <= CHAIN_GAP]
     last: dict[str, int] = {}
+    hub: dict[str, int] = {}
     skip = set()
-    for k, (s, e, _) in enumerate(nodes):
-        for key in keys(text[s:e]):
+    found = [keys(text[s:e]) for s, e, _ in nodes]
+    for k, (_, _, label) in enumerate(nodes):
+        if label != NONE:
+            for key in found[k]:
+                hub.setdefault(key, k)
+    for k in range(len(nodes)):
+        for key in found[k]:
             if key in last:
                 skip.add((last[key], k))
             last[key] = k
+            if hub.get(key, k) != k:
+                skip.add((min(hub[key], k), max(hub[key], k)))
     return np.array(chain, int).reshape(-1, 2), np.array(sorted(skip), int).reshape(-1, 2)
 
 
@@ -186,7 +195,7 @@ def marginals(x: np.ndarray, observed: np.ndarray, chain: np.ndarray, skip: np.n
     """Label probabilities of each node by loopy sum-product message passing."""
     score = x @ w.unary
     seen = np.flatnonzero(observed != NONE)
-    score[seen] = -40.0
+    score[seen] = -1e6  # more than the messages of any number of repeats
     score[seen, observed[seen]] = 0.0
     pairs = np.concatenate([chain, skip])
     if len(pairs):
@@ -196,7 +205,7 @@ def marginals(x: np.ndarray, observed: np.ndarray, chain: np.ndarray, skip: np.n
         table = np.concatenate([table, table.transpose(0, 2, 1)])
         back = np.r_[n:2 * n, 0:n]
         message = np.zeros((2 * n, LABELS))
-        for _ in range(ROUNDS):
+        for _ in range(ROUNDS + len(x)):
             belief = score.copy()
             np.add.at(belief, dst, message)
             into = (belief[src] - message[back])[:, :, None] + table

@@ -218,6 +218,16 @@ def test_field_on_held_out_documents():
     assert hit / (hit + missed) > 0.95 and false / (false + hit) < 0.05
 
 
+def test_a_base_span_reaches_every_repeat():
+    rng = random.Random(1)
+    for words in (2, 8, 30):
+        between = [" ".join("".join(rng.choice("aeionrstlhd") for _ in range(rng.randrange(2, 9))) for _ in range(words)) for _ in range(50)]
+        repeats = " ".join(f"{w} (375) 555-4393" for w in between)
+        for text in (f"call +1 (375) 555-4393 {repeats}", f"{repeats} call +1 (375) 555-4393"):
+            assert [k for _, k, _ in pii.find(text)[1]] == [3] * 51
+        assert pii.find(f"call (375) 555-4393 {repeats}")[1] == []  # a decoy's form, never seen as a phone
+
+
 def test_message_passing_is_exact_on_a_chain():
     """On a tree, loopy messages give the marginals that enumeration gives."""
     from itertools import product
