@@ -312,6 +312,8 @@ _SPARQL: list[tuple[str, str, dict[str, str], str]] = [
      f"SELECT '{EX}region/' || n_regionkey AS r, n_name AS x FROM nation UNION ALL SELECT '{EX}region/' || n_regionkey, c_mktsegment FROM customer JOIN nation ON c_nationkey = n_nationkey"),
     ("path_plus", f"SELECT ?c ?a {{ ?c ex:referredBy+ ?a FILTER(STRSTARTS(STR(?c), \"{EX}customer/1\")) }}", {"c": "lex", "a": "lex"},
      f"WITH RECURSIVE up AS (SELECT c_custkey AS c, c_custkey // 2 AS a FROM customer WHERE c_custkey >= 2 UNION SELECT c, a // 2 FROM up WHERE a >= 2) SELECT '{EX}customer/' || c AS c, '{EX}customer/' || a AS a FROM up WHERE starts_with(CAST(c AS VARCHAR), '1')"),
+    ("path_plus_all", "SELECT ?c ?a { ?c ex:referredBy+ ?a }", {"c": "lex", "a": "lex"},
+     f"WITH RECURSIVE up AS (SELECT c_custkey AS c, c_custkey // 2 AS a FROM customer WHERE c_custkey >= 2 UNION SELECT c, a // 2 FROM up WHERE a >= 2) SELECT '{EX}customer/' || c AS c, '{EX}customer/' || a AS a FROM up"),
     ("path_star_zero", "SELECT ?a { <http://ex.org/customer/77> ex:referredBy* ?a }", {"a": "lex"},
      f"SELECT '{EX}customer/' || a AS a FROM (VALUES (77), (38), (19), (9), (4), (2), (1)) t(a)"),
     ("path_negated", "SELECT ?s ?x { ?s !(ex:name|ex:balance|ex:segment|ex:inNation|ex:referredBy) ?x }", {"s": "lex", "x": "lex"},
@@ -516,6 +518,37 @@ def dictionary_roundtrip(spark, sf_dir):
     return dictionary.decode(dictionary.encode(q, terms), terms).select("ts_ms", "s", "o")
 
 
+def _every_quad(df: DataFrame) -> DataFrame:
+    """Quads with the numbers among their objects as v: engines write them differently."""
+    value = F.col("p") == f"{EX}value"
+    return df.select("ts_ms", "s", "p", F.when(~value, F.col("o")).alias("o"), rounded(F.when(value, F.col("o")).cast("double")).alias("v"), "g")
+
+
+_EVERY_QUAD = f"WITH {EV} " + " UNION ALL ".join(
+    f"SELECT ts_ms, e AS s, '{EX}{p}' AS p, {o} AS o, {v} AS v, '{EX}events' AS g FROM ev WHERE {c} IS NOT NULL"
+    for p, o, v, c in (("user", "u", "NULL", "user_id"), ("type", "event_type", "NULL", "event_type"), ("value", "NULL", "round(value, 6)", "value")))
+
+
+@register("nquads_parse_all", _EVERY_QUAD)
+def nquads_parse_all(spark, sf_dir):
+    """nquads_parse over every predicate."""
+    from .model import typed
+    from .sources import nquads
+
+    lines = nquads.to_line(event_quads(spark, sf_dir))
+    return _every_quad(typed(nquads.parse_lines(lines).where("error IS NULL").drop("value", "error")))
+
+
+@register("dictionary_roundtrip_all", _EVERY_QUAD)
+def dictionary_roundtrip_all(spark, sf_dir):
+    """dictionary_roundtrip over every quad of every day."""
+    from .sources import dictionary
+
+    q = event_quads(spark, sf_dir)
+    terms = dictionary.build(q)
+    return _every_quad(dictionary.decode(dictionary.encode(q, terms), terms))
+
+
 @register("live_streaming_equals_batch", f"""WITH {EV}, {LIVE(2 * DAY, DAY)} SELECT ws, we, u, round(avg(value), 6) AS m, count(*) AS n FROM (SELECT DISTINCT ws, we, e, u, value FROM w WHERE we <= (SELECT max(ts_ms) FROM ev)) GROUP BY ws, we, u""")
 def live_streaming_equals_batch(spark, sf_dir):
     """The same live query run by Structured Streaming over the table's files, until they are used up:
