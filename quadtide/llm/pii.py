@@ -2,17 +2,21 @@
 
 Base spans come from four fixed patterns with checks. On top, a conditional random field labels the
 candidates of a document (base spans, and other tokens with a digit or "@", numeric neighbours taken
-together) as one of the kinds or as none. Neighbouring candidates are linked in a chain; skip edges
-link distant candidates that repeat each other or are similar: equal digits, the same last seven
-digits, the same name before "@". Occurrences of a key are linked one to the next and each to the key's first base span, so edges grow
-with candidates and no repeat is far from what is known of it. Loopy sum-product message passing runs over chain and skip edges; base spans are
-observed. So a number that a pattern shows as a phone once is one wherever the document repeats it
-in another form. Added spans never overlap base ones.
-
-The weights are learned when first needed, by pseudo-likelihood on documents that this module makes
-up with a fixed seed: they don't depend on the corpus.
-
-Defined cases: a null or empty text has no spans; a null doc_id and repeated rows stay as they are.
+together) as one of the kinds or as none. Neighbouring candidates are linked in a chain. Skip links
+go over any distance: candidates with equal text share one variable, hence their potentials (the mean
+of their occurrences') and their label; variables that are similar (equal digits, the same last seven
+digits, the same name before "@") are each linked to a variable of what they have in common, so a
+label is two links from any other of its kind however many repeats there are. A common variable is
+observed if base spans that have it agree. Loopy sum-product messages go over all links until they
+stand still; base spans are observed. So a number that a pattern shows as a phone once is one
+wherever the document repeats it in another form. Added spans never overlap base ones.
+
+The weights are learned on the driver, by pseudo-likelihood on documents that this module makes up
+with a fixed seed: they don't depend on the corpus. Whole documents are labelled at once; features
+and messages are worked out in blocks, so a document needs a few hundred bytes for each candidate.
+
+Defined cases: a null or empty text has no spans; a null doc_id and repeated rows stay as they are;
+digits are ASCII digits, other Unicode digits are letters of a token like any others.
 """
 
 from __future__ import annotations
@@ -30,8 +34,10 @@ from .common import prepare
 
 KINDS = ("email", "ip", "card", "phone")
 NONE, LABELS = 0, len(KINDS) + 1
-#: Messages go round until they stand still, for at most so many rounds and one more for each candidate.
+#: Messages go round until they stand still, for at most so many rounds and one more for each variable.
 ROUNDS, DAMPING, CHAIN_GAP = 200, 0.5, 60
+#: Candidates whose features, and links whose messages, are worked out together.
+BLOCK = 1 << 14
 
 _ANY = re.compile(r"[0-9@]")
 # one "@" lies in each address, so the search starts there; digits that a run has before a match's
@@ -44,6 +50,13 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
 _TOKEN = re.compile(r"\S+")
 _NUMERIC = re.compile(r"[0-9()+./,-]+")
+_QUAD = re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}")
+
+
+def _octet(part: str) -> bool:
+    """Whether ASCII digits, zeros in front included, are at most 255."""
+    part = part.lstrip("0")
+    return len(part) < 3 or (len(part) == 3 and part <= "255")
 
 
 def luhn(digits: str) -> bool:
@@ -67,7 +80,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
             out.append((start, 0, m.end()))
             last = m.end()
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+        if all(_octet(p) for p in m.group().split(".")):
             out.append((m.start(), 1, m.end()))
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 14:
@@ -138,11 +151,10 @@ def features(text: str, nodes: list[tuple[int, int, int]]) -> np.ndarray:
         row[0] = 1
         row[1 + sum(len(digits) > b for b in _SIZES)] = 1
         k = 2 + len(_SIZES)
-        parts = body.split(".")
         row[k:k + 10] = (
             "@" in body, any(c.isalpha() for c in body), body.count(".") == 3, body.startswith("+"), "(" in body, "-" in body,
             body.isdigit(), 14 <= len(digits) <= 19 and luhn(digits),
-            len(parts) == 4 and all(p.isdigit() and len(p) < 4 and int(p) < 256 for p in parts), "/" in body or ":" in body)
+            _QUAD.fullmatch(body) is not None and all(_octet(p) for p in body.split(".")), "/" in body or ":" in body)
         before = text[max(0, s - 24):s].lower().split()
         for c, cue in enumerate(_CUES):
             row[k + 10 + c] = any(w.strip(".,:;()") in cue for w in before[-2:])
@@ -161,25 +173,40 @@ def keys(body: str) -> list[str]:
     return out
 
 
-def edges(text: str, nodes: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Chain edges and skip edges as pairs of positions, the earlier one first."""
-    chain = [(k, k + 1) for k in range(len(nodes) - 1) if nodes[k + 1][0] - nodes[k][1] <= CHAIN_GAP]
-    last: dict[str, int] = {}
-    hub: dict[str, int] = {}
-    skip = set()
-    found = [keys(text[s:e]) for s, e, _ in nodes]
-    for k, (_, _, label) in enumerate(nodes):
-        if label != NONE:
-            for key in found[k]:
-                hub.setdefault(key, k)
-    for k in range(len(nodes)):
-        for key in found[k]:
-            if key in last:
-                skip.add((last[key], k))
-            last[key] = k
-            if hub.get(key, k) != k:
-                skip.add((min(hub[key], k), max(hub[key], k)))
-    return np.array(chain, int).reshape(-1, 2), np.array(sorted(skip), int).reshape(-1, 2)
+class Graph:
+    """The field of a document. variable: of each candidate. observed: of each variable, NONE if hidden;
+    the first `shown` variables are of candidates, the others of what similar ones have in common.
+    chain and skip: links as pairs of variables, with the chain's weights: a link of occurrences counts
+    as one part of the more frequent side's, as a variable's potentials are the mean of its occurrences'."""
+
+    def __init__(self, text: str, nodes: list[tuple[int, int, int]]):
+        known: dict[tuple[str, int], int] = {}
+        common: dict[str, list[int]] = {}
+        self.variable = np.empty(len(nodes), np.int64)
+        observed: list[int] = []
+        for k, (s, e, label) in enumerate(nodes):
+            body = text[s:e]
+            v = known.setdefault((body, label), len(known))
+            self.variable[k] = v
+            if v == len(observed):
+                observed.append(label)
+                for key in keys(body):
+                    common.setdefault(key, []).append(v)
+        self.shown, skip = len(observed), []
+        for members in common.values():
+            if len(members) > 1:
+                seen = {observed[v] for v in members} - {NONE}
+                skip += [(v, len(observed)) for v in members]
+                observed.append(seen.pop() if len(seen) == 1 else NONE)
+        self.observed = np.array(observed, np.int64)
+        self.count = np.bincount(self.variable, minlength=self.shown)
+        self.skip = np.array(skip, np.int64).reshape(-1, 2)
+        begin, end = (np.array([n[k] for n in nodes]) for k in (0, 1))
+        near = np.flatnonzero(begin[1:] - end[:-1] <= CHAIN_GAP) if len(nodes) else np.zeros(0, int)
+        pairs = np.stack([self.variable[near], self.variable[near + 1]], 1)
+        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+        self.chain, times = np.unique(pairs, axis=0, return_counts=True)
+        self.weight = times / self.count[self.chain].max(1) if len(self.chain) else np.zeros(0)
 
 
 # --- the field ----------------------------------------------------------------------------------------
@@ -191,29 +218,33 @@ class Weights:
         self.skip = np.zeros((LABELS, LABELS))
 
 
-def marginals(x: np.ndarray, observed: np.ndarray, chain: np.ndarray, skip: np.ndarray, w: Weights) -> np.ndarray:
-    """Label probabilities of each node by loopy sum-product message passing."""
-    score = x @ w.unary
+def marginals(score: np.ndarray, observed: np.ndarray, chain: np.ndarray, weight: np.ndarray, skip: np.ndarray, w: Weights) -> np.ndarray:
+    """Label probabilities of each variable by loopy sum-product message passing."""
+    score = score.copy()
     seen = np.flatnonzero(observed != NONE)
     score[seen] = -1e6  # more than the messages of any number of repeats
     score[seen, observed[seen]] = 0.0
-    pairs = np.concatenate([chain, skip])
+    pairs = np.concatenate([chain, skip]).astype(np.int64)
     if len(pairs):
-        src, dst = np.concatenate([pairs[:, 0], pairs[:, 1]]), np.concatenate([pairs[:, 1], pairs[:, 0]])
         n = len(pairs)
-        table = np.concatenate([np.broadcast_to(w.chain, (len(chain), LABELS, LABELS)), np.broadcast_to(w.skip, (len(skip), LABELS, LABELS))])
-        table = np.concatenate([table, table.transpose(0, 2, 1)])
-        back = np.r_[n:2 * n, 0:n]
+        src, dst = np.concatenate([pairs[:, 0], pairs[:, 1]]), np.concatenate([pairs[:, 1], pairs[:, 0]])
+        share = np.concatenate([weight, np.ones(len(skip))])
+        tables = np.stack([w.chain, w.skip, w.chain.T, w.skip.T])
+        which = np.repeat([0, 1, 2, 3], [len(chain), len(skip)] * 2)
         message = np.zeros((2 * n, LABELS))
-        for _ in range(ROUNDS + len(x)):
+        for _ in range(ROUNDS + len(score)):
             belief = score.copy()
             np.add.at(belief, dst, message)
-            into = (belief[src] - message[back])[:, :, None] + table
-            top = into.max(1)
-            new = top + np.log(np.exp(into - top[:, None, :]).sum(1))
-            new -= new.max(1, keepdims=True)
-            change = np.abs(new - message).max()
-            message = DAMPING * message + (1 - DAMPING) * new
+            change, new = 0.0, np.empty_like(message)
+            for lo in range(0, 2 * n, BLOCK):
+                at = np.arange(lo, min(lo + BLOCK, 2 * n))
+                into = (belief[src[at]] - message[(at + n) % (2 * n)])[:, :, None] + tables[which[at]] * share[at % n][:, None, None]
+                top = into.max(1)
+                out = top + np.log(np.exp(into - top[:, None, :]).sum(1))
+                out -= out.max(1, keepdims=True)
+                change = max(change, float(np.abs(out - message[at]).max()))
+                new[at] = DAMPING * message[at] + (1 - DAMPING) * out
+            message = new
             if change < 1e-3:
                 break
         np.add.at(score, dst, message)
@@ -221,18 +252,26 @@ def marginals(x: np.ndarray, observed: np.ndarray, chain: np.ndarray, skip: np.n
     return p / p.sum(1, keepdims=True)
 
 
-def find(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+def _scores(text: str, nodes: list[tuple[int, int, int]], graph: Graph, w: Weights) -> np.ndarray:
+    """The unary potentials of each variable: the mean of its occurrences', none for common variables."""
+    out = np.zeros((len(graph.observed), LABELS))
+    for lo in range(0, len(nodes), BLOCK):
+        np.add.at(out, graph.variable[lo: lo + BLOCK], features(text, nodes[lo: lo + BLOCK]) @ w.unary)
+    out[: graph.shown] /= graph.count[:, None]
+    return out
+
+
+def find(text: str | None, w: Weights | None = None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(base spans, all spans) of a whole text, each (start, kind, end), sorted."""
     if not text or not _ANY.search(text):
         return [], []
+    w = w or weights()
     base = base_spans(text)
     nodes = candidates(text, base)
-    observed = np.array([k for _, _, k in nodes], int)
-    if not (observed == NONE).any():
+    if all(k != NONE for _, _, k in nodes):
         return base, base
-    chain, skip = edges(text, nodes)
-    p = marginals(features(text, nodes), observed, chain, skip, weights())
-    best = p.argmax(1)
+    graph = Graph(text, nodes)
+    best = marginals(_scores(text, nodes, graph, w), graph.observed, graph.chain, graph.weight, graph.skip, w).argmax(1)[graph.variable]
     more = [(s, int(best[k]) - 1, e) for k, (s, e, o) in enumerate(nodes) if o == NONE and best[k] != NONE]
     return base, sorted(base + more)
 
@@ -303,37 +342,44 @@ def _made_up(rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
 @lru_cache(maxsize=1)
 def weights(texts: int = 600, steps: int = 250) -> Weights:
     """Weights by gradient ascent on the pseudo-likelihood: each label given its neighbours' true ones."""
-    rng, xs, ys, chains, skips, n = random.Random(7), [], [], [], [], 0
+    rng, xs, ys, chains, shares, skips, n = random.Random(7), [], [], [], [], [], 0
     for _ in range(texts):
         text, spans = _made_up(rng)
         nodes = candidates(text, base_spans(text))
         if not nodes:
             continue
-        truth = [next((k for a, b, k in spans if s < b and e > a), NONE) for s, e, _ in nodes]
-        chain, skip = edges(text, nodes)
-        xs.append(features(text, nodes)), ys.append(truth), chains.append(chain + n), skips.append(skip + n)
-        n += len(nodes)
-    x, y, chain, skip = np.concatenate(xs), np.concatenate(ys), np.concatenate(chains), np.concatenate(skips)
+        graph = Graph(text, nodes)
+        x = np.zeros((len(graph.observed), FEATURES))
+        np.add.at(x, graph.variable, features(text, nodes))
+        x[: graph.shown] /= graph.count[:, None]
+        truth = np.zeros(len(x), np.int64)
+        for v, (s, e, _) in zip(graph.variable, nodes):
+            truth[v] = max(truth[v], next((k for a, b, k in spans if s < b and e > a), NONE))
+        for v, c in graph.skip:  # what similar ones have in common is of their kind
+            truth[c] = max(truth[c], truth[v])
+        xs.append(x), ys.append(truth), chains.append(graph.chain + n), shares.append(graph.weight), skips.append(graph.skip + n)
+        n += len(x)
+    x, y, chain, share, skip = (np.concatenate(parts) for parts in (xs, ys, chains, shares, skips))
+    share = share[:, None]
     w, truth = Weights(), np.eye(LABELS)[y]
     moments = [np.zeros_like(p) for p in (w.unary, w.chain, w.skip)]
     for step in range(steps):
         score = x @ w.unary
-        np.add.at(score, chain[:, 1], w.chain[y[chain[:, 0]]])
-        np.add.at(score, chain[:, 0], w.chain.T[y[chain[:, 1]]])
+        np.add.at(score, chain[:, 1], share * w.chain[y[chain[:, 0]]])
+        np.add.at(score, chain[:, 0], share * w.chain.T[y[chain[:, 1]]])
         np.add.at(score, skip[:, 1], w.skip[y[skip[:, 0]]])
         np.add.at(score, skip[:, 0], w.skip.T[y[skip[:, 1]]])
         p = np.exp(score - score.max(1, keepdims=True))
         gap = truth - p / p.sum(1, keepdims=True)
         grads = [x.T @ gap - 0.2 * w.unary]
-        for pairs, table in ((chain, w.chain), (skip, w.skip)):
+        for pairs, part, table in ((chain, share, w.chain), (skip, 1.0, w.skip)):
             g = -0.2 * table
-            np.add.at(g, y[pairs[:, 0]], gap[pairs[:, 1]])
-            np.add.at(g.T, y[pairs[:, 1]], gap[pairs[:, 0]])
+            np.add.at(g, y[pairs[:, 0]], part * gap[pairs[:, 1]])
+            np.add.at(g.T, y[pairs[:, 1]], part * gap[pairs[:, 0]])
             grads.append(g)
         for table, g, m in zip((w.unary, w.chain, w.skip), grads, moments):
             m += g * g
             table += 0.3 * g / np.sqrt(m + 1e-9)
-    w.skip = (w.skip + w.skip.T) / 2
     return w
 
 
@@ -346,12 +392,13 @@ def written(spans: list[tuple[int, int, int]]) -> str:
 def detect(docs: DataFrame) -> DataFrame:
     """doc_id, counts of all spans by kind, base_sha256 and spans of each row."""
     prepare(docs.sparkSession)
+    w = weights()
 
     def apply(batches):
         for b in batches:
             counts, base_sha, spans = [[] for _ in KINDS], [], []
             for t in b.column("text").to_pylist():
-                base, every = find(t)
+                base, every = find(t, w)
                 for k in range(len(KINDS)):
                     counts[k].append(sum(x[1] == k for x in every))
                 base_sha.append(hashlib.sha256(written(base).encode()).hexdigest())
@@ -362,12 +409,12 @@ def detect(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(apply, schema)
 
 
-def masked(text: str | None) -> str | None:
+def masked(text: str | None, w: Weights | None = None) -> str | None:
     """The text with every span replaced by its kind in brackets; overlapping spans by the first one's."""
     if text is None:
         return None
     out, at, end = [], 0, 0
-    for s, k, e in find(text)[1]:
+    for s, k, e in find(text, w)[1]:
         if s >= end:
             out += [text[at:s], f"[{KINDS[k].upper()}]"]
             at = e
@@ -379,10 +426,11 @@ def masked(text: str | None) -> str | None:
 def mask(docs: DataFrame) -> DataFrame:
     """docs with personal data masked in text; n_chars, if there, follows; other columns and rows stay."""
     prepare(docs.sparkSession)
+    w = weights()
 
     def apply(batches):
         for b in batches:
-            text = [masked(t) for t in b.column("text").to_pylist()]
+            text = [masked(t, w) for t in b.column("text").to_pylist()]
             k = b.schema.names.index("text")
             b = b.set_column(k, b.schema.field(k), pa.array(text, b.schema.field(k).type))
             if "n_chars" in b.schema.names:

@@ -1,11 +1,14 @@
 import hashlib
 import random
 import re
+from itertools import product
 
 import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from quadtide.llm import bestfit, bpe, packing, pii, quality, tokenbin, tokens, urlfilter
 
@@ -220,31 +223,76 @@ def test_field_on_held_out_documents():
 
 def test_a_base_span_reaches_every_repeat():
     rng = random.Random(1)
-    for words in (2, 8, 30):
-        between = [" ".join("".join(rng.choice("aeionrstlhd") for _ in range(rng.randrange(2, 9))) for _ in range(words)) for _ in range(50)]
-        repeats = " ".join(f"{w} (375) 555-4393" for w in between)
-        for text in (f"call +1 (375) 555-4393 {repeats}", f"{repeats} call +1 (375) 555-4393"):
-            assert [k for _, k, _ in pii.find(text)[1]] == [3] * 51
-        assert pii.find(f"call (375) 555-4393 {repeats}")[1] == []  # a decoy's form, never seen as a phone
-
+    for bare, full in (("(375) 555-4393", "+1 (375) 555-4393"), ("555.123.4567", "+1 555 123 4567")):
+        for words in (2, 8, 15, 30):
+            between = [" ".join("".join(rng.choice("aeionrstlhd") for _ in range(rng.randrange(2, 9))) for _ in range(words)) for _ in range(100)]
+            repeats = " ".join(f"{w} {bare}" for w in between)
+            for text in (f"call {full} {repeats}", f"{repeats} call {full}"):
+                assert [k for _, k, _ in pii.find(text)[1]] == [3] * 101
+            assert pii.find(f"call {bare} {repeats}")[1] == []  # a decoy's form, never seen as a phone
+
+
+def test_equal_tokens_have_equal_labels():
+    rng = random.Random(11)
+    for _ in range(150):
+        text = " ".join(pii._made_up(rng)[0] for _ in range(3))
+        nodes = pii.candidates(text, pii.base_spans(text))
+        found = {(s, e): k for s, k, e in pii.find(text)[1]}
+        labels = {}
+        for s, e, seen in nodes:
+            labels.setdefault((text[s:e], seen), set()).add(found.get((s, e)))
+        assert all(len(x) == 1 for x in labels.values())
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.one_of(st.sampled_from("0123456789.@+-() ²³①٣４ab\u00bd\U0001d7d8"), st.characters(exclude_categories=["Cs"])), max_size=60))
+def test_any_text_is_taken(text):
+    base, every = pii.find(text)
+    assert base == plain_spans(text) and set(base) <= set(every)
+    assert all(0 <= s < e <= len(text) for s, _, e in every)
+
+
+def test_hard_texts(spark):
+    texts = ["release 1.2.3.² notes", "0.0.0." + "0" * 9000 + "1", "0.0.0." + "9" * 9000, "٣.٣.٣.٣ 1.2.3.４", "1.2.3.4" * 3000]
+    rows = {r["doc_id"]: r for r in pii.detect(docs(spark, texts)).collect()}
+    assert rows[0]["spans"] == rows[2]["spans"] == "" and rows[1]["spans"] == "ip:0:9007"
+    for k, t in enumerate(texts[:4]):
+        assert rows[k]["base_sha256"] == hashlib.sha256(pii.written(pii.base_spans(t)).encode()).hexdigest()
 
-def test_message_passing_is_exact_on_a_chain():
-    """On a tree, loopy messages give the marginals that enumeration gives."""
-    from itertools import product
 
-    rng = np.random.default_rng(1)
+def _field(rng, n, chain, weight, skip, scale=1.0):
+    """Messages' marginals and those of enumeration, of a random field without observations."""
     w = pii.Weights()
-    w.unary, w.chain, w.skip = rng.normal(size=w.unary.shape), rng.normal(size=w.chain.shape), rng.normal(size=w.skip.shape)
-    x = rng.normal(size=(4, pii.FEATURES))
-    chain, skip = np.array([(0, 1), (1, 2)]), np.array([(1, 3)])
-    got = pii.marginals(x, np.zeros(4, int), chain, skip, w)
-    want, score = np.zeros((4, pii.LABELS)), x @ w.unary
-    for y in product(range(pii.LABELS), repeat=4):
-        p = np.exp(sum(score[k, y[k]] for k in range(4)) + sum(w.chain[y[a], y[b]] for a, b in chain) + sum(w.skip[y[a], y[b]] for a, b in skip))
-        for k in range(4):
+    w.chain, w.skip = (rng.normal(scale=scale, size=w.chain.shape) for _ in range(2))
+    score = rng.normal(size=(n, pii.LABELS))
+    chain, skip, weight = np.array(chain, int).reshape(-1, 2), np.array(skip, int).reshape(-1, 2), np.array(weight, float)
+    got = pii.marginals(score, np.zeros(n, int), chain, weight, skip, w)
+    want = np.zeros((n, pii.LABELS))
+    for y in product(range(pii.LABELS), repeat=n):
+        p = np.exp(sum(score[k, y[k]] for k in range(n)) + sum(f * w.chain[y[a], y[b]] for (a, b), f in zip(chain, weight)) + sum(w.skip[y[a], y[b]] for a, b in skip))
+        for k in range(n):
             want[k, y[k]] += p
-    want /= want.sum(1, keepdims=True)
+    return got, want / want.sum(1, keepdims=True)
+
+
+def test_message_passing_against_enumeration():
+    """Exact on a tree, near on small graphs with loops."""
+    rng = np.random.default_rng(1)
+    got, want = _field(rng, 4, [(0, 1), (1, 2)], [1, 0.5], [(1, 3)])
     assert np.abs(got - want).max() < 0.01
+    gaps = []
+    for _ in range(12):
+        got, want = _field(rng, 5, [(0, 1), (1, 2), (2, 3)], [1, 1, 0.5], [(0, 4), (3, 4), (1, 4)], scale=0.7)
+        gaps.append(np.abs(got - want).max())
+    assert np.mean(gaps) < 0.05 and max(gaps) < 0.2
+
+
+def test_blocks_change_nothing(monkeypatch):
+    rng = random.Random(3)
+    texts = [pii._made_up(rng)[0] for _ in range(40)]
+    before = [pii.find(t) for t in texts]
+    monkeypatch.setattr(pii, "BLOCK", 3)
+    assert [pii.find(t) for t in texts] == before
 
 
 def test_mask(spark):
