@@ -1,12 +1,17 @@
 """Audio fingerprints of a media column: integral-image filters over pitch-class frames.
 
-A recording (WAV bytes, PCM of 8 or 16 bits) becomes mono at a fixed rate; the spectrum of each
-frame is folded into 12 pitch classes. An integral image over (frame, pitch class) gives the sum of
-any rectangle with four reads, so each of 16 filters compares two groups of rectangles in a window of
-frames; its log ratio is cut into four levels, two Gray-coded bits, and the 16 levels of a window are
-packed into a 32-bit integer. Two recordings are aligned by the histogram of the offsets at which
-they have equal integers; the share of differing bits over the overlap at the best offset is the
-bit error.
+A recording (WAV bytes, PCM of 8, 16, 24 or 32 bits) becomes mono at a fixed rate; the spectrum of
+each frame is folded into 12 pitch classes, which go round the octave. An integral image over (frame,
+pitch class) gives the sum of any rectangle with four reads, so each of 16 filters compares two groups
+of rectangles in a window of frames; its log ratio is cut into four levels, two Gray-coded bits, and
+the 16 levels of a window are packed into a 32-bit integer. The cuts are each filter's quartiles over
+music that this module makes up with a fixed seed, so every level is as likely as any other and
+unrelated recordings differ in about half of their bits. Two recordings are aligned by the histogram
+of the offsets at which they have equal integers; the share of differing bits over the overlap at the
+best offset is the bit error, and all offsets that tie are tried.
+
+Silent windows have an integer of their own. It says nothing, so it is never looked up, and windows
+that are silent on both sides count neither for the overlap nor for the bit error.
 
 Search: queries against all recordings. Equal fingerprints are a class, and classes are compared
 through their smallest ids. Recordings go in blocks of a bounded number of integers; each block of
@@ -14,7 +19,8 @@ queries meets each block of recordings, whose integers are sorted, so that every
 integer is aligned: the result is that of aligning all pairs, whatever the lengths.
 
 Defined cases: null, empty or unreadable media, and recordings too short for one window, have an
-empty fingerprint, are their own class and match nothing; a null id is kept without matches.
+empty fingerprint, are their own class and match nothing; wholly silent recordings of equal length are
+a class and match nothing else; a null id is kept without matches.
 """
 
 from __future__ import annotations
@@ -22,6 +28,7 @@ from __future__ import annotations
 import io
 import struct
 import wave
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +40,7 @@ from .common import attach_group_min, materialize, prepare
 RATE, FRAME, HOP, WINDOW = 4000, 512, 128, 16
 #: A match: at most so large a share of differing bits, over at least so large a share of the shorter one.
 MOST_ERROR, LEAST_OVERLAP = 0.2, 0.5
-_LOW, _HIGH, _STEP = 60.0, 1900.0, 0.12
+_LOW, _HIGH = 60.0, 1900.0
 
 
 def decode_wav(media: bytes | None) -> np.ndarray:
@@ -46,16 +53,40 @@ def decode_wav(media: bytes | None) -> np.ndarray:
             raw = w.readframes(w.getnframes())
     except (wave.Error, EOFError, struct.error):
         return np.zeros(0)
-    if width not in (1, 2) or not channels or not rate:
+    if width not in (1, 2, 3, 4) or not channels or not rate:
         return np.zeros(0)
     raw = raw[: len(raw) // (width * channels) * width * channels]
-    x = np.frombuffer(raw, "<i2") / 32768 if width == 2 else np.frombuffer(raw, np.uint8) / 128 - 1.0
+    if width == 1:
+        x = np.frombuffer(raw, np.uint8) / 128 - 1.0
+    elif width == 3:  # the upper bytes of 32-bit integers
+        x = np.zeros((len(raw) // 3, 4), np.uint8)
+        x[:, 1:] = np.frombuffer(raw, np.uint8).reshape(-1, 3)
+        x = x.reshape(-1).view("<i4") / 2**31
+    else:
+        x = np.frombuffer(raw, f"<i{width}") / 2.0 ** (8 * width - 1)
     x = x.reshape(-1, channels).mean(1)
+    if rate > RATE and len(x):
+        x = _low_pass(x, RATE / rate)
     if rate != RATE and len(x):
         x = np.interp(np.arange(0, len(x), rate / RATE), np.arange(len(x)), x)
     return x
 
 
+def _low_pass(x: np.ndarray, share: float) -> np.ndarray:
+    """Keeps about the lower `share` of the spectrum, by a windowed sinc, so that nothing folds back."""
+    reach = int(16 / share)
+    t = np.arange(-reach, reach + 1)
+    taps = np.sinc(0.95 * share * t) * np.hanning(len(t) + 2)[1:-1]
+    taps /= taps.sum()
+    step = 1 << (len(taps) * 8).bit_length()  # overlap-add: memory for a block, not for the recording
+    spectrum, out = np.fft.rfft(taps, step), np.zeros(len(x) + len(taps) - 1)
+    block = step - len(taps) + 1
+    for k in range(0, len(x), block):
+        part = np.fft.irfft(np.fft.rfft(x[k: k + block], step) * spectrum, step)[: len(x[k: k + block]) + len(taps) - 1]
+        out[k: k + len(part)] += part
+    return out[reach: reach + len(x)]
+
+
 def encode_wav(x: np.ndarray, rate: int = RATE) -> bytes:
     """A mono WAV file of 16 bits."""
     out = io.BytesIO()
@@ -92,74 +123,100 @@ def chroma(x: np.ndarray) -> np.ndarray:
     return np.where(length > 1e-6, power / np.maximum(length, 1e-12), 0)
 
 
-def _filters() -> list[tuple[int, int, int, int]]:
-    """(kind, first pitch class, pitch classes, frames) of the 16 filters, by rule."""
-    out = []
-    for k in range(16):
-        tall = (4, 6, 12)[k % 3]
-        out.append((k % 4, (5 * k) % (13 - tall), tall, (8, 12, 16)[k // 2 % 3]))
-    return out
+def _filters() -> list[tuple[int, int, int]]:
+    """(kind, first pitch class, pitch classes) of the 16 filters, by rule."""
+    return [(k % 4, 5 * k % 12, (2, 4, 6)[k % 3]) for k in range(16)]
 
 
 FILTERS = _filters()
 
 
-def fingerprint(x: np.ndarray) -> np.ndarray:
-    """A 32-bit integer for each window of WINDOW frames."""
-    image = chroma(x)
+def responses(image: np.ndarray) -> np.ndarray:
+    """What each filter says of each window of pitch-class frames (windows x 16)."""
     n = len(image) - WINDOW + 1
     if n < 1:
-        return np.zeros(0, np.uint32)
-    area = np.zeros((len(image) + 1, 13))
-    area[1:, 1:] = image.cumsum(0).cumsum(1)
+        return np.zeros((0, len(FILTERS)))
+    area = np.zeros((len(image) + 1, 24))
+    area[1:, 1:] = np.concatenate([image, image[:, :11]], 1).cumsum(0).cumsum(1)
     at = np.arange(n)
 
     def total(t: int, w: int, y: int, h: int) -> np.ndarray:
         return area[at + t + w, y + h] - area[at + t, y + h] - area[at + t + w, y] + area[at + t, y]
 
-    out = np.zeros(n, np.uint32)
-    for kind, y, h, w in FILTERS:
-        whole = total(0, w, y, h)
+    half, third, out = WINDOW // 2, WINDOW // 3, np.zeros((n, len(FILTERS)))
+    for k, (kind, y, h) in enumerate(FILTERS):
+        whole = total(0, WINDOW, y, h)
         if kind == 0:  # later against earlier
-            plus = total(w // 2, w - w // 2, y, h)
+            plus = total(half, half, y, h)
         elif kind == 1:  # upper against lower pitch classes
-            plus = total(0, w, y + h // 2, h - h // 2)
+            plus = total(0, WINDOW, y + h // 2, h - h // 2)
         elif kind == 2:  # a chequer of four
-            plus = total(0, w // 2, y, h // 2) + total(w // 2, w - w // 2, y + h // 2, h - h // 2)
+            plus = total(0, half, y, h // 2) + total(half, half, y + h // 2, h - h // 2)
         else:  # the middle third of the time against the outer ones, which count half
-            third = w // 3
-            plus = 2 * total(third, w - 2 * third, y, h)
+            plus = 2 * total(third, WINDOW - 2 * third, y, h)
             whole = whole + plus / 2
-        ratio = np.log((1 + plus) / (1 + np.maximum(whole - plus, 0)))
-        level = np.digitize(ratio, (-_STEP, 0.0, _STEP)).astype(np.uint32)
+        out[:, k] = np.log((1 + plus) / (1 + np.maximum(whole - plus, 0)))
+    return out
+
+
+def _made_up(rng: np.random.Generator, seconds: float = 8.0) -> np.ndarray:
+    """Music of one to three voices with notes of random pitch, length and loudness."""
+    out = np.zeros(int(seconds * RATE))
+    for _ in range(rng.integers(1, 4)):
+        at = 0
+        while at < len(out):
+            n = int(rng.uniform(0.1, 0.6) * RATE)
+            t = np.arange(min(n, len(out) - at)) / RATE
+            tone = sum(np.sin(2 * np.pi * h * 110 * 2 ** (rng.integers(0, 37) / 12) * t) / h for h in (1, 2, 3))
+            out[at: at + n] += rng.uniform(0.3, 1) * tone * np.hanning(n)[: len(t)] ** 0.25
+            at += n
+    return 0.2 * out
+
+
+@lru_cache(maxsize=1)
+def cuts(pieces: int = 60) -> np.ndarray:
+    """The quartiles of each filter (3 x 16) over music made up with a fixed seed."""
+    rng = np.random.default_rng(2024)
+    return np.quantile(np.concatenate([responses(chroma(_made_up(rng))) for _ in range(pieces)]), (0.25, 0.5, 0.75), axis=0)
+
+
+def _packed(levels: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(levels), np.uint32)
+    for level in levels.T.astype(np.uint32):
         out = (out << np.uint32(2)) | (level ^ (level >> np.uint32(1)))
     return out
 
 
+#: The integer of a silent window; no other window has it.
+SILENT = np.uint32(0xAAAAAAAA)
+
+
+def fingerprint(x: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+    """A 32-bit integer for each window of WINDOW frames."""
+    at, image = cuts() if at is None else at, chroma(x)
+    said = responses(image)
+    out = _packed((said[:, :, None] >= at.T[None]).sum(2))
+    out[out == SILENT] ^= np.uint32(1)
+    if len(out):
+        sounding = np.r_[0, image.any(1).cumsum()]
+        out[sounding[WINDOW:] == sounding[: len(out)]] = SILENT
+    return out
+
+
 def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int] | None:
     """(offset, overlap, bit errors) at the offset with most equal integers: a[i] lies at b[i + offset].
     None without an equal integer. Ties go to the fewer bit errors a window, then the smaller offset."""
-    order = np.argsort(b, kind="stable")
-    lo, hi = np.searchsorted(b[order], a, "left"), np.searchsorted(b[order], a, "right")
-    counts = hi - lo
-    if not counts.any():
-        return None
-    ia = np.repeat(np.arange(len(a)), counts)
-    ib = order[np.repeat(lo, counts) + np.arange(counts.sum()) - np.repeat(counts.cumsum() - counts, counts)]
-    histogram = np.bincount(ib - ia + len(a))
-    best = None
-    for k in np.flatnonzero(histogram == histogram.max())[:8]:
-        offset = int(k) - len(a)
-        i0, i1 = max(0, -offset), min(len(a), len(b) - offset)
-        errors = int(np.bitwise_count(a[i0:i1] ^ b[i0 + offset: i1 + offset]).sum())
-        rank = (errors / (i1 - i0), offset)
-        if best is None or rank < best[0]:
-            best = (rank, (offset, i1 - i0, errors))
-    return best[1]
+    found = align_all([a], [b])
+    return tuple(found[0, 2:].tolist()) if len(found) else None
+
+
+def sounding(f: np.ndarray) -> int:
+    """Windows that aren't silent."""
+    return int((f != SILENT).sum())
 
 
 def accepts(a: np.ndarray, b: np.ndarray, found: tuple[int, int, int] | None) -> bool:
-    return found is not None and found[1] >= LEAST_OVERLAP * min(len(a), len(b)) and found[2] <= MOST_ERROR * 32 * found[1]
+    return found is not None and found[1] >= LEAST_OVERLAP * min(sounding(a), sounding(b)) and found[2] <= MOST_ERROR * 32 * found[1]
 
 
 #: Integers of a block of recordings, blocks that a task makes, equal integers looked at together, and integers compared together, about.
@@ -167,8 +224,9 @@ BLOCK, TASK_BLOCKS, HITS, COMPARED = 8192, 16, 1 << 20, 1 << 20
 
 
 def align_all(asked: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
-    """What align() finds for each pair that shares an integer: rows of (position in asked, position in
-    others, offset, overlap, bit errors). The integers of others are sorted once for all of asked."""
+    """What align() finds for each pair that shares an integer of a window that isn't silent: rows of
+    (position in asked, position in others, offset, overlap, bit errors). The integers of others are
+    sorted once for all of asked."""
     la, lb = (np.array([len(f) for f in x], np.int64) for x in (asked, others))
     if not la.sum() or not lb.sum():
         return np.zeros((0, 5), np.int64)
@@ -177,6 +235,7 @@ def align_all(asked: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
     whose_a, whose_b = np.repeat(np.arange(len(la)), la), np.repeat(np.arange(len(lb)), lb)
     order = np.argsort(b, kind="stable")
     lo, hi = np.searchsorted(b[order], a, "left"), np.searchsorted(b[order], a, "right")
+    hi[a == SILENT] = lo[a == SILENT]
     hits = np.r_[0, (hi - lo).cumsum()][begin_a]
     span, out, k = la.max() + lb.max(), [], 0
     while k < len(la):
@@ -194,38 +253,39 @@ def align_all(asked: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
         first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
         group = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(pair)]))
         most = equal == np.maximum.reduceat(equal, first)[group]
-        seen = most.cumsum()
-        most &= seen - (seen[first] - most[first])[group] <= 8
         pair, offset = pair[most], offset[most]
         x, y = pair // len(lb), pair % len(lb)
         i0, overlap = np.maximum(0, -offset), np.minimum(la[x], lb[y] - offset) - np.maximum(0, -offset)
-        errors = _differing(a, b, begin_a[x] + i0, begin_b[y] + i0 + offset, overlap)
+        errors, silent = _differing(a, b, begin_a[x] + i0, begin_b[y] + i0 + offset, overlap)
+        overlap -= silent
         order_ = np.lexsort((offset, errors / overlap, pair))
         best = order_[np.r_[True, pair[order_][1:] != pair[order_][:-1]]]
         out.append(np.stack([c[best] for c in (x, y, offset, overlap, errors)], 1))
     return np.concatenate(out) if out else np.zeros((0, 5), np.int64)
 
 
-def _differing(a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Differing bits of each passage of n > 0 integers of a and b."""
-    out, ends, k = [], np.r_[0, n.cumsum()], 0
+def _differing(a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Differing bits, and windows silent on both sides, of each passage of n > 0 integers of a and b."""
+    out, mute, ends, k = [], [], np.r_[0, n.cumsum()], 0
     while k < len(n):
         m = max(k + 1, int(np.searchsorted(ends, ends[k] + COMPARED, "right")) - 1)
         begin = ends[k:m] - ends[k]
         step = np.arange(ends[m] - ends[k])
-        bits = np.bitwise_count(a[np.repeat(at_a[k:m] - begin, n[k:m]) + step] ^ b[np.repeat(at_b[k:m] - begin, n[k:m]) + step])
-        out.append(np.add.reduceat(bits, begin, dtype=np.int64))
+        x, y = a[np.repeat(at_a[k:m] - begin, n[k:m]) + step], b[np.repeat(at_b[k:m] - begin, n[k:m]) + step]
+        out.append(np.add.reduceat(np.bitwise_count(x ^ y), begin, dtype=np.int64))
+        mute.append(np.add.reduceat((x == SILENT) & (y == SILENT), begin, dtype=np.int64))
         k = m
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
+    return tuple(np.concatenate(c) if c else np.zeros(0, np.int64) for c in (out, mute))
 
 
 def fingerprints(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
     """rec_id and fingerprint (array<int>) of each row."""
     prepare(media.sparkSession)
+    at = cuts()
 
     def apply(batches):
         for b in batches:
-            prints = [fingerprint(decode_wav(m)).view(np.int32) for m in b.column("media").to_pylist()]
+            prints = [fingerprint(decode_wav(m), at).view(np.int32) for m in b.column("media").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("rec_id"), pa.array(prints, pa.list_(pa.int32()))], ["rec_id", "fingerprint"])
 
     return media.select(F.col(id_col).cast("long").alias("rec_id"), F.col(media_col).alias("media")).mapInArrow(apply, "rec_id long, fingerprint array<int>")
@@ -254,7 +314,7 @@ def search(prints: DataFrame, queries: str) -> tuple[DataFrame, DataFrame]:
                 (ia, fa), (ib, fb) = (_unpacked(b, k, p) for p in ("asked_", ""))
                 found = align_all(fa, fb)
                 a, m, (offset, overlap, errors) = ia[found[:, 0]], ib[found[:, 1]], found[:, 2:].T
-                shorter = np.minimum(np.array([len(f) for f in fa])[found[:, 0]], np.array([len(f) for f in fb])[found[:, 1]])
+                shorter = np.minimum(np.array([sounding(f) for f in fa])[found[:, 0]], np.array([sounding(f) for f in fb])[found[:, 1]])
                 good = (a != m) & (overlap >= LEAST_OVERLAP * shorter) & (errors <= MOST_ERROR * 32 * overlap)
                 out.append(np.stack([c[good] for c in (a, m, offset, overlap, errors)], 1))
             rows = np.concatenate(out)
@@ -315,12 +375,17 @@ def summary(classes: DataFrame, matches: DataFrame) -> DataFrame:
 NOTES, NOTE_SAMPLES = 16, 1000
 
 
+@lru_cache(maxsize=4)
+def _projection(n: int) -> np.ndarray:
+    return np.random.default_rng(n).standard_normal((n, NOTES * 12))
+
+
 def melody(vector, rate: int = RATE) -> np.ndarray:
     """A tune of NOTES tones whose pitch classes follow fixed random projections of a vector."""
     x = np.asarray([0.0 if v is None or not np.isfinite(v) else v for v in vector], float)
     if not len(x):
         return np.zeros(0)
-    tones = (x @ np.random.default_rng(len(x)).standard_normal((len(x), NOTES * 12))).reshape(NOTES, 12).argmax(1)
+    tones = (x @ _projection(len(x))).reshape(NOTES, 12).argmax(1)
     t = np.arange(NOTE_SAMPLES) / rate
     pitch = 220.0 * 2 ** (tones / 12)
     wave_ = sum(np.sin(2 * np.pi * h * pitch[:, None] * t) / h for h in (1, 2, 3))

@@ -323,19 +323,76 @@ def test_integral_image_equals_sums():
     x = rng.normal(size=chroma.FRAME + chroma.HOP * 30)
     image, prints = chroma.chroma(x), chroma.fingerprint(x)
     assert len(prints) == len(image) - chroma.WINDOW + 1
+    w, cuts = chroma.WINDOW, chroma.cuts()
     for t in (0, 3, len(prints) - 1):
         bits = 0
-        for kind, y, h, w in chroma.FILTERS:
-            box = lambda t0, n, y0, m: image[t + t0: t + t0 + n, y0: y0 + m].sum()
+        for k, (kind, y, h) in enumerate(chroma.FILTERS):
+            box = lambda t0, n, y0, m: sum(image[t + t0: t + t0 + n, c % 12].sum() for c in range(y0, y0 + m))
             whole = box(0, w, y, h)
             plus = {0: lambda: box(w // 2, w - w // 2, y, h), 1: lambda: box(0, w, y + h // 2, h - h // 2), 2: lambda: box(0, w // 2, y, h // 2) + box(w // 2, w - w // 2, y + h // 2, h - h // 2), 3: lambda: 2 * box(w // 3, w - 2 * (w // 3), y, h)}[kind]()
             if kind == 3:
                 whole += plus / 2
-            level = int(np.digitize(np.log((1 + plus) / (1 + max(whole - plus, 0))), (-chroma._STEP, 0.0, chroma._STEP)))
+            level = int(np.digitize(np.log((1 + plus) / (1 + max(whole - plus, 0))), cuts[:, k]))
             bits = bits << 2 | level ^ level >> 1
         assert int(prints[t]) == bits
 
 
+def brute_align(a, b):
+    """align() by a plain loop over all offsets."""
+    best = None
+    for offset in range(-len(a) + 1, len(b)):
+        i0, i1 = max(0, -offset), min(len(a), len(b) - offset)
+        x, y = a[i0:i1], b[i0 + offset: i1 + offset]
+        equal = int(((x == y) & (x != chroma.SILENT)).sum())
+        if equal:
+            overlap = int(((x != chroma.SILENT) | (y != chroma.SILENT)).sum())
+            errors = sum(bin(int(p) ^ int(q)).count("1") for p, q in zip(x, y))
+            rank = (-equal, errors / overlap, offset)
+            if best is None or rank < best[0]:
+                best = (rank, (offset, overlap, errors))
+    return best and best[1]
+
+
+def test_unrelated_recordings_differ_and_noisy_ones_match():
+    rng = np.random.default_rng(21)
+    music = [chroma._made_up(rng, 6.0) for _ in range(60)]
+    prints = [chroma.fingerprint(x) for x in music]
+    rate = [np.bitwise_count(f ^ g).mean() / 32 for f in prints for g in prints if f is not g]
+    assert np.mean(rate) > 0.45 and min(rate) > chroma.MOST_ERROR
+    for x, f in zip(music, prints):
+        noisy = chroma.fingerprint(chroma.decode_wav(chroma.encode_wav(x + rng.normal(0, 0.1 * x.std(), len(x)))))
+        assert chroma.accepts(noisy, f, chroma.align(noisy, f))
+
+
+def test_every_tied_offset_is_tried():
+    """Ten offsets share one integer each; the ninth is the nearest otherwise."""
+    rng = np.random.default_rng(9)
+    key = rng.integers(1, 1 << 31, 10).astype(np.uint32)
+    a = rng.integers(1, 1 << 31, 40).astype(np.uint32)
+    a[0] = key[0]
+    b = rng.integers(1, 1 << 31, 400).astype(np.uint32)
+    for k in range(10):
+        b[40 * k] = key[0]
+    b[320: 360] = a ^ np.uint32(1)
+    b[320] = key[0]
+    assert chroma.align(a, b) == brute_align(a, b) == (320, 40, 39)
+    assert chroma.accepts(a, b, chroma.align(a, b))
+
+
+def test_silence_is_no_evidence(spark):
+    """Unrelated recordings that begin with the same long silence don't meet; excerpts behind silence do."""
+    rng = np.random.default_rng(10)
+    quiet, tunes = np.zeros(8000), [chroma.melody(rng.normal(size=64)) for _ in range(3)]
+    prints = [chroma.fingerprint(np.r_[quiet, t]) for t in tunes]
+    assert (prints[0][:40] == chroma.SILENT).all() and chroma.sounding(prints[0]) < len(prints[0]) - 40
+    assert not any(chroma.accepts(f, g, chroma.align(f, g)) for f in prints for g in prints if f is not g)
+    late = chroma.fingerprint(np.r_[quiet, quiet, tunes[0]])
+    assert chroma.align(prints[0], late) == brute_align(prints[0], late) and chroma.accepts(prints[0], late, chroma.align(prints[0], late))
+    mute = chroma.fingerprint(quiet)
+    assert len(mute) and chroma.sounding(mute) == 0 and chroma.align(mute, mute) is None
+    assert chroma.align(mute, late) is None
+
+
 def test_wav_forms():
     import wave
 
@@ -347,6 +404,15 @@ def test_wav_forms():
         w.writeframes(np.repeat((x * 127 + 128).astype(np.uint8), 2).tobytes())
     assert len(chroma.decode_wav(out.getvalue())) == 4000
     assert np.abs(chroma.decode_wav(chroma.encode_wav(x)) - x).max() < 1e-3
+    for width in (3, 4):
+        out = io.BytesIO()
+        with wave.open(out, "wb") as w:
+            w.setnchannels(1), w.setsampwidth(width), w.setframerate(chroma.RATE)
+            w.writeframes(b"".join(int(v * (2 ** (8 * width - 1) - 1)).to_bytes(width, "little", signed=True) for v in x))
+        assert np.abs(chroma.decode_wav(out.getvalue()) - x).max() < 1e-6
+    t = np.arange(44100) / 44100  # a tone over half of RATE must not fold back; one below it stays
+    high, low = (chroma.decode_wav(chroma.encode_wav(0.5 * np.sin(2 * np.pi * f * t), 44100))[200:-200] for f in (3300, 440))
+    assert np.abs(high).max() < 0.01 and 0.49 < np.abs(low).max() < 0.51
     assert len(chroma.fingerprint(x[:100])) == 0
 
 
@@ -395,12 +461,13 @@ def test_search_finds_every_match(spark):
     """Tunes of unrelated vectors and copies with noise: all that aligning all pairs accepts, up to MOST_ERROR."""
     rng = np.random.default_rng(3)
     tunes = [chroma.melody(rng.normal(size=64)) for _ in range(150)]
-    tunes += [t + rng.normal(size=len(t)) * 0.3 for t in tunes[:50]]
+    tunes += [t + rng.normal(size=len(t)) * (0.05 if k % 5 == 0 else 0.17) for k, t in enumerate(tunes[:50])]
     prints = [chroma.fingerprint(t) for t in tunes]
     rows = spark.createDataFrame([(i, f.view(np.int32).tolist()) for i, f in enumerate(prints)], "rec_id long, fingerprint array<int>")
     got = {(r[0], r[1]): tuple(r)[2:] for r in chroma.search(rows, "rec_id % 2 = 0")[1].collect()}
     want = {(a, b): chroma.align(prints[a], prints[b]) for a in range(0, 200, 2) for b in range(200) if a != b}
     want = {k: v for k, v in want.items() if chroma.accepts(prints[k[0]], prints[k[1]], v)}
+    assert all(brute_align(prints[a], prints[b]) == v for (a, b), v in want.items())
     assert got == want and sum(v[2] > 0.15 * 32 * v[1] for v in want.values()) > 20
 
 
@@ -442,7 +509,8 @@ def test_blocks_align_like_pairs():
     rng = np.random.default_rng(4)
     for _ in range(100):
         asked, others = ([rng.integers(0, 4, rng.integers(0, n)).astype(np.uint32) for _ in range(5)] for n in (12, 30))
-        want = {(x, y): chroma.align(f, g) for x, f in enumerate(asked) for y, g in enumerate(others) if len(f) and len(g)}
+        asked, others = ([np.where(f == 3, chroma.SILENT, f) for f in x] for x in (asked, others))
+        want = {(x, y): brute_align(f, g) for x, f in enumerate(asked) for y, g in enumerate(others) if len(f) and len(g)}
         assert {(x, y): tuple(v) for x, y, *v in chroma.align_all(asked, others).tolist()} == {k: v for k, v in want.items() if v}
 
 
