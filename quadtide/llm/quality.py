@@ -8,7 +8,9 @@ out-of-fold differences.
 
 Defined cases: a null or empty text has the statistics of an empty text and gets a score; null,
 repeated or contradicting labels: null labels are dropped and a document counts once, as the least
-label that it has; without both classes the model scores every document 1 (nothing is rejected).
+label that it has; without both classes the model scores every document 1 (nothing is rejected). One
+row of each class is enough: shrinkage does the rest. A class without two rows for every pair of folds
+leaves nothing to validate on, so the strongest shrinkage and an uncalibrated difference are taken.
 """
 
 from __future__ import annotations
@@ -47,11 +49,10 @@ _CLASSES = np.stack([
     _mask(_SIGN),
     _mask(b"!?"),
     _mask(_NOISE),
-    _mask(b"|"),
     _mask(b"\n"),
 ]).astype(np.float64)
 
-FEATURES = 19
+FEATURES = 17
 
 
 def statistics(text: str | None) -> np.ndarray:
@@ -69,7 +70,7 @@ def statistics(text: str | None) -> np.ndarray:
     long_share = sum(1 for w in distinct if len(w) > 18) / max(len(distinct), 1)
     line_words = n / len(lines)
     lower_start = sum(map(str.islower, words))
-    more = np.array([repeated / n, 1 - len(set(lines)) / len(lines), long_share, 1 - lower_start / n, (text.count(" | ") + text.count("!! ")) / n, 1 - len(distinct) / n])
+    more = np.array([repeated / n, 1 - len(set(lines)) / len(lines), long_share, 1 - lower_start / n, 1 - len(distinct) / n])
     return np.concatenate([
         np.log(shares + 0.002),
         np.log(more + 0.01),
@@ -122,7 +123,9 @@ def _gaussian(x: np.ndarray, pooled: np.ndarray, alpha: float, gamma: float) ->
 def _pair(x, y, alpha, gamma) -> tuple[Gaussian, Gaussian]:
     parts = [x[y == k] for k in (0, 1)]
     pooled = sum((p - p.mean(0)).T @ (p - p.mean(0)) for p in parts) / max(len(x) - 2, 1)
-    return tuple(_gaussian(p, pooled, alpha, gamma) for p in parts)
+    if len(x) < 4:  # so few rows tell no spread: the statistics are standardised, so take that
+        pooled = np.eye(x.shape[1])
+    return tuple(_gaussian(p, pooled, alpha if len(p) > 1 else 1.0, gamma) for p in parts)
 
 
 def _calibrate(diff: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -139,18 +142,24 @@ def _calibrate(diff: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit(x: np.ndarray, y: np.ndarray) -> Model:
-    """A model of labelled statistics; the shrinkage with the least out-of-fold log loss, 4 folds."""
-    if min((y == 0).sum(), (y == 1).sum()) < 8:
+    """A model of labelled statistics; the shrinkage with the least out-of-fold log loss, up to 4 folds
+    with equal shares of both classes."""
+    few = int(min((y == 0).sum(), (y == 1).sum()))
+    if not few:
         return Model(None, None, None, None)
     centre, scale = x.mean(0), x.std(0) + 1e-6
-    z, fold = (x - centre) / scale, np.arange(len(x)) % 4
+    z = (x - centre) / scale
+    if few < 2:
+        bad, good = _pair(z, y, POOLED[-1], IDENTITY[-1])
+        return Model(centre, scale, bad, good)
+    folds, fold = min(4, few), np.zeros(len(y), int)
+    for c in (0, 1):
+        fold[y == c] = np.arange((y == c).sum()) % folds
     best = None
     for alpha in POOLED:
         for gamma in IDENTITY:
             diff = np.zeros(len(z))
-            for k in range(4):
-                if min((y[fold != k] == c).sum() for c in (0, 1)) < 4:
-                    return Model(None, None, None, None)
+            for k in range(folds):
                 bad, good = _pair(z[fold != k], y[fold != k], alpha, gamma)
                 diff[fold == k] = good.log_density(z[fold == k]) - bad.log_density(z[fold == k])
             slope, offset = _calibrate(squash(diff), y)
