@@ -9,11 +9,14 @@ token is shuffled, and a file wastes less than a row on average:
     ids          rows x row length, unsigned; what is left of a row is the pad id
     cu_seqlens   for each row 0 and the cumulative lengths of its pieces (int32), rows one after another
     row_starts   where each row's part of cu_seqlens begins (int64, rows + 1)
+    resets       rows x row length bits, each row in whole bytes, the first bit uppermost: 1 where
+                 position ids restart at 0, so at the start of each piece and of the padding
     pieces       for each piece in file order: doc_id, piece, start (int64)
 
-Position ids restart at 0 with each piece, so they are read off cu_seqlens (`positions`). A file's
-name holds a fresh random part, and only the names that the written manifest holds are read: a task
-that is run again, or twice at once, leaves a file that nobody reads.
+Ids take 16 bits where the vocabulary's largest id, the end id and the pad id allow it, else 32; an id
+that a file's width can't hold is an error. A file's name holds a fresh random part, and only the
+names that the written manifest holds are read: a task that is run again, or twice at once, leaves a
+file that nobody reads.
 
 Defined cases: a null or empty text is the end id alone; a null doc_id is written as the least
 64-bit integer and read back as null; repeated rows are pieces of their own; an empty table has no files.
@@ -31,12 +34,12 @@ from pyspark.sql import functions as F
 
 from .bestfit import best_fit_decreasing
 from .common import filesystem, materialize, prepare, scratch
-from .tokens import ids_of
+from .tokens import ids_of, largest_id
 
 ROW = 2048
 #: A file is closed at so many documents or bytes of ids.
 FILE_DOCS, FILE_BYTES = 8192, 64 << 20
-MAGIC = 0x51544B53
+MAGIC, VERSION = 0x51544B53, 2
 _NULL = np.iinfo(np.int64).min
 _HEADER = 6
 
@@ -44,10 +47,12 @@ _HEADER = 6
 def write_file(path: str, doc: np.ndarray, piece: np.ndarray, start: np.ndarray, ids: list[bytes], row_length: int, wide: bool, pad_id: int = 0) -> tuple[int, int]:
     """Packs pieces (ids: integers of 32 bits if wide, else 16) into rows and writes the file; (rows, bytes)."""
     kind = "<u4" if wide else "<u2"
+    if pad_id >> (8 * np.dtype(kind).itemsize):
+        raise ValueError(f"the pad id {pad_id} needs more than {8 * np.dtype(kind).itemsize} bits")
     lengths = np.array([len(x) for x in ids], np.int64) // np.dtype(kind).itemsize
     rows_of, rows = best_fit_decreasing(lengths, row_length)
     order = np.argsort(rows_of, kind="stable")
-    matrix = np.full((rows, row_length), pad_id, kind)
+    matrix, resets = np.full((rows, row_length), pad_id, kind), np.zeros((rows, row_length + 1), bool)
     cu: list[int] = []
     row_starts = [0]
     last, at = -1, 0
@@ -59,11 +64,13 @@ def write_file(path: str, doc: np.ndarray, piece: np.ndarray, start: np.ndarray,
             cu.append(0)
         n = int(lengths[k])
         matrix[last, at: at + n] = np.frombuffer(ids[k], kind)
+        resets[last, at] = True
         at += n
+        resets[last, at] = True  # what follows, or the padding
         cu.append(at)
     row_starts.append(len(cu))
-    header = np.array([MAGIC, 1, rows, row_length, len(ids), 4 if wide else 2], "<i8")
-    blob = b"".join([header.tobytes(), matrix.tobytes(), np.array(row_starts, "<i8").tobytes(), np.array(cu, "<i4").tobytes(), np.stack([doc[order], piece[order], start[order]]).astype("<i8").tobytes()])
+    header = np.array([MAGIC, VERSION, rows, row_length, len(ids), 4 if wide else 2], "<i8")
+    blob = b"".join([header.tobytes(), matrix.tobytes(), np.array(row_starts, "<i8").tobytes(), np.array(cu, "<i4").tobytes(), np.packbits(resets[:, :row_length], axis=1).tobytes(), np.stack([doc[order], piece[order], start[order]]).astype("<i8").tobytes()])
     fs, name = filesystem(path)
     fs.create_dir(name.rsplit("/", 1)[0], recursive=True)
     with fs.open_output_stream(name) as f:
@@ -79,7 +86,7 @@ class TokenFile:
         with fs.open_input_file(name) as f:
             raw = f.read()
         magic, version, self.rows, self.row_length, self.pieces, width = np.frombuffer(raw, "<i8", _HEADER).tolist()
-        if magic != MAGIC or version != 1:
+        if magic != MAGIC or version != VERSION:
             raise ValueError(f"{path} isn't a packed token file")
         at = 8 * _HEADER
         self.ids = np.frombuffer(raw, "<u2" if width == 2 else "<u4", self.rows * self.row_length, at).reshape(self.rows, self.row_length)
@@ -88,15 +95,18 @@ class TokenFile:
         at += 8 * (self.rows + 1)
         self.cu = np.frombuffer(raw, "<i4", int(self.row_starts[-1]), at)
         at += 4 * len(self.cu)
+        wide = -(-self.row_length // 8)
+        self.resets = np.unpackbits(np.frombuffer(raw, np.uint8, self.rows * wide, at).reshape(self.rows, wide), axis=1, count=self.row_length).astype(bool)
+        at += self.rows * wide
         self.origin = np.frombuffer(raw, "<i8", 3 * self.pieces, at).reshape(3, self.pieces)
 
     def cu_seqlens(self, row: int) -> np.ndarray:
         return self.cu[self.row_starts[row]: self.row_starts[row + 1]]
 
     def positions(self, row: int) -> np.ndarray:
-        """Position ids of a row: from 0 in every piece, and from 0 in the padding."""
-        bounds = np.unique(np.r_[self.cu_seqlens(row), self.row_length])
-        return np.concatenate([np.arange(n) for n in np.diff(bounds)]) if len(bounds) > 1 else np.zeros(0, int)
+        """Position ids of a row by its resets: from 0 in every piece, and from 0 in the padding."""
+        at = np.arange(self.row_length)
+        return at - np.maximum.accumulate(np.where(self.resets[row], at, 0))
 
     def segments(self):
         """(doc_id, piece, start, row, offset, ids) of each piece in file order."""
@@ -119,7 +129,12 @@ class _Pieces:
     def add(self, doc: int | None, raw: bytes, row_length: int, kind: str) -> None:
         """All ids of a document, as 32-bit integers, cut into pieces."""
         for piece, start in enumerate(range(0, len(raw) // 4, row_length)):
-            part = np.frombuffer(raw[4 * start: 4 * (start + row_length)], "<u4").astype(kind).tobytes()
+            part = np.frombuffer(raw[4 * start: 4 * (start + row_length)], "<u4")
+            if kind == "<u2":
+                if part.max() > 0xFFFF:
+                    raise ValueError(f"id {part.max()} needs more than 16 bits: write with wide=True")
+                part = part.astype(kind)
+            part = part.tobytes()
             self.doc.append(_NULL if doc is None else doc), self.piece.append(piece), self.start.append(start), self.ids.append(part)
             self.bytes += len(part)
         self.docs += 1
@@ -129,11 +144,13 @@ class _Pieces:
         return name, rows, len(self.ids), size
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, row_length: int = ROW, end_id: int = 0, file_docs: int = FILE_DOCS, wide: bool = False, pad_id: int = 0) -> DataFrame:
+def write(docs: DataFrame, path: str, tokenizer: str, row_length: int = ROW, end_id: int = 0, file_docs: int = FILE_DOCS, wide: bool | None = None, pad_id: int = 0) -> DataFrame:
     """Writes packed files under path; the manifest (file, rows, pieces, bytes), itself a written table.
 
-    wide: ids of 32 bits, needed for vocabularies over 65,536."""
+    wide: ids of 32 bits; None takes them where the vocabulary needs them."""
     prepare(docs.sparkSession)
+    if wide is None:
+        wide = max(largest_id(tokenizer), end_id, pad_id) > 0xFFFF
     kind = "<u4" if wide else "<u2"
 
     def apply(batches):

@@ -1,12 +1,15 @@
 """Token ids of whole texts by a vocabulary of the tokenizers library, remembered by word.
 
-The vocabulary drops white space, so a text may be cut at spaces and line ends and each part encoded
-by the library on its own; parts repeat, and a bounded table keeps the ids of short ones. Parts keep
-any other white space, which the library then treats as it would in the whole text.
+Where the vocabulary drops white space and ignores case, a text may be cut at spaces and line ends and
+each part encoded by the library on its own; parts repeat, and a bounded table keeps the ids of short
+ones. Parts keep any other white space, which the library then treats as it would in the whole text.
+Whether a vocabulary is of this kind is read off its definition and tried on sentences; any other one
+encodes whole texts.
 """
 
 from __future__ import annotations
 
+import json
 from functools import lru_cache
 
 import numpy as np
@@ -72,13 +75,47 @@ class _Parts(dict):
         return ids
 
 
+#: Sentences on which a vocabulary must give the same ids whole and by parts.
+_TRIALS = ("The word, the Word and THE WORD.", "two  blanks\n\nand lines \n here", " edges ", "don't we'll it's x2y 3.5 a-b", "Zoë NAÏVE Äpfel, été.", "漢字 mixed with ɣ and 🙂 signs!")
+
+
+@lru_cache(maxsize=2)
+def parts(path: str) -> _Parts | None:
+    """The table of parts; None for a vocabulary that needs whole texts."""
+    table = _Parts(path)
+    rules = json.loads(table.words.tokenizer.to_str())
+    steps = [rules["normalizer"] or {}, *(rules["normalizer"] or {}).get("normalizers", [])]
+    if not any(r.get("type") == "Lowercase" or r.get("lowercase") for r in steps):
+        return None
+    whole = table.words.tokenizer
+    return table if all(_by_parts(t, table) == _whole(t, whole) for t in _TRIALS) else None
+
+
 @lru_cache(maxsize=2)
-def parts(path: str) -> _Parts:
-    return _Parts(path)
+def _tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    return t
+
+
+def largest_id(path: str) -> int:
+    """The largest id of a vocabulary."""
+    return max(_tokenizer(path).get_vocab(with_added_tokens=True).values(), default=0)
+
+
+def _by_parts(text: str, table: _Parts) -> bytes:
+    return b"".join(map(table.__getitem__, text.replace("\n", " ").split(" ")))
+
+
+def _whole(text: str, tokenizer) -> bytes:
+    return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def ids_of(text: str | None, path: str) -> bytes:
     """The ids of a whole text as little-endian unsigned 32-bit integers; null counts as empty."""
     if not text:
         return b""
-    return b"".join(map(parts(path).__getitem__, text.replace("\n", " ").split(" ")))
+    table = parts(path)
+    return _whole(text, _tokenizer(path)) if table is None else _by_parts(text, table)

@@ -172,6 +172,38 @@ def test_token_files(spark, tmp_path):
     assert r["doc_id"] is None and r["length"] == 3
 
 
+def test_wide_ids_and_resets(spark, tmp_path, monkeypatch):
+    ids = [np.array([70000, 5, 0], "<u4"), np.array([1, 0], "<u4")]
+    monkeypatch.setattr(tokenbin, "largest_id", lambda path: 70000)  # decided on the driver
+    manifest = tokenbin.write(docs(spark, ["one two", "three"]), f"file://{tmp_path}/a", WORDS, 64)
+    assert all(tokenbin.TokenFile(r["file"]).ids.dtype == np.uint32 for r in manifest.collect())
+    held = tokenbin._Pieces()
+    with pytest.raises(ValueError):
+        held.add(1, ids[0].tobytes(), 64, "<u2")
+    with pytest.raises(ValueError):
+        tokenbin.write_file(f"file://{tmp_path}/p/x.bin", np.zeros(1, int), np.zeros(1, int), np.zeros(1, int), [b"\1\0"], 8, False, 70000)
+    held = tokenbin._Pieces()
+    for k, x in enumerate(ids):
+        held.add(k, x.tobytes(), 8, "<u4")
+    name, rows, pieces, _ = held.write(f"file://{tmp_path}/w/x.bin", 8, True, 99)
+    f = tokenbin.TokenFile(name)
+    assert (rows, pieces) == (1, 2) and f.ids.tolist() == [[70000, 5, 0, 1, 0, 99, 99, 99]]
+    assert f.resets.tolist() == [[True, False, False, True, False, True, False, False]] and f.positions(0).tolist() == [0, 1, 2, 0, 1, 0, 1, 2]
+
+
+def test_a_vocabulary_with_case_encodes_whole_texts(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    vocab = {w: k for k, w in enumerate(["<u>", "The", "the", "word", "Ġword", "Ġ", "t", "h", "e"])}
+    t = Tokenizer(models.WordLevel(vocab, unk_token="<u>"))
+    t.pre_tokenizer = pre_tokenizers.Split(" ", "merged_with_next")
+    t.save(f"{tmp_path}/case.json")
+    assert tokens.parts(f"{tmp_path}/case.json") is None and tokens.parts(WORDS) is not None
+    for text in ("The word", "the  word", " the\nThe"):
+        assert np.frombuffer(tokens.ids_of(text, f"{tmp_path}/case.json"), "<u4").tolist() == t.encode(text).ids
+    assert tokens.largest_id(f"{tmp_path}/case.json") == 8
+
+
 # --- personal data ------------------------------------------------------------------------------------
 
 PLAIN = [
@@ -343,6 +375,17 @@ def test_quality_edges(spark):
     assert {r["score"] for r in quality.score(docs(spark), quality.train(docs(spark), one)).collect()} == {1.0}
 
 
+@pytest.mark.parametrize("few", [1, 2, 3, 5, 7])
+def test_quality_from_few_labels(few):
+    rng = random.Random(few)
+    x = np.array([quality.statistics(_prose(rng, 3)) for _ in range(few)] + [quality.statistics(_prose(rng, 0)) for _ in range(30)])
+    y = np.r_[np.zeros(few), np.ones(30)]
+    for model in (quality.fit(x, y), quality.fit(x[::-1], y[::-1])):
+        bad, good = (model.score(np.array([quality.statistics(_prose(rng, k)) for _ in range(40)])) for k in (3, 0))
+        assert (bad < quality.THRESHOLD).mean() > 0.9 and (good >= quality.THRESHOLD).mean() > 0.9
+    assert np.isfinite(quality.fit(x[:few + 1], y[:few + 1]).score(x)).all()
+
+
 def test_mahalanobis_by_cholesky():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(200, 5)) @ rng.normal(size=(5, 5))
