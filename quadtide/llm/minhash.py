@@ -15,13 +15,15 @@ M = 12 and K = 3; a pair at s = 0.2, as a shared passage makes it, with probabil
 3. Each bucket of the M tables (i, i) links its members to one member, picked by a hash so that
    tables pick different ones; the pairs are confirmed on the full sets, and connected components
    are taken.
-4. The tables (i, 1) to (i, M) are the parts of the buckets of A_i, so a bucket of A_i that still
-   holds several components stands for them all: in it, pairs across components that share some B_j
-   too are looked at, in the first A_i that they share. Pairs whose minhashes agree too seldom don't
-   count (a pair at the threshold fails that with probability below 1e-6). The larger of a pair's two
-   components is its hub. For each hub, the shown members and outsiders are compared on the full
-   sets, in blocks of bounded size; an outsider that links with a block gives one link. So every pair
-   that a table shows is decided, but a group of copies never becomes all its pairs.
+4. The buckets of all tables (i, j) that still hold several components are looked through for pairs
+   across components, each pair in the first table that it shares. The tables (i, 1) to (i, M) are the
+   parts of the buckets of A_i, so they are read together where that bucket has at most WHOLE members
+   (a fifth of the comparisons), and by their own keys (A_i, B_j) where it is larger, as a passage that
+   very many documents share makes it. Pairs whose minhashes agree too seldom don't count (a pair at
+   the threshold fails that with probability below 1e-6). The larger of a pair's two components is its
+   hub. For each hub, the shown members and outsiders are compared on the full sets, in blocks bounded
+   in documents and bytes; an outsider that links with a block gives one link. So every pair that a
+   table shows is decided, but a group of copies never becomes all its pairs.
 
 Full sets are made again from the texts for the documents of asked pairs, picked out while reading
 by a Bloom filter of bounded size; a false positive there costs a set that nobody asks for. No text
@@ -234,26 +236,38 @@ def _sift(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return met.select("a", "b", "sa", "sb").mapInArrow(apply, "a long, b long")
 
 
-#: Documents of a block when components are compared, and rows of a task.
-HUB_BLOCK, LOT_ROWS = 512, 4096
+#: Documents of a block when components are compared, and bytes of their sets; rows and bytes of a lot of
+#: small groups.
+HUB_BLOCK, HUB_BYTES, LOT_ROWS, LOT_BYTES = 512, 16 << 20, 4096, 32 << 20
 #: Components with fewer documents are small.
 POOLED = 64
+#: Members of an A_i's bucket that are looked at together; larger ones are taken by their parts (A_i, B_j).
+WHOLE = 2048
 
 
-def _hubs(buckets: DataFrame, comps: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+def _hubs(met: DataFrame, comps: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """(hub, id, inside): the documents to compare across components; inside is 1 for members of the
-    hub, 0 for outsiders, 2 for documents of a pool. buckets: id, side, val."""
+    hub, 0 for outsiders, 2 for documents of a pool. met: id, side, val."""
     least = _likely(percent)
     sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("crowd"))
     known = comps.join(sizes, "comp")
-    told = buckets.join(known, "id", "left").select("id", "side", "val", F.coalesce("comp", "id").alias("comp"), F.coalesce("crowd", F.lit(1)).alias("crowd"))
+    told = met.where(F.col("side") < M).join(known, "id", "left").select("id", "side", "val", F.coalesce("comp", "id").alias("comp"), F.coalesce("crowd", F.lit(1)).alias("crowd"))
     told = materialize(told, "minhash-told")
-    mixed = told.groupBy("side", "val").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo != hi").select("side", "val", "n")
-    carried = told.join(mixed, ["side", "val"]).withColumn("key", F.xxhash64("side", "val")).join(reps.select(F.col("doc_id").alias("id"), "n_shingles", "sig"), "id")
+    several = [F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")]
+    mixed = materialize(told.groupBy("side", "val").agg(*several).where("lo != hi").select("side", "val", "n"), "minhash-mixed")
+    columns = ["key", "side", "part", "n", "id", "comp", "crowd"]
+    carried = told.join(mixed.where(F.col("n") <= WHOLE), ["side", "val"]).select(F.xxhash64("side", "val").alias("key"), "side", F.lit(-1).alias("part"), *columns[3:])
+    if mixed.where(F.col("n") > WHOLE).limit(1).count():
+        second = met.where(F.col("side") >= M).select("id", (F.col("side") - M).alias("part"), F.col("val").alias("other"))
+        tables = told.join(mixed.where(F.col("n") > WHOLE).drop("n"), ["side", "val"]).join(second, "id")
+        tables = materialize(tables.withColumn("key", F.xxhash64("side", "val", "part", "other")).drop("val", "other"), "minhash-tables")
+        apart = tables.groupBy("key").agg(*several).where("lo != hi").select("key", "n")
+        carried = carried.unionByName(tables.join(apart, "key").select(*columns))
+    carried = carried.join(reps.select(F.col("doc_id").alias("id"), "n_shingles", "sig"), "id")
 
     def shown(left, right, same):
         ids, comp, crowd, size = (np.asarray(right[c]) for c in ("id", "comp", "crowd", "n_shingles"))
-        side = left["side"][0]
+        side, part = left["side"][0], left["part"][0]
         sig = np.frombuffer(b"".join(right["sig"]), np.uint32).reshape(len(ids), HASHES)
         found = []
         for k in range(len(left["id"])):
@@ -267,7 +281,8 @@ def _hubs(buckets: DataFrame, comps: DataFrame, reps: DataFrame, percent: int) -
             likely = equal.sum(1) >= least
             at, equal = at[likely], equal[likely]
             parts = equal.reshape(-1, 2, M, K).all(3)
-            at = at[(parts[:, 0].argmax(1) == side) & parts[:, 1].any(1)]  # in the first A_i, with some B_j
+            # in the first A_i, with some B_j: in the first B_j if the bucket is of one
+            at = at[(parts[:, 0].argmax(1) == side) & parts[:, 1].any(1) & ((part < 0) | (parts[:, 1].argmax(1) == part))]
             if m < POOLED:
                 pool = at[crowd[at] < POOLED]
                 at = at[crowd[at] >= POOLED]
@@ -286,21 +301,39 @@ def _hubs(buckets: DataFrame, comps: DataFrame, reps: DataFrame, percent: int) -
     return blocked(carried, "key", "n", "id", shown, "hub long, id long, inside long").distinct()
 
 
-def _across(part: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) across components: for each outsider and block of a hub's shown members one, if there
-    is any, and in each block of a pool those that join what isn't joined there yet."""
-    part = part.withColumn("pool", F.col("inside") == 2)
-    blocks_of = lambda k: F.ceil(F.count_if(F.col("inside") == k) / HUB_BLOCK).cast("int")
+def _dealt(part: DataFrame, sets: DataFrame) -> DataFrame:
+    """The rows of hubs and pools, copied for each pair of blocks that they take part in: hub, pool, id,
+    inside, i, j, and lot, lot_i, lot_j, the task group: a pair of blocks, or several undivided hubs.
+
+    Blocks are bounded in documents and in bytes of sets; so are the lots, whose number follows the rows
+    that they get."""
+    part = part.withColumn("pool", F.col("inside") == 2).join(sets.select(F.col("doc_id").alias("id"), (8 * F.col("n") + 64).alias("bytes")), "id")
+
+    def blocks_of(k: int):
+        mine = F.col("inside") == k
+        return F.greatest(F.ceil(F.count_if(mine) / HUB_BLOCK), F.ceil(F.coalesce(F.sum(F.when(mine, F.col("bytes"))), F.lit(0)) / HUB_BYTES)).cast("int")
+
     many = part.groupBy("hub", "pool").agg(blocks_of(1).alias("bi"), blocks_of(0).alias("bo"), blocks_of(2).alias("bp"))
-    lots = max(1, part.count() // LOT_ROWS)
+    whole = (F.col("bi") <= 1) & (F.col("bo") <= 1) & (F.col("bp") <= 1)
+    dealt = materialize(part.join(many, ["hub", "pool"]).withColumn("whole", whole), "minhash-dealt")
+    total = dealt.where("whole").agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    lots = max(1, -(-total[0] // LOT_ROWS), -(-total[1] // LOT_BYTES))
     blocks = F.when(F.col("inside") == 1, F.col("bi")).when(F.col("inside") == 0, F.col("bo")).otherwise(F.col("bp"))
-    dealt = part.join(many, ["hub", "pool"]).withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int"))
     over = lambda n, pair: F.transform(F.sequence(F.lit(0), F.greatest(F.col(n) - 1, F.lit(0))), pair)
     pairs = F.when(F.col("inside") == 1, over("bo", lambda j: F.struct(F.col("own").alias("i"), j.alias("j")))).when(
         F.col("inside") == 0, over("bi", lambda i: F.struct(i.alias("i"), F.col("own").alias("j")))).otherwise(
         over("bp", lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j"))))
-    dealt = dealt.withColumn("at", F.explode(pairs)).select("hub", "pool", "id", "inside", F.col("at.i").alias("i"), F.col("at.j").alias("j"))
-    dealt = dealt.withColumn("lot", F.pmod(F.xxhash64("hub", "pool", "i", "j"), F.lit(lots))).join(sets.select(F.col("doc_id").alias("id"), "set"), "id")
+    dealt = dealt.withColumn("at", F.explode(pairs)).select("hub", "pool", "id", "inside", "whole", F.col("at.i").alias("i"), F.col("at.j").alias("j"))
+    name = F.xxhash64("hub", "pool")
+    lot = F.when(F.col("whole"), F.pmod(name, F.lit(lots))).otherwise(name)
+    return dealt.withColumn("lot", lot).withColumn("lot_i", F.when(F.col("whole"), -1).otherwise(F.col("i"))).withColumn("lot_j", F.when(F.col("whole"), -1).otherwise(F.col("j"))).drop("whole")
+
+
+def _across(part: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) across components: for each outsider and block of a hub's shown members one, if there
+    is any, and in each block of a pool those that join what isn't joined there yet."""
+    dealt = _dealt(part, sets).join(sets.select(F.col("doc_id").alias("id"), "set"), "id")
 
     def decide(table):
         table = table.sort_by([("hub", "ascending"), ("pool", "ascending"), ("i", "ascending"), ("j", "ascending"), ("inside", "descending"), ("id", "ascending")])
@@ -341,7 +374,7 @@ def _across(part: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                         out.append((int(ids[k]), int(ids[lo + m])))
         return pa.table([pa.array([min(r) for r in out], pa.int64()), pa.array([max(r) for r in out], pa.int64())], names=["a", "b"])
 
-    return dealt.groupBy("lot").applyInArrow(decide, "a long, b long").distinct()
+    return dealt.groupBy("lot", "lot_i", "lot_j").applyInArrow(decide, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -381,7 +414,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     sets = materialize(_shingle_sets(texts, width, ends), "minhash-sets")
     links = materialize(_confirm(asked, sets, percent), "minhash-links")
     first = components(links, "minhash-first")
-    hubs = materialize(_hubs(met.where(F.col("side") < M).select("id", "side", "val"), first, reps, percent), "minhash-hubs")
+    hubs = materialize(_hubs(met.select("id", "side", "val"), first, reps, percent), "minhash-hubs")
     if hubs.limit(1).count():
         lacking = hubs.select(F.col("id").alias("doc_id")).distinct().join(sets.select("doc_id"), "doc_id", "left_anti")
         sets = sets.unionByName(materialize(_shingle_sets(texts, width, lacking), "minhash-sets"))
@@ -406,17 +439,29 @@ BROADCAST_IDS = 500_000
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that near_duplicates keeps, with all their columns. Of rows that share a doc_id
-    the least by text stays; rows without words and rows without a doc_id all stay."""
-    spoken = near_duplicates(docs, width, percent)
-    gone = materialize(spoken.where("NOT kept").select("doc_id").distinct(), "minhash-gone")
-    if gone.count() <= BROADCAST_IDS:  # else the texts are shuffled by doc_id
+    """The rows of docs that near_duplicates keeps, with all their columns.
+
+    Rows that share a doc_id but not the text are documents of their own, ordered by doc_id, then by a
+    digest of the text: they go only where they are near-duplicates. Of equal texts under one doc_id the
+    row that is least by its other columns stays. Rows without words and rows without a doc_id all stay."""
+    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_many")).where("_many > 1")
+    if not repeated.limit(1).count():
+        return _without(docs, near_duplicates(docs, width, percent), "doc_id")
+    digest = F.when(F.col("doc_id").isNotNull() & F.col("text").isNotNull(), F.sha2("text", 256))
+    worded = F.trim(F.translate("text", "\t\n\x0b\f\r", "     ")) != ""
+    texts = docs.select("doc_id", digest.alias("_digest")).where("_digest IS NOT NULL").distinct().orderBy("doc_id", "_digest")
+    numbers = materialize(texts.withColumn("_number", F.monotonically_increasing_id()), "minhash-numbers")
+    named = docs.withColumn("_digest", digest).join(numbers, ["doc_id", "_digest"], "left").withColumn("_worded", F.coalesce(worded, F.lit(False)))
+    named = materialize(named.select("_number", "_worded", *docs.columns), "minhash-named")
+    one = named.where("_worded AND _number IS NOT NULL").groupBy("_number").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_number", "_row.*")
+    one = materialize(one, "minhash-one")
+    kept = _without(one, near_duplicates(one.select(F.col("_number").alias("doc_id"), "text"), width, percent), "_number")
+    return kept.select(*docs.columns).unionByName(named.where("NOT _worded OR _number IS NULL").select(*docs.columns))
+
+
+def _without(docs: DataFrame, spoken: DataFrame, id_col: str) -> DataFrame:
+    """docs but for the rows whose id is not kept."""
+    gone = materialize(spoken.where("NOT kept").select(F.col("doc_id").alias(id_col)).distinct(), "minhash-gone")
+    if gone.count() <= BROADCAST_IDS:  # else the texts are shuffled by the id
         gone = F.broadcast(gone)
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    twice = spoken.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_many")).where("_many > 1").select("doc_id")
-    if not twice.limit(1).count():
-        return kept
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    one = kept.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *others)).alias("_row"))
-    one = one.select("doc_id", "_row.*").select(*docs.columns)
-    return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(one)
+    return docs.join(gone, id_col, "left_anti").select(*docs.columns)

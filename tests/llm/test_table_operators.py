@@ -117,6 +117,32 @@ def test_near_duplicates_against_brute_force(spark):
     check(spark, rows)
 
 
+@pytest.mark.parametrize("whole, block, rows, size", [(5, 20, 100, 1 << 20), (2048, 7, 30, 4000), (3, 2048, 4096, 3000)])
+def test_small_blocks_change_nothing(spark, monkeypatch, whole, block, rows, size):
+    """Buckets by (A_i, B_j), hubs in many blocks and lots of few bytes give the same components, and no
+    task group has more than two blocks, or one lot."""
+    for name, value in (("WHOLE", whole), ("HUB_BLOCK", block), ("LOT_ROWS", rows), ("HUB_BYTES", size), ("LOT_BYTES", size), ("POOLED", 6)):
+        monkeypatch.setattr(minhash, name, value)
+    groups, dealt = [], minhash._dealt
+
+    def watched(part, sets):
+        out = dealt(part, sets)
+        groups.extend(tuple(r) for r in out.groupBy("lot", "lot_i", "lot_j").agg(F.count(F.lit(1)), F.countDistinct("hub", "pool")).collect())
+        return out
+
+    monkeypatch.setattr(minhash, "_dealt", watched)
+    rng = random.Random(17)
+    make = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+    texts = list(variants(rng, make(120), 150, 0.05)) + list(variants(rng, make(60), 40, 0.08))
+    passage = make(60)
+    texts += [passage + " " + make(rng.randrange(8, 60)) for _ in range(60)]
+    check(spark, list(enumerate(texts)))
+    assert len(groups) > 10
+    if size > 4000:
+        assert max(g[3] for g in groups) <= 4 * max(block, rows)  # blocks and lots are dealt by a hash
+        assert all(g[4] == 1 and g[3] <= 4 * block for g in groups if g[1] >= 0)
+
+
 def test_near_duplicate_edges(spark):
     check(spark, [])
     check(spark, [(5, None)])
@@ -151,6 +177,17 @@ def test_keep_one(spark):
     assert got == sorted([(1, "a b c d e f", "x"), (3, "other words are here now", "x"), (None, "a b c d e f", "z"), (4, "", "q"), (5, None, None)], key=str)
 
 
+def test_keep_one_of_repeated_ids(spark):
+    """Different texts under one doc_id are documents of their own; wordless rows stay."""
+    rows = [(3, "one two three four five six", "x"), (3, "quite another text stands under it", "x"), (3, None, "n"), (3, "", "e"), (3, " \t", "b"), (3, " \t", "b"), (2, "one two three four five six", "c"),
+            (5, "quite another text stands under it", "d"), (7, "a b c d e f g", "z"), (7, "a b c d e f g", "y"), (8, "A b c d e f g", "q"), (None, "a b c d e f g", "m"), (None, "a b c d e f g", "m")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _many string")
+    got = sorted((tuple(r) for r in minhash.keep_one(df).collect()), key=str)
+    want = [(3, "quite another text stands under it", "x"), (3, None, "n"), (3, "", "e"), (3, " \t", "b"), (3, " \t", "b"), (2, "one two three four five six", "c"), (7, "a b c d e f g", "y"), (None, "a b c d e f g", "m"), (None, "a b c d e f g", "m")]
+    assert got == sorted(want, key=str)
+    assert minhash.keep_one(df).columns == df.columns
+
+
 # --- lattice -------------------------------------------------------------------------------------------------
 
 def test_e8_decoding():
