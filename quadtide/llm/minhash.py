@@ -41,7 +41,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bloom
 from .blocks import blocked
+from .bloom import mix as _mix
 from .common import attach_group_min, materialize, prepare
 from .components import components
 
@@ -67,12 +69,6 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def word_hashes(text: str | None) -> np.ndarray:
     """A 64-bit hash of each word, in order."""
     if not text:
@@ -136,49 +132,20 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(apply, "doc_id long, n_shingles long, d1 long, d2 long, sig binary")
 
 
-#: Bits of the Bloom filter that picks documents, at most (16 MB).
-BLOOM_BITS = 1 << 27
-
-
-def _bloom_places(ids: np.ndarray, bits: int) -> np.ndarray:
-    """Three places for each id."""
-    h = ids.astype(np.int64).view(np.uint64)
-    return np.stack([_mix(h * _FOLD + np.uint64(k + 1)) % np.uint64(bits) for k in range(3)])
-
-
-def _bloom(ids: DataFrame, many: int) -> np.ndarray:
-    """A Bloom filter of the column doc_id as 64-bit words; its size follows the count and is bounded."""
-    bits = min(max(1 << 16, 1 << (16 * many).bit_length()), BLOOM_BITS)
-
-    def mark(batches):
-        for b in batches:
-            at = np.unique(_bloom_places(b.column("doc_id").to_numpy(zero_copy_only=False), bits))
-            word, first = np.unique(at >> np.uint64(6), return_index=True)
-            if len(word):
-                mask = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first)
-                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(mask.view(np.int64))], ["word", "mask"])
-
-    out = np.zeros(bits // 64, np.uint64)
-    got = ids.mapInArrow(mark, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
-    out[got.column("word").to_numpy()] = got.column("mask").to_numpy().view(np.uint64)
-    return out
-
-
 def _shingle_sets(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
     """doc_id, n and set of the rows whose doc_id is wanted, and of a few others. More wanted ids than
     the Bloom filter is good for are met by a join instead, which shuffles the texts."""
     docs = docs.where("doc_id IS NOT NULL")
     many = wanted.count()
-    if many > BLOOM_BITS // 8:
+    if many > bloom.BITS // 8:
         return docs.join(wanted, "doc_id", "left_semi").mapInArrow(lambda batches: (_set_rows(b, width) for b in batches), _SETS).where("n > 0")
-    words = docs.sparkSession.sparkContext.broadcast(_bloom(wanted, many))
+    words = docs.sparkSession.sparkContext.broadcast(bloom.build(wanted.select("doc_id"), many))
 
     def apply(batches):
         table = words.value
         for b in batches:
             ids = b.column("doc_id")
-            at = _bloom_places(ids.fill_null(0).to_numpy(zero_copy_only=False), 64 * len(table))
-            there = ((table[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).all(0)
+            there = bloom.holds(table, ids.fill_null(0).to_numpy(zero_copy_only=False))
             yield _set_rows(b.filter(pa.array(there)), width)
 
     return docs.mapInArrow(apply, _SETS).where("n > 0")

@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bloom
 from .common import attach_group_min, filesystem, materialize, prepare, scratch
 
 #: A package is closed when its archive member has so many bytes.
@@ -161,10 +162,10 @@ def record_urn(page_id: int | None, salt: str = "") -> str:
     return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{salt}')}"
 
 
-def make_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One WARC record; a revisit has the HTTP header alone."""
+def make_record(page_id: int | None, url: str | None, payload: bytes | None, digest: str, refers_to: int | None, size: int) -> bytes:
+    """One WARC record; a revisit has the HTTP header alone, which tells the payload's size."""
     urn = record_urn(page_id)
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{urn}>", f"WARC-Date: {DATE}"]
     lines.append(f"WARC-Target-URI: {quote(url, safe=_SAFE) if url else urn}")
@@ -199,7 +200,11 @@ def http_payload(block: bytes) -> tuple[int, bytes]:
 
 
 def _digest(payload: bytes) -> str:
-    return base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    return _base32(hashlib.sha1(payload).digest())
+
+
+def _base32(raw: bytes) -> str:
+    return base64.b32encode(raw).decode()
 
 
 class _Package:
@@ -231,31 +236,57 @@ def _gzip(raw: bytes) -> bytes:
     return c.compress(raw) + c.flush()
 
 
+#: Revisits whose keys are broadcast, at most (about 30 MB).
+BROADCAST_KEYS = 500_000
+
+
+def _responses(pages: DataFrame, revisits: DataFrame) -> DataFrame:
+    """The pages that are no revisits, with their payloads, in the partitions that they are read in: the
+    keys of revisits are broadcast if they are few. Else a Bloom filter of bounded size lets most pages
+    through, and only those that it holds are shuffled and compared with the keys; with more revisits than
+    the filter is good for all pages are."""
+    keys = ["nameless", "id", "sha1"]
+    known = revisits.select(*keys).distinct()
+    many = known.count()
+    if many <= BROADCAST_KEYS:
+        return pages.join(F.broadcast(known), keys, "left_anti")
+    if many > bloom.BITS // 8:
+        return pages.join(known, keys, "left_anti")
+    hashed = pages.withColumn("hash", F.xxhash64(*keys))
+    table = pages.sparkSession.sparkContext.broadcast(bloom.build(known.select(F.xxhash64(*keys).alias("hash")), many))
+
+    def sift(held: bool):
+        def apply(batches):
+            for b in batches:
+                there = bloom.holds(table.value, b.column("hash").to_numpy(zero_copy_only=False))
+                yield b.filter(pa.array(there == held))
+        return apply
+
+    free, maybe = (hashed.mapInArrow(sift(held), hashed.schema).drop("hash") for held in (False, True))
+    return free.unionByName(maybe.join(known, keys, "left_anti").select(*pages.columns))
+
+
 def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit: int = 0) -> DataFrame:
-    """Writes a record for each row into packages under folder; the manifest (file, records), a written table."""
-    spark = prepare(pages.sparkSession)
+    """Writes a record for each row into packages under folder; the manifest (file, records), a written table.
+
+    Which rows are revisits is decided on ids, sizes and digests; a revisit's record needs no more, so
+    payloads are read where they lie and written from there."""
+    prepare(pages.sparkSession)
     body = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
     pages = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), body.alias("payload"))
-    facts = materialize(pages.where("page_id IS NOT NULL").select("page_id", F.when(F.octet_length("payload") >= min_revisit, F.sha1("payload")).alias("sha1")), "warc-facts")
-    origin = attach_group_min(facts.where("sha1 IS NOT NULL"), ["sha1"], "page_id", "origin")
-    # only what differs from the plain case travels: rows that revisit another
-    known = materialize(origin.where("page_id != origin").distinct(), "warc-revisits")
-    nameless = pages.where("page_id IS NULL")
-    if nameless.limit(1).count():
-        least = facts.where("sha1 IS NOT NULL").groupBy("sha1").agg(F.min("page_id").alias("origin"))
-        nameless = nameless.withColumn("sha1", F.when(F.octet_length("payload") >= min_revisit, F.sha1("payload"))).join(least, "sha1", "left").select("page_id", "url", "payload", "origin")
-    else:
-        nameless = None
-    rows = pages.where("page_id IS NOT NULL").withColumn("sha1", F.sha1("payload")).join(known, ["page_id", "sha1"], "left").select("page_id", "url", "payload", "origin")
-    if nameless is not None:
-        rows = rows.unionByName(nameless)
+    pages = pages.withColumn("sha1", F.unhex(F.sha1("payload"))).withColumn("nameless", F.col("page_id").isNull()).withColumn("id", F.coalesce("page_id", F.lit(0)))
+    facts = materialize(pages.select("page_id", "url", "nameless", "id", "sha1", F.octet_length("payload").cast("long").alias("size")), "warc-facts")
+    origin = attach_group_min(facts.where(F.col("size") >= min_revisit), ["sha1"], "page_id", "origin")
+    revisits = materialize(origin.where("origin IS NOT NULL AND NOT page_id <=> origin"), "warc-revisits")
+    responses = _responses(pages, revisits).select("page_id", "url", "payload", "sha1", F.lit(None).cast("long").alias("origin"), F.octet_length("payload").cast("long").alias("size"))
+    rows = responses.unionByName(revisits.select("page_id", "url", F.lit(None).cast("binary").alias("payload"), "sha1", "origin", "size"))
 
     def apply(batches):
         package = _Package()
         done = []
         for b in batches:
-            for page, url, payload, origin in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload", "origin"))):
-                package.add(make_record(page, url, payload, _digest(payload), origin), page)
+            for page, url, payload, sha1, origin, size in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload", "sha1", "origin", "size"))):
+                package.add(make_record(page, url, payload, _base32(sha1), origin, size), page)
                 if package.at >= PACKAGE_BYTES:
                     done.append(package.write(folder))
                     package = _Package()

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quadtide.llm import blocks, chroma, common, lattice, minhash, warc
+from quadtide.llm import blocks, bloom, chroma, common, lattice, minhash, warc
 from quadtide.llm.components import components
 
 
@@ -286,8 +286,11 @@ def brute_warc(rows, least):
     return out
 
 
-@pytest.mark.parametrize("least", [0, 3])
-def test_warc(spark, least, monkeypatch):
+@pytest.mark.parametrize("least, few, bits", [(0, 500_000, 1 << 27), (3, 500_000, 1 << 27), (0, 0, 1 << 27), (3, 0, 8)])
+def test_warc(spark, least, few, bits, monkeypatch):
+    """By broadcast keys, by a Bloom filter, and with more revisits than the filter is good for."""
+    monkeypatch.setattr(warc, "BROADCAST_KEYS", few)
+    monkeypatch.setattr(bloom, "BITS", bits)
     monkeypatch.setattr(warc, "PACKAGE_BYTES", 2000)
     monkeypatch.setattr(warc, "READ_BYTES", 700)
     rows = [(k, f"http://h/{k}?q=é \r\nX: y", ["<p>ü</p>" * (k % 5), None, "same", "x", ""][k % 5]) for k in range(60)]
@@ -297,6 +300,32 @@ def test_warc(spark, least, monkeypatch):
     assert got == sorted(brute_warc(rows, least), key=str)
 
 
+def test_bloom_filter(spark):
+    ids = spark.range(0, 3000, 3)
+    table = bloom.build(ids, 1000)
+    there = bloom.holds(table, np.arange(30_000, dtype=np.int64))
+    assert there[0:3000:3].all() and there.sum() < 1000 + 300
+    assert not bloom.holds(bloom.build(ids.limit(0), 0), np.arange(10)).any()
+
+
+def test_warc_payloads_stay_where_they_are(spark):
+    """The keys of revisits are broadcast; no join shuffles payloads."""
+    df = spark.createDataFrame([(1, "u", "a" * 50), (2, "u", "a" * 50), (3, "u", "b")], "page_id long, url string, html string").repartition(3)
+    seen, materialize = [], warc.materialize
+
+    def watched(table, label):
+        if label == "warc-manifest":
+            seen.append(table._jdf.queryExecution().executedPlan().toString())
+        return materialize(table, label)
+
+    try:
+        warc.materialize = watched
+        warc.write(df, common.scratch(spark, "warc-test"))
+    finally:
+        warc.materialize = materialize
+    assert "BroadcastHashJoin" in seen[0] and "SortMergeJoin" not in seen[0]
+
+
 def test_warc_content_and_empty(spark, tmp_path):
     df = spark.createDataFrame([(1, "http://a/ b", "<p>é</p>"), (2, None, None), (3, "http://c", "<p>é</p>")], "page_id long, url string, html string")
     rows = {r["page_id"]: r for r in warc.read(warc.write(df, f"file://{tmp_path}/w"), content=True).collect()}
