@@ -104,11 +104,18 @@ def live_dataset(quads: DataFrame | Wide, spec: WindowSpec, **options) -> Datase
     return data
 
 
+def open_at(spec: WindowSpec, at):
+    """The start of a live window's instance that is open at a time, the one that opened first; with a
+    slide over the width it may start later than that time, and then none is open."""
+    return (F.floor((at - spec.width) / spec.slide) + 1).cast("long") * spec.slide
+
+
 def joined_live_datasets(streams: list[tuple[WindowSpec, DataFrame]], **options) -> dict[str, Dataset]:
-    """Several live windows: whenever one of them closes, at t, it meets what the others hold at t.
+    """Several live windows: when an instance of one of them closes at we, its last quad being of t, it
+    meets of each other window the instance that is open at t, the one that opened first, with what that
+    has before we. The query runs for every instance with content, whether the others hold anything or not.
 
-    Keys: by (which window fired), ws and we = t; stamps have the last quad's time of the one that
-    fired. Of another window's instances that are open at t, the one that opened first is taken.
+    Keys: by (which window fired), ws and we; stamps have t of the instance that fired.
     """
     streams = [(w, q.quads() if isinstance(q, Wide) else q) for w, q in streams]
     assigned = {w.name: assign_live(q, w.width, w.slide) for w, q in streams}
@@ -118,13 +125,11 @@ def joined_live_datasets(streams: list[tuple[WindowSpec, DataFrame]], **options)
         firings = f if firings is None else firings.unionByName(f)
     out = {}
     for k, (w, _) in enumerate(streams):
-        open_at = (F.floor((F.col("we") - w.width) / w.slide) + 1).cast("long") * w.slide
-        held = firings.withColumn("_ws", F.when(F.col("by") == k, F.col("ws")).otherwise(open_at)).withColumn("_t", F.col("we"))
-        held = held.where((F.col("by") == k) | (F.col("_ws") <= F.col("_t")))
+        own = assigned[w.name].select(F.lit(k).alias("by"), "ws", "we", *TERMS)
+        asked = firings.where(F.col("by") != k).withColumn("_ws", open_at(w, F.col("last_ms"))).where("_ws <= last_ms").drop("last_ms")
         content = assigned[w.name].select(F.col("ws").alias("_ws"), "ts_ms", *TERMS)
-        # the instance is still open: only what came before t is there
-        met = held.join(content, "_ws").where((F.col("by") == k) | (F.col("ts_ms") < F.col("_t")))
-        out[w.name] = Dataset(as_set(met, "by", "ws", "we"), ("by", "ws", "we"), stamps=firings, **options)
+        met = asked.join(content, "_ws").where("ts_ms < we").select("by", "ws", "we", *TERMS)
+        out[w.name] = Dataset(as_set(own.unionByName(met), "by", "ws", "we"), ("by", "ws", "we"), stamps=firings, **options)
     return out
 
 

@@ -9,7 +9,7 @@ for certain; only maybe-unbound ones need a null-tolerant condition.
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,10 +63,16 @@ class Dataset:
     functional: frozenset[str] = frozenset()
     extra_graphs: tuple[str, ...] = ()
     static: DataFrame | None = None
+    #: The predicates that static quads can have; None if they can have any.
+    static_predicates: frozenset[str] | None = None
     wide: Wide | None = None
     stamps: DataFrame | None = None
 
 
+#: Patterns of a group that are matched by windows' and by static quads in every combination, at most.
+MOST_EITHER = 4
+
+
 @dataclass
 class Rel:
     df: DataFrame
@@ -119,13 +125,36 @@ class Plan:
     def triple(self, t: Triple, data: Dataset, graph) -> Rel:
         if not isinstance(t.p, (Var, Const)):
             return self.path_rel(t, data, graph)
-        q = self.quads(data, graph)
-        if data.static is not None and data.keys and graph is None:
-            live = Plan(Dataset(data.quads, data.keys, data.functional, data.extra_graphs), None, self.now_ms)
-            fixed = Plan(Dataset(data.static), None, self.now_ms).triple(t, Dataset(data.static), None)
-            # static quads have no keys: they meet each key's solutions in a join, not as copies
-            return self.union([live.triple(t, live.dataset, None), Rel(data.quads.select(*data.keys).distinct().crossJoin(fixed.df), fixed.vars, data.keys)])
-        return self.match(q, t, data.keys, graph)
+        return self.match(self.quads(data, graph), t, data.keys, graph)
+
+    def with_static(self, triples: list[Triple], data: Dataset) -> Rel:
+        """Patterns over windows' quads and static ones, which have no keys. Each pattern that static
+        quads can match is matched by either kind: for every choice, the windows' part and the static
+        part are joined on their variables, and only solutions that are static alone are paired with
+        the windows. Paths, and patterns beyond the first few such ones, take copies of static quads."""
+        live, fixed = replace(data, static=None), Dataset(data.static)
+        simple = [t for t in triples if isinstance(t.p, (Var, Const))]
+        known = data.static_predicates
+        either = [t for t in simple if known is None or isinstance(t.p, Var) or t.p.lex in known]
+        either, copied = either[:MOST_EITHER], either[MOST_EITHER:] + [t for t in triples if t not in simple]
+        rels = []
+        for chosen in range(1 << len(either)):
+            still = [t for k, t in enumerate(either) if chosen >> k & 1]
+            moving = [t for t in simple if t not in still and t not in copied]
+            rel = self.bgp(moving, live, None) if moving else None
+            if still:
+                found = self.bgp(still, fixed, None)
+                if rel is None:
+                    rel = Rel(data.quads.select(*data.keys).distinct().crossJoin(found.df), found.vars, data.keys)
+                else:
+                    rel = self.join(rel, found)
+            if rel is not None:
+                rels.append(rel)
+        out = self.union(rels) if rels else None
+        for t in copied:
+            rel = self.triple(t, data, None)
+            out = rel if out is None else self.join(out, rel)
+        return out
 
     def match(self, q: DataFrame, t: Triple, keys: tuple[str, ...], graph) -> Rel:
         out: dict[str, Info] = {}
@@ -231,6 +260,8 @@ class Plan:
 
     def bgp(self, triples: list[Triple], data: Dataset, graph) -> Rel:
         """Triple patterns in an order that joins connected ones first."""
+        if data.static is not None and data.keys and graph is None:
+            return self.with_static(triples, data)
         rels: list[Rel] = []
         rest = list(triples)
         if data.wide is not None:

@@ -160,23 +160,31 @@ class HybridEvaluation:
     def _live(self) -> tuple[Rel, DataFrame]:
         if self.split.live is None:
             raise ExecutionError("the query has no live window")
-        static = self.static
+        static, predicates = self.static, None
         if self.query.historical_windows and self.log is not None:
             base = self.baseline()
             if base is not None:
+                if static is None:
+                    predicates = self._baseline_predicates()
                 static = base if static is None else static.unionByName(base)
         q = replace(self.split.live, where=_rewrite(self.split.live.where))
-        return live_plan(self.query, q, {w.name: self._stream(w) for w in self.query.live_windows}, static, self.now_ms, self.functional)
+        return live_plan(self.query, q, {w.name: self._stream(w) for w in self.query.live_windows}, static, self.now_ms, self.functional, predicates)
+
+    def _baseline_predicates(self) -> frozenset[str]:
+        """The predicates that a baseline can have: one for each variable of the windows over the past."""
+        names: set[str] = set()
+        for _, select in self.split.historical:
+            names |= {i.name for i in select.items} if select.items is not None else variables(select.where)
+        return frozenset(baselines.NAMESPACE + n for n in names)
 
     def live(self, style: str = "plain") -> DataFrame:
         """The solutions of every live window that has content: ws, we, ts (the last quad's time plus
         the window's width) and the variables; after the query's relation-to-stream operator."""
         rel, stamps = self._live()
-        out = stamped(presented(rel, style).join(stamps, list(rel.keys)), self.query)
-        return r2s.apply(self.query.operator, out, self.query.live_windows[0].slide)
+        return streamed(stamped(presented(rel, style).join(stamps, list(rel.keys)), self.query), self.query)
 
 
-def live_plan(query: HybridQuery, q: Select, streams: dict[str, DataFrame], static: DataFrame | None, now_ms: int | None = None, functional: frozenset[str] = frozenset()) -> tuple[Rel, DataFrame]:
+def live_plan(query: HybridQuery, q: Select, streams: dict[str, DataFrame], static: DataFrame | None, now_ms: int | None = None, functional: frozenset[str] = frozenset(), static_predicates: frozenset[str] | None = None) -> tuple[Rel, DataFrame]:
     """Evaluates the live query over the streams' quads; the solutions and the windows' stamps. In a window, the default graph holds quads
     without a graph, those in the graph named like the stream, and the static quads."""
     specs = query.live_windows
@@ -193,7 +201,7 @@ def live_plan(query: HybridQuery, q: Select, streams: dict[str, DataFrame], stat
     outer = Dataset(empty)
     if static is not None:  # patterns inside of windows see static quads as well
         for d in data.values():
-            d.static = static
+            d.static, d.static_predicates = static, static_predicates
     where = Group([*[p for p in q.where.parts if not isinstance(p, Filter)], *[p for p in q.where.parts if isinstance(p, Filter)]])
     return Plan(outer, data, now_ms).select(replace(q, where=where)), data[specs[0].name].stamps
 
@@ -204,5 +212,13 @@ def stamped(out: DataFrame, query: HybridQuery) -> DataFrame:
         width = F.element_at(F.array(*(F.lit(w) for w in widths)), F.col("by") + 1)
     else:
         width = F.lit(widths[0])
-    return out.withColumn("ts", (F.col("last_ms") + width).cast("long")).drop("last_ms", "by")
+    return out.withColumn("ts", (F.col("last_ms") + width).cast("long")).drop("last_ms")
+
+
+def streamed(out: DataFrame, query: HybridQuery) -> DataFrame:
+    """Stamped results after the query's relation-to-stream operator; each window's results are compared
+    with those of its own neighbours."""
+    slides = [w.slide for w in query.live_windows]
+    slide = F.element_at(F.array(*(F.lit(s) for s in slides)), F.col("by") + 1) if "by" in out.columns else slides[0]
+    return r2s.apply(query.operator, out, slide).drop("by")
 

@@ -1,9 +1,14 @@
 """Live windows on Structured Streaming.
 
-One stateful operator collects the distinct quads of each window and fires when the watermark passes
-the window's end; the closed windows of a micro-batch then go through the same batch plan that
-replays use. So a stream and its replay give the same results, and joins or aggregates are never
-stacked on another stateful operator.
+One stateful operator keeps the distinct quads of each window, a state row for each quad, so that a
+window is spread over all partitions; it fires when the watermark passes the window's end, and the
+closed windows of a micro-batch then go through the same batch plan that replays use. So a stream and
+its replay give the same results, and joins or aggregates are never stacked on another stateful
+operator.
+
+With several live windows each one's state also takes what the others' instances may hold when it
+closes, so that all content of a firing comes in one micro-batch. A window closes when all streams
+have passed its end.
 """
 
 from __future__ import annotations
@@ -14,7 +19,8 @@ import threading
 import time
 import uuid
 from collections.abc import Callable, Iterable
-from dataclasses import replace
+from dataclasses import fields, is_dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,54 +30,87 @@ from ..model import QUAD, typed
 from ..operators import r2s, windows
 from ..plans.ast import Const, Group, HybridQuery, Triple, WindowPattern, WindowSpec
 from ..plans.compiler import Dataset, Plan, presented
-from ..plans.hybrid import _rewrite, split, stamped
+from ..plans.hybrid import _rewrite, split, stamped, streamed
 from ..plans.parser import parse_hybrid
-from ..workspace import scratch
+from ..workspace import scratch, write_text
 
 SENTINEL = "urn:quadtide:sentinel"
+#: Results that wait in a query's queue, at most; static predicates that a query plans with, at most.
+MOST_RESULTS, MOST_PREDICATES = 100_000, 1000
+
+
+def _walk(node):
+    """Every node of a query's algebra, however deep."""
+    yield node
+    inner = node if isinstance(node, (list, tuple)) else [getattr(node, f.name) for f in fields(node)] if is_dataclass(node) else []
+    for x in inner:
+        yield from _walk(x)
+
+
+def bodies(node, window: str) -> list[Group]:
+    """The patterns inside a window, wherever they stand in a query."""
+    return [x.group for x in _walk(node) if isinstance(x, WindowPattern) and x.window == window]
 
 
 def wanted_predicates(group: Group) -> set[str] | None:
     """The constant predicates that a window's patterns can match; None if any predicate can."""
-    out: set[str] = set()
-
-    def walk(node) -> bool:
-        if isinstance(node, Triple):
-            if isinstance(node.p, Const):
-                out.add(node.p.lex)
-                return True
-            return False
-        if isinstance(node, Group):
-            return all(walk(p) for p in node.parts)
-        parts = [getattr(node, "group", None), *getattr(node, "groups", [])]
-        if hasattr(node, "expr"):
-            return not hasattr(node.expr, "group") or walk(node.expr.group)
-        return all(walk(p) for p in parts if p is not None)
-
-    return out if walk(group) else None
-
-
-def closed_windows(stream: DataFrame, spec: WindowSpec, lateness: str = "0 seconds", predicates: set[str] | None = None) -> DataFrame:
-    """(ws, we, last_ms, quads): a row for each window when the watermark passes its end. stream: quads;
-    predicates: only these are kept as state (last_ms still follows every quad)."""
-    width, slide = spec.width, spec.slide
-    timed = stream.withColumn("ts", F.timestamp_millis("ts_ms")).withWatermark("ts", lateness)
-    if slide <= width:
-        at = F.window("ts", f"{width} milliseconds", f"{slide} milliseconds")
-    else:  # windows with gaps: tumble by the slide and drop what falls into the gap
-        timed = timed.where(F.pmod("ts_ms", F.lit(slide)) < width)
-        at = F.window("ts", f"{slide} milliseconds")
-    quad = F.struct(*windows.TERMS)
-    if predicates is not None:
-        quad = F.when(F.col("p").isin(*predicates), quad)
-    real = ~F.col("s").startswith(SENTINEL)
-    found = timed.groupBy(at.alias("w")).agg(F.collect_set(F.when(real, quad)).alias("quads"), F.max(F.when(real, F.col("ts_ms"))).alias("last_ms"))
-    ws = F.unix_millis("w.start")
-    return found.where("last_ms IS NOT NULL").select(ws.alias("ws"), (ws + width).alias("we"), "last_ms", "quads")
+    triples = [x for x in _walk(group) if isinstance(x, Triple)]
+    return {t.p.lex for t in triples} if all(isinstance(t.p, Const) for t in triples) else None
+
+
+def _milliseconds(n: int) -> str:
+    return f"{n} milliseconds"
 
 
-def exploded(closed: DataFrame) -> DataFrame:
-    return closed.select("ws", "we", "last_ms", F.explode("quads").alias("q")).select("ws", "we", "last_ms", "q.*")
+def assigned(stream: DataFrame, spec: WindowSpec, reach: int = 0, lateness: str = "0 seconds") -> DataFrame:
+    """The stream's quads with w, a column of windows that end where spec's instances do and begin `reach`
+    before them. stream: quads."""
+    timed = stream.withColumn("ts", F.timestamp_millis("ts_ms")).withWatermark("ts", lateness)
+    length, slide = spec.width + reach, spec.slide
+    if slide <= length:
+        at = F.window("ts", _milliseconds(length), _milliseconds(slide), _milliseconds(-reach % slide))
+    else:  # windows with gaps: tumble by the slide and drop what falls into the gap
+        # by the event time column itself, or the filter goes below the watermark, which then misses events
+        timed = timed.where(F.pmod(F.unix_millis("ts") - spec.width, F.lit(slide)) >= slide - length)
+        at = F.window("ts", _milliseconds(slide), _milliseconds(slide), _milliseconds(spec.width % slide))
+    return timed.withColumn("w", at)
+
+
+def closed_windows(streams: list[tuple[WindowSpec, DataFrame, set[str] | None]], lateness: str = "0 seconds") -> DataFrame:
+    """(by, src, ws, we, at_ms, last_ms and a quad), when the watermark passes a window's end: the content of
+    each instance of window `by` as far as it comes from the stream of window `src`. last_ms: the last
+    time of the quad; where src is another window than by, each time of it is a row of its own, at_ms.
+
+    streams: for each window its stream and the predicates that its patterns can match (None: any). Of
+    other quads only the last time is kept, in a row without a quad; nothing is dropped before the
+    aggregation, as what a filter drops wouldn't move the watermark."""
+    parts = []
+    for by, (spec, _, _) in enumerate(streams):
+        for src, (other, stream, predicates) in enumerate(streams):
+            found = assigned(stream, spec, 0 if src == by else other.width, lateness)
+            real = ~F.col("s").startswith(SENTINEL)
+            wanted = real if predicates is None else real & F.col("p").isin(*predicates)
+            at = F.when(wanted & F.lit(src != by), F.col("ts_ms"))
+            parts.append(found.select("w", F.lit(by).alias("by"), F.lit(src).alias("src"), at.alias("at_ms"), F.when(wanted, F.struct(*windows.TERMS)).alias("quad"), F.when(real, F.col("ts_ms")).alias("ts_ms")))
+    both = reduce(DataFrame.unionByName, parts)
+    kept = both.groupBy("w", "by", "src", "at_ms", "quad").agg(F.max("ts_ms").alias("last_ms")).where("last_ms IS NOT NULL")
+    widths = F.element_at(F.array(*(F.lit(spec.width) for spec, _, _ in streams)), F.col("by") + 1)
+    we = F.unix_millis("w.end")
+    return kept.select("by", "src", (we - widths).alias("ws"), we.alias("we"), "at_ms", "last_ms", "quad")
+
+
+def fired(closed: DataFrame, specs: list[WindowSpec]) -> dict[str, DataFrame]:
+    """The contents by window name, with keys (by,) ws, we and last_ms, of the windows that closed."""
+    keys = ["by", "ws", "we"]
+    firings = closed.where("by = src").groupBy(*keys).agg(F.max("last_ms").alias("last_ms"))
+    quads = closed.where("quad IS NOT NULL").drop("last_ms").join(firings, keys)
+    out = {}
+    for k, w in enumerate(specs):
+        first = windows.open_at(w, F.col("last_ms"))
+        mine = (F.col("by") == k) | ((first <= F.col("last_ms")) & (F.col("at_ms") >= first) & (F.col("at_ms") < first + w.width))
+        found = windows.as_set(quads.where(F.col("src") == k).where(mine).select(*keys, "last_ms", "quad.*"), *keys, "last_ms")
+        out[w.name] = found if len(specs) > 1 else found.drop("by")
+    return out
 
 
 class LiveQuery:
@@ -86,78 +125,113 @@ class LiveQuery:
             raise LiveError("the query has no live window")
         self.streams, self.static, self.style = streams, static, style
         self.lateness, self.checkpoint, self.trigger = lateness, checkpoint, trigger or {"availableNow": True}
-        self.results: queue.Queue = queue.Queue()
+        self.results: queue.Queue = queue.Queue(MOST_RESULTS)
+        self._stopped = threading.Event()
         self.on_result = on_result or self._enqueue
         self.plan = split(self.query).live
-        self.plan = replace(self.plan, where=_rewrite(self.plan.where))
-        self._lock, self._held = threading.Lock(), {}
+        self.plan.where = _rewrite(self.plan.where)
+        self.static_predicates: frozenset[str] | None = None
         self.running: list = []
 
     def _enqueue(self, out: DataFrame) -> None:
+        """Results wait for their reader once MOST_RESULTS are there; stopping the query lets go."""
         for row in out.toLocalIterator():
-            self.results.put(row.asDict())
+            while not self._stopped.is_set():
+                try:
+                    self.results.put(row.asDict(), timeout=0.2)
+                    break
+                except queue.Full:
+                    pass
 
     def start(self) -> LiveQuery:
         if self.running:
             raise LiveError("the query runs already")
-        for k, w in enumerate(self.query.live_windows):
+        streams = []
+        for w in self.query.live_windows:
             if w.stream not in self.streams:
                 raise LiveError(f"the stream {w.stream} isn't registered")
-            bodies = Group([p.group for p in self.plan.where.parts if isinstance(p, WindowPattern) and p.window == w.name])
-            stream = self.streams[w.stream]
-            spark = stream.sparkSession
-            at = self.checkpoint or scratch(spark, "live")
-            closed = closed_windows(stream, w, self.lateness, wanted_predicates(bodies))
-            writer = closed.writeStream.outputMode("append").option("checkpointLocation", f"{at}/{k}").trigger(**self.trigger)
-            self.running.append(writer.foreachBatch(lambda batch, _id, k=k: self._fire(batch, k)).start())
+            streams.append((w, self.streams[w.stream], wanted_predicates(Group(bodies(self.plan.where, w.name)))))
+        spark = streams[0][1].sparkSession
+        self.use_static(self.static)
+        at = self.checkpoint or scratch(spark, "live")
+        self.held = f"{at}/held"
+        writer = closed_windows(streams, self.lateness).writeStream.outputMode("append").option("checkpointLocation", f"{at}/query").trigger(**self.trigger)
+        self.running.append(writer.foreachBatch(self._fire).start())
         return self
 
-    def _fire(self, batch: DataFrame, k: int) -> None:
-        if not batch.limit(1).count():
-            return
+    def use_static(self, static: DataFrame | None) -> None:
+        """The static quads from the next micro-batch on."""
+        predicates = None
+        if static is not None:
+            found = static.where("g = ''").select("p").distinct().limit(MOST_PREDICATES + 1).collect()
+            predicates = frozenset(r[0] for r in found) if len(found) <= MOST_PREDICATES else None
+        self.static, self.static_predicates = static, predicates
+
+    def _fire(self, batch: DataFrame, number: int) -> None:
         batch = batch.persist()
         try:
+            if not batch.limit(1).count():
+                return
             specs = self.query.live_windows
-            with self._lock:
-                if len(specs) == 1:
-                    self.on_result(self.evaluate({specs[0].name: Dataset(exploded(batch), ("ws", "we", "last_ms"))}))
-                else:
-                    self._fire_with_others(batch, k)
+            keys = ("ws", "we", "last_ms") if len(specs) == 1 else ("by", "ws", "we", "last_ms")
+            out = self.evaluate({name: Dataset(quads, keys) for name, quads in fired(batch, specs).items()})
+            operator = self.query.operator.lower()
+            self.on_result(out.drop("by") if operator in ("rstream", "stream") else self._changes(out, number))
         finally:
             batch.unpersist()
 
-    def _fire_with_others(self, batch: DataFrame, k: int) -> None:
-        """Closed windows of one stream meet the last closed content of the others that is still open
-        then. Exact replays use joined_live_datasets; a stream shows the others as far as they came."""
-        from ..workspace import materialize
-
-        specs = self.query.live_windows
-        self._held[k] = materialize(exploded(batch), "live-window")
-        if len(self._held) < len(specs):
-            return
-        own = self._held[k]
-        fired = own.select("ws", "we", "last_ms").distinct()
-        data = {}
-        for j, w in enumerate(specs):
-            if j == k:
-                keyed = own
-            else:
-                other = self._held[j].select(F.col("ws").alias("_ws"), F.col("we").alias("_we"), *windows.TERMS)
-                keyed = fired.join(other, (F.col("_ws") <= F.col("we")) & (F.col("we") <= F.col("_we")))
-            data[w.name] = Dataset(windows.as_set(keyed, "ws", "we", "last_ms"), ("ws", "we", "last_ms"))
-        self.on_result(self.evaluate(data, k))
-
-    def evaluate(self, data: dict[str, Dataset], fired: int = 0) -> DataFrame:
-        """The live plan over closed windows."""
+    def evaluate(self, data: dict[str, Dataset]) -> DataFrame:
+        """The live plan over closed windows: every result, with stamps and, of several windows, `by`."""
         specs = self.query.live_windows
         static = None if self.static is None else self.static.select(*windows.TERMS)
         for w in specs:
             data[w.name].extra_graphs = (w.stream,)
-            data[w.name].static = static
+            data[w.name].static, data[w.name].static_predicates = static, self.static_predicates
         first = data[specs[0].name].quads
         outer = Dataset(static if static is not None else first.select(*windows.TERMS).where(F.lit(False)))
-        out = stamped(presented(Plan(outer, data).select(self.plan), self.style), replace(self.query, windows=[specs[fired]]))
-        return r2s.rstream(out)
+        return stamped(presented(Plan(outer, data).select(self.plan), self.style), self.query)
+
+    def _changes(self, out: DataFrame, number: int) -> DataFrame:
+        """What IStream or DStream says of the windows that closed, given the results of the last ones
+        before, which are kept as a table beside the query's checkpoint, one for each micro-batch.
+
+        IStream: results that the window before doesn't have. DStream: results of the window before
+        that the closed one doesn't have, under the window that had them; so the last closed window's
+        are not known to be lost until another window closes."""
+        spark = out.sparkSession
+        out.write.mode("overwrite").parquet(f"{self.held}/{number:09d}-now")
+        now = spark.read.schema(out.schema).parquet(f"{self.held}/{number:09d}-now").withColumn("_new", F.lit(True))
+        both, last = now, self._last(spark, number)
+        if last is not None:
+            both = both.unionByName(spark.read.schema(out.schema).parquet(last).withColumn("_new", F.lit(False)))
+        names = ["by"] if "by" in out.columns else []
+        top = both.groupBy(*names).agg(F.max("ws").alias("_top"))
+        at = both.join(top, names) if names else both.crossJoin(top)  # one row: the newest window
+        kept = at.where("ws = _top").drop("_top", "_new")
+        kept.write.mode("overwrite").parquet(f"{self.held}/{number:09d}")
+        if self.query.operator.lower() == "istream":
+            found = streamed(both.drop("_new"), self.query)
+            fresh = now.select("ws", "we").distinct()
+            return found.join(fresh, ["ws", "we"], "left_semi").select(*found.columns)
+        decided = at.where("ws < _top").select(*names, "ws", "we").distinct()
+        lost = r2s.apply("dstream", both.drop("_new"), self._slide(out))
+        lost = lost.join(decided, [*names, "ws", "we"], "left_semi")
+        return lost.select(*[c for c in out.columns if c != "by"])
+
+    def _slide(self, out: DataFrame):
+        slides = [w.slide for w in self.query.live_windows]
+        return F.element_at(F.array(*(F.lit(s) for s in slides)), F.col("by") + 1) if "by" in out.columns else slides[0]
+
+    def _last(self, spark: SparkSession, number: int) -> str | None:
+        """The table kept by the last micro-batch before this one that had results."""
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.held)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+        before = sorted(n for n in names if n.isdigit() and int(n) < number)
+        for old in before[:-2]:  # a batch that is run again needs the one before it
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{self.held}/{old}"), True)
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{self.held}/{old}-now"), True)
+        return f"{self.held}/{before[-1]}" if before else None
 
     # -- pulling results
     def receive(self, timeout: float | None = None) -> dict | None:
@@ -189,11 +263,13 @@ class LiveQuery:
         return any(q.isActive for q in self.running)
 
     def await_end(self) -> None:
-        """Waits until every stream is used up (with the availableNow trigger); raises what failed."""
+        """Waits until every stream is used up (with the availableNow trigger); raises what failed. Results
+        beyond MOST_RESULTS must be read meanwhile."""
         for q in self.running:
             q.awaitTermination()
 
     def stop(self) -> None:
+        self._stopped.set()
         for q in self.running:
             q.stop()
         self.running = []
@@ -225,17 +301,9 @@ class StreamInput:
         self._put(rows)
 
     def _put(self, rows) -> None:
-        """One file, moved into place when it is whole."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         name = f"{self._files:09d}-{uuid.uuid4().hex}.json"
         self._files += 1
-        body = "\n".join(json.dumps(dict(zip(("ts_ms", "s", "p", "o", "g"), r))) for r in rows)
-        hidden, final = (jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{x}") for x in ("_" + name, name))
-        fs = hidden.getFileSystem(conf)
-        out = fs.create(hidden)
-        out.write(body.encode())
-        out.close()
-        fs.rename(hidden, final)
+        write_text(self.spark, self.folder, name, "\n".join(json.dumps(dict(zip(("ts_ms", "s", "p", "o", "g"), r))) for r in rows))
 
     def close(self, final_ms: int) -> None:
         """A last event that carries the watermark past final_ms, so that windows up to it close."""

@@ -49,6 +49,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def write_text(spark: SparkSession, folder: str, name: str, body: str) -> None:
+    """A file of UTF-8 text, moved into place when it is whole."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    hidden, final = (jvm.org.apache.hadoop.fs.Path(f"{folder}/{x}") for x in (f"_{uuid.uuid4().hex}", name))
+    fs = hidden.getFileSystem(conf)
+    out = fs.create(hidden)
+    out.write(body.encode())
+    out.close()
+    fs.rename(hidden, final)
+
+
 def discard(df: DataFrame) -> None:
     """Removes a materialized table that no later plan reads."""
     remove(df.sparkSession, df._quadtide_path)

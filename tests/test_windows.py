@@ -106,17 +106,17 @@ def test_multi_window_join_naive(spark):
         for ws in range(-30, 70):
             if ws % w[1] or not any(ws <= t < ws + w[0] for t, *_ in own):
                 continue
-            t = ws + w[0]
+            t, we = max(r[0] for r in own if ws <= r[0] < ws + w[0]), ws + w[0]
             vs = (((t - v[0]) // v[1]) + 1) * v[1]
             if vs > t:
                 continue
-            mine = [r for r in own if ws <= r[0] < t]
-            held = [r for r in other if vs <= r[0] < min(vs + v[0], t)]
+            mine = [r for r in own if ws <= r[0] < we]
+            held = [r for r in other if vs <= r[0] < min(vs + v[0], we)]
             for m in mine:
                 for h in held:
                     if m[1] == h[1]:
                         x, y = (m, h) if k == 0 else (h, m)
-                        want.append((ws, t, m[1], x[3], y[3]))
+                        want.append((ws, we, m[1], x[3], y[3]))
     assert got == sorted(want)
 
 
