@@ -115,7 +115,11 @@ class QueryRegistry:
     def statistics(self) -> dict[str, int]:
         with self._lock:
             every = list(self._queries.values())
-        return {"total_queries": len(every), "total_executions": sum(m.execution_count for m in every), **{s.value: sum(m.status is s for m in every) for s in Status}}
+        return {"total_queries": len(every), "total_executions": sum(m.execution_count for m in every), "total_subscribers": sum(len(m.subscribers) for m in every), **{s.value: sum(m.status is s for m in every) for s in Status}}
+
+
+#: Results of a query that wait for their reader, at most; the query waits then.
+RESULTS_WAITING = 10_000
 
 
 class QueryHandle:
@@ -123,11 +127,17 @@ class QueryHandle:
 
     def __init__(self, query_id: str):
         self.query_id = query_id
-        self._results: queue.Queue = queue.Queue()
+        self._results: queue.Queue = queue.Queue(RESULTS_WAITING)
         self.done = threading.Event()
 
-    def put(self, r: QueryResult) -> None:
-        self._results.put(r)
+    def put(self, r: QueryResult, stop: threading.Event | None = None) -> None:
+        """Waits while RESULTS_WAITING results are unread, unless the query is stopped."""
+        while stop is None or not stop.is_set():
+            try:
+                self._results.put(r, timeout=0.2)
+                return
+            except queue.Full:
+                pass
 
     def receive(self, timeout: float | None = None) -> QueryResult | None:
         """The next result; waits for it. None when the query has ended or the time is over."""
@@ -158,22 +168,25 @@ class _Run:
     live: LiveQuery | None = None
     threads: list[threading.Thread] = field(default_factory=list)
     stop: threading.Event = field(default_factory=threading.Event)
+    left: int = 0
 
 
-#: Rows of one historical result; a window with more gives several, so the driver holds a bounded number.
+#: Rows of one historical result; a window with more gives several, so one result is bounded.
 RESULT_ROWS = 10_000
 
 
 class Engine:
     """Runs registered queries over a log and named streams.
 
-    streams: stream IRI to a function that gives the streaming DataFrame of quads. The baseline is
-    computed before the live part starts, so the first live window meets it already; with
-    async_baseline=True live windows start at once and see the baseline once it is there.
+    streams: stream IRI to a function that gives the streaming DataFrame of quads. connect: gives that of
+    any other stream IRI, such as sources.broker's connectors do. Each window over the past and the live
+    part run in threads of their own. The baseline is computed before the live part starts, so the first
+    live window meets it already; with async_baseline=True live windows start at once and see the baseline
+    once it is there.
     """
 
-    def __init__(self, spark: SparkSession, log: QuadLog | DataFrame | None = None, streams: dict[str, Callable[[], DataFrame]] | None = None, static: DataFrame | None = None, registry: QueryRegistry | None = None, live_options: dict | None = None, async_baseline: bool = False):
-        self.spark, self.log, self.static = spark, log, static
+    def __init__(self, spark: SparkSession, log: QuadLog | DataFrame | None = None, streams: dict[str, Callable[[], DataFrame]] | None = None, static: DataFrame | None = None, registry: QueryRegistry | None = None, live_options: dict | None = None, async_baseline: bool = False, connect: Callable[[str], DataFrame] | None = None):
+        self.spark, self.log, self.static, self.connect = spark, log, static, connect
         self.streams = streams or {}
         self.registry = registry or QueryRegistry()
         self.live_options, self.async_baseline = live_options or {}, async_baseline
@@ -191,45 +204,65 @@ class Engine:
             q = meta.parsed
             warms = bool(q.live_windows and q.historical_windows and self.log is not None)
             for w in q.live_windows:
-                if w.stream not in self.streams:
+                if w.stream not in self.streams and self.connect is None:
                     raise ExecutionError(f"there is no stream {w.stream}")
             self.registry.set_status(query_id, Status.WARMING_BASELINE if warms else Status.RUNNING)
             self.registry.increment(query_id)
             run = self._runs[query_id] = _Run(QueryHandle(query_id))
         now = now_ms if now_ms is not None else int(time.time() * 1000)
         h = HybridEvaluation(q, log=self.log, static=self.static, now_ms=now, baseline_mode=meta.baseline_mode)
-        worker = threading.Thread(target=self._work, args=(meta, run, h, warms), daemon=True)
-        run.threads.append(worker)
-        worker.start()
+        jobs = [lambda w=w: self._historical(query_id, run, h, w) for w, _ in h.split.historical] if self.log is not None else []
+        if q.live_windows:
+            jobs.append(lambda: self._run_live(meta, run, h, warms))
+        run.left = len(jobs)
+        run.threads = [threading.Thread(target=self._work, args=(meta, run, job), daemon=True) for job in jobs]
+        if not jobs:
+            self._ended(meta, run)
+        for t in run.threads:
+            t.start()
         return run.handle
 
-    def _work(self, meta: QueryMetadata, run: _Run, h: HybridEvaluation, warms: bool) -> None:
+    def _work(self, meta: QueryMetadata, run: _Run, job: Callable[[], None]) -> None:
+        """One part of a query; the first one that fails stops the others."""
         try:
-            if h.log is not None:
-                for w, _ in h.split.historical:
-                    if run.stop.is_set():
-                        return
-                    self._historical(meta.query_id, run, h, w)
-            if meta.parsed.live_windows and not run.stop.is_set():
-                base = None
-                if warms and not self.async_baseline:
-                    base = self._baseline(h)
-                static = self.static if base is None else self._with(base)
-                run.live = LiveQuery(meta.parsed, {u: make() for u, make in self.streams.items() if u in {w.stream for w in meta.parsed.live_windows}}, static, on_result=lambda out: self._live(meta.query_id, run, out), **self.live_options)
-                run.live.start()
-                if warms and self.async_baseline:  # live windows that fire before see no baseline
-                    base = self._baseline(h)
-                    if base is not None:
-                        run.live.static = self._with(base)
-                self.registry.set_status(meta.query_id, Status.RUNNING, (Status.WARMING_BASELINE, Status.RUNNING))
-                run.live.await_end()
-            self.registry.set_status(meta.query_id, Status.COMPLETED, (Status.RUNNING, Status.WARMING_BASELINE))
+            if not run.stop.is_set():
+                job()
         except Exception as e:
-            meta.error = str(e)
             if not run.stop.is_set():
+                meta.error = str(e)
                 self.registry.set_status(meta.query_id, Status.FAILED)
+                run.stop.set()
+                if run.live is not None:
+                    run.live.stop()
         finally:
-            run.handle.done.set()
+            with self._lock:
+                run.left -= 1
+                last = run.left == 0
+            if last:
+                self._ended(meta, run)
+
+    def _ended(self, meta: QueryMetadata, run: _Run) -> None:
+        if not run.stop.is_set():
+            self.registry.set_status(meta.query_id, Status.COMPLETED, (Status.RUNNING, Status.WARMING_BASELINE))
+        run.handle.done.set()
+
+    def _run_live(self, meta: QueryMetadata, run: _Run, h: HybridEvaluation, warms: bool) -> None:
+        base = self._baseline(h) if warms and not self.async_baseline else None
+        if run.stop.is_set():
+            return
+        uris = {w.stream for w in meta.parsed.live_windows}
+        streams = {u: self.streams[u]() if u in self.streams else self.connect(u) for u in uris}
+        static = self.static if base is None else self._with(base)
+        run.live = LiveQuery(meta.parsed, streams, static, on_result=lambda out: self._live(meta.query_id, run, out), **self.live_options)
+        run.live.start()
+        if warms and self.async_baseline:  # live windows that fire before see no baseline
+            base = self._baseline(h)
+            if base is not None:
+                run.live.use_static(self._with(base))
+        self.registry.set_status(meta.query_id, Status.RUNNING, (Status.WARMING_BASELINE, Status.RUNNING))
+        if run.stop.is_set():
+            run.live.stop()
+        run.live.await_end()
 
     def _baseline(self, h: HybridEvaluation) -> DataFrame | None:
         base = h.baseline()
@@ -254,7 +287,7 @@ class Engine:
         def give() -> None:
             if at is not None:
                 seen.add(at)
-                run.handle.put(QueryResult(query_id, at[1], "Historical", held))
+                run.handle.put(QueryResult(query_id, at[1], "Historical", held), run.stop)
 
         for row in out.orderBy("ws").toLocalIterator():
             if run.stop.is_set():
@@ -266,12 +299,12 @@ class Engine:
             held.append({c: row[c] for c in names if row[c] is not None})
         give()
         for key in sorted(windows_ - seen):
-            run.handle.put(QueryResult(query_id, key[1], "Historical", []))
+            run.handle.put(QueryResult(query_id, key[1], "Historical", []), run.stop)
 
     def _live(self, query_id: str, run: _Run, out: DataFrame) -> None:
         names = [c for c in out.columns if c not in ("ws", "we", "ts", "last_ms")]
         for row in out.orderBy("ts").toLocalIterator():
-            run.handle.put(QueryResult(query_id, row["ts"], "Live", [{c: row[c] for c in names if row[c] is not None}]))
+            run.handle.put(QueryResult(query_id, row["ts"], "Live", [{c: row[c] for c in names if row[c] is not None}]), run.stop)
 
     def stop_query(self, query_id: str) -> None:
         self.registry.get(query_id)

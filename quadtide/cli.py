@@ -75,14 +75,14 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     log = QuadLog(spark, args.storage_path)
     if args.command == "replay":
-        from .sources.broker import FileBroker, MqttSource
+        from .sources.broker import FileBroker, MqttPublisher
         from .sources.replay import Replay, ReplayConfig, bulk_load
 
         if args.bulk:
             m = bulk_load(spark, args.input, log)
         else:
             topics = tuple(t.strip() for t in args.topics.split(",") if t.strip())
-            broker = {"none": lambda: None, "file": lambda: FileBroker(args.broker_dir), "mqtt": lambda: MqttSource(args.mqtt_host, args.mqtt_port, topics[0])}[args.broker]()
+            broker = {"none": lambda: None, "file": lambda: FileBroker(args.broker_dir), "mqtt": lambda: MqttPublisher(args.mqtt_host, args.mqtt_port)}[args.broker]()
             m = Replay(ReplayConfig(args.input, topics, args.rate, args.loop, args.add_timestamps), log, broker).run()
         print(json.dumps({"events_read": m.events_read, "events_published": m.events_published, "events_stored": m.events_stored, "publish_errors": m.publish_errors, "storage_errors": m.storage_errors, "events_per_second": round(m.events_per_second, 1), "elapsed_seconds": round(m.elapsed_seconds, 3)}))
         return 0

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..errors import ExecutionError
 from ..functions.anomaly import EPSILON
 
 
@@ -32,6 +33,8 @@ EVENTS = ("absolute_threshold_exceeded", "relative_change_exceeded", "catch_up",
 def trailing_stats(df: DataFrame, value: str, ts: str = "ts", by: tuple[str, ...] = (), n: int = 10, prefix: str = "") -> DataFrame:
     """Adds mean, std_dev (of the population), slope (least squares, 0 where it isn't defined) and
     count of the last n rows by time, for each row."""
+    if not by:  # all rows would be one task's
+        raise ExecutionError("a series needs a key")
     w = Window.partitionBy(*by).orderBy(ts).rowsBetween(-(n - 1), 0)
     x, y = F.col(ts).cast("double"), F.col(value)
     return df.select("*", F.avg(y).over(w).alias(f"{prefix}mean"), F.stddev_pop(y).over(w).alias(f"{prefix}std_dev"), F.coalesce(F.regr_slope(y, x).over(w), F.lit(0.0)).alias(f"{prefix}slope"), F.count(y).over(w).alias(f"{prefix}count"))

@@ -13,7 +13,7 @@ from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from .api import Engine, QueryHandle, QueryResult, Status
 from .errors import QuadtideError, QueryNotFound, StorageError
 from .metrics import MemoryTracker
-from .sources.broker import FileBroker, MqttSource
+from .sources.broker import FileBroker, MqttPublisher
 from .sources.log import QuadLog
 from .sources.replay import Replay, ReplayConfig
 
@@ -200,7 +200,7 @@ class Application:
             broker = FileBroker(self.broker_root or "broker")
         elif kind == "mqtt":
             c = body.get("mqtt_config") or {}
-            broker = MqttSource(c.get("host", "localhost"), int(c.get("port", 1883)), topics[0])
+            broker = MqttPublisher(c.get("host", "localhost"), int(c.get("port", 1883)))
         elif kind != "none":
             raise HttpError(400, f"unknown broker_type {kind!r}: none, file or mqtt")
         log = self.engine.log if isinstance(self.engine.log, QuadLog) else None

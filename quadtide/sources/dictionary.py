@@ -5,9 +5,10 @@ Parquet's dictionary pages compress terms already; ids are for exchange with sys
 
 from __future__ import annotations
 
+import json
 import struct
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import StorageError
@@ -31,7 +32,8 @@ def build(quads: DataFrame, known: DataFrame | None = None) -> DataFrame:
     begin = 0
     if known is not None:
         fresh = fresh.join(known.select("term"), "term", "left_anti")
-        begin = (known.agg(F.max("id")).first()[0] or -1) + 1 if known.limit(1).count() else 0
+        most = known.agg(F.max("id")).first()[0]
+        begin = 0 if most is None else most + 1
     spark = quads.sparkSession
     ordered = fresh.sort("term").withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())
     ordered = materialize(ordered, "dictionary")
@@ -48,6 +50,23 @@ def build(quads: DataFrame, known: DataFrame | None = None) -> DataFrame:
     return made if known is None else known.select("term", "id").unionByName(made)
 
 
+def save(dictionary: DataFrame, path: str) -> None:
+    """Writes a dictionary, or what one doesn't have yet beside what is there."""
+    dictionary.select("term", "id").write.mode("append").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("term string, id long").parquet(path)
+
+
+def extend(spark: SparkSession, path: str, quads: DataFrame) -> DataFrame:
+    """Adds the terms of quads that a stored dictionary doesn't have; ids that are given stay. One writer
+    at a time."""
+    known = load(spark, path)
+    save(build(quads, known).join(known.select("id"), "id", "left_anti"), path)
+    return load(spark, path)
+
+
 def encode(quads: DataFrame, dictionary: DataFrame) -> DataFrame:
     """(ts_ms, s, p, o, g) as ids; a term without an id gives NULL."""
     out = quads.select("ts_ms", *POSITIONS)
@@ -96,6 +115,19 @@ class Dictionary:
     def decode(self, k: int) -> str | None:
         return self.terms[k] if 0 <= k < len(self.terms) else None
 
+    def save(self, path: str) -> None:
+        """Writes the terms by id, one JSON string a line."""
+        with open(path, "w", encoding="utf-8") as f:
+            f.writelines(json.dumps(t) + "\n" for t in self.terms)
+
+    @classmethod
+    def load(cls, path: str) -> Dictionary:
+        out = cls()
+        with open(path, encoding="utf-8") as f:
+            for line in f:
+                out.encode(json.loads(line))
+        return out
+
     def __len__(self) -> int:
         return len(self.terms)
 

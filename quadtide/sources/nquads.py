@@ -18,12 +18,14 @@ from ..model import typed
 
 LINE = (
     r'^\s*(?:([0-9]+)\s+)?<([^>]*)>\s*<([^>]*)>\s*'
-    r'(?:<([^>]*)>|"((?:[^"\\]|\\.)*)"(?:\s*\^\^\s*<[^>]*>|\s*@[A-Za-z0-9-]+)?)'
+    r'(?=([<"]))(?:<([^>]*)>|"((?:[^"\\]|\\.)*)"(?:\s*\^\^\s*<[^>]*>|\s*@[A-Za-z0-9-]+)?)'
     r'\s*(?:<([^>]*)>)?.*$'
 )
 _LINE = re.compile(LINE, re.S)
 _SKIPPED = r"^\s*(#.*)?$"
 _MAX_TIME = 2**63 - 1
+#: A control character that lines don't have, as a rule.
+_MARK = "\x01"
 
 
 def parse_line(line: str, now_ms: int | None = None) -> tuple[int, str, str, str, str]:
@@ -34,7 +36,7 @@ def parse_line(line: str, now_ms: int | None = None) -> tuple[int, str, str, str
         if re.match(r"<[^>]*>\s*<[^>]*>", body):
             raise QueryParseError(f"Invalid object format: {line!r}")
         raise QueryParseError(f"not a quad: {line!r}")
-    ts, s, p, iri, literal, g = m.groups()
+    ts, s, p, _, iri, literal, g = m.groups()
     now = now_ms if now_ms is not None else int(time.time() * 1000)
     return int(ts) if ts and int(ts) <= _MAX_TIME else now, s, p, iri if iri is not None else literal, g or ""
 
@@ -44,18 +46,20 @@ def parse_lines(lines: DataFrame, column: str = "value", now_ms: int | None = No
     streaming. Skipped lines are gone."""
     now = F.lit(now_ms).cast("long") if now_ms is not None else (F.unix_millis(F.current_timestamp()))
     line = F.regexp_replace(F.trim(F.col(column)), r"\.+\s*$", "")
-    group = lambda k: F.regexp_extract(line, LINE, k)
-    good = line.rlike(LINE)
-    literal = line.rlike(r'^\s*(?:[0-9]+\s+)?<[^>]*>\s*<[^>]*>\s*"')
-    kept = lines.where(~F.col(column).rlike(_SKIPPED))
-    out = lambda c: F.when(good, c)
+    # one match a line: its groups are put between marks and cut there; a line that has the mark is matched group by group
+    marked = F.regexp_replace(line, LINE, _MARK + _MARK.join(f"${k}" for k in range(1, 8)))
+    plain = ~line.contains(_MARK)
+    groups = F.when(plain & marked.startswith(_MARK), F.split(marked, _MARK)).when(~plain & line.rlike(LINE), F.array(F.lit(""), *(F.regexp_extract(line, LINE, k) for k in range(1, 8))))
+    kept = lines.where(~F.col(column).rlike(_SKIPPED)).withColumn("_groups", groups)
+    group = lambda k: F.col("_groups")[k]
+    good = F.col("_groups").isNotNull()
     return kept.select(
-        "*",
-        out(F.coalesce(group(1).try_cast("long"), now)).alias("ts_ms"),
-        out(group(2)).alias("s"),
-        out(group(3)).alias("p"),
-        out(F.when(literal, group(5)).otherwise(group(4))).alias("o"),
-        out(group(6)).alias("g"),
+        *(F.col(f"`{c}`") for c in lines.columns),
+        F.when(good, F.coalesce(group(1).try_cast("long"), now)).alias("ts_ms"),
+        group(2).alias("s"),
+        group(3).alias("p"),
+        F.when(group(4) == '"', group(6)).otherwise(group(5)).alias("o"),
+        group(7).alias("g"),
         F.when(~good, F.concat(F.lit("Invalid line: "), F.col(column))).alias("error"),
     )
 

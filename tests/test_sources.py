@@ -1,10 +1,12 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from quadtide.errors import QueryParseError, ReplayError, StorageError
 from quadtide.model import typed
 from quadtide.sources import dictionary
-from quadtide.sources.broker import FileBroker, LineSource, TopicSource, parse_broker_uri
+from quadtide.sources.broker import FileBroker, LineSource, LineStream, QueueSource, parse_broker_uri
 from quadtide.sources.log import LogConfig, QuadLog
 from quadtide.sources.nquads import bad_lines, parse_line, parse_lines, read_nquads, to_line
 from quadtide.sources.replay import Replay, ReplayConfig, ReplayMetrics, bulk_load
@@ -142,7 +144,7 @@ def test_replay_rate_loop_and_stop(tmp_path):
     assert ReplayMetrics(events_stored=3, storage_errors=1).storage_success_percent == 75
 
 
-def test_line_source_and_topic_source(spark, tmp_path):
+def test_line_source_and_line_stream(spark, tmp_path):
     class Two(LineSource):
         def poll(self):
             self.stop()
@@ -151,12 +153,85 @@ def test_line_source_and_topic_source(spark, tmp_path):
     got = []
     Two().subscribe(["t1"], lambda t, x: got.append((t, x)), 0)
     assert got == [("t1", "a"), ("t2", "b")]
-    broker = FileBroker(str(tmp_path))
-    broker.publish("t", ['1 <http://e/s> <http://e/p> "x" .', '2 <http://e/s> <http://e/p> "y" .'])
-    spark.dataSource.register(TopicSource)
-    q = spark.readStream.format("quadtide_topic").option("path", str(broker.folder("t"))).load().writeStream.format("memory").queryName("topic").trigger(availableNow=True).start()
+    source = QueueSource(3)
+    lines = LineStream(spark, source, ["t"], arrival_time=False).start()
+    for k in range(50):  # more than wait at once: put() waits for the reader
+        source.put(f'{k} <http://e/s{k}> <http://e/p> "x" <http://e/g> .', "t")
+    source.put("broken")
+    while lines.lines < 51:
+        time.sleep(0.01)
+    lines.stop()
+    assert lines.failure is None
+    q = lines.quads().writeStream.format("memory").queryName("line_stream").trigger(availableNow=True).start()
     q.awaitTermination()
-    assert parse_lines(spark.table("topic")).count() == 2
+    got = spark.table("line_stream").collect()
+    assert sorted(r["ts_ms"] for r in got) == list(range(50)) and {r["g"] for r in got} == {"http://e/g"}
+
+
+def test_a_late_file_of_a_topic_is_read(spark, tmp_path):
+    """A publisher with a slower clock finishes after another one: nothing is skipped."""
+    broker, at = FileBroker(str(tmp_path / "b")), str(tmp_path / "checkpoint")
+    seen = []
+    for round_, name in enumerate(("2-late.nq", "1-early-name.nq")):
+        folder = broker.folder("t")
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / name).write_text(f'{round_} <http://e/s> <http://e/p> "x" .\n')
+        q = broker.subscribe(spark, "t").writeStream.option("checkpointLocation", at).foreachBatch(lambda b, _: seen.extend(r["ts_ms"] for r in b.collect())).trigger(availableNow=True).start()
+        q.awaitTermination()
+    assert sorted(seen) == [0, 1]
+
+
+def test_marks_inside_of_lines(spark):
+    lines = ['1 <http://e/s> <http://e/p> "a\x01b" <http://e/g> .', '2 <http://e/s> <http://e/p> "$1 \\\\ x" .', '3 <http://e/s> <http://e/p> <> .', '\x01']
+    df = parse_lines(spark.createDataFrame([(x,) for x in lines], "value string"), now_ms=7)
+    got = {r["ts_ms"]: (r["o"], r["g"]) for r in df.where("error IS NULL").collect()}
+    assert got == {k: (parse_line(x)[3], parse_line(x)[4]) for k, x in enumerate(lines[:3], 1)} and df.where("error IS NOT NULL").count() == 1
+
+
+def test_log_compaction(spark, tmp_path):
+    log = QuadLog(spark, str(tmp_path / "log"), LogConfig(bucket_ms=100))
+    for part in range(5):
+        log.write_all((i, "http://e/s", "http://e/p", str(part), "http://e/g") for i in range(part, 1000, 7))
+        log.flush()
+    before = sorted(tuple(r) for r in log.quads().collect())
+    files = lambda: sum(1 for _ in (tmp_path / "log").rglob("part-*.parquet"))
+    assert files() > 10 and log.compact(start_ms=0, end_ms=299) == 3 and log.compact() == 7 and files() == 10 and log.compact() == 0
+    assert sorted(tuple(r) for r in log.quads().collect()) == before and log.scan(250, 349).count() == sum(250 <= r[0] <= 349 for r in before)
+    # a merge that broke off before its list of old files was there, and one after
+    bucket = tmp_path / "log" / "bucket=3"
+    whole = next(bucket.glob("part-*.parquet")).read_bytes()
+    for name, listed in (("bucket=3", False), ("bucket=3", True)):
+        staged = tmp_path / "log" / "_merged" / name
+        staged.mkdir(parents=True)
+        (staged / "part-new.parquet").write_bytes(whole)
+        if listed:
+            (staged / "_old").write_text("\n".join(p.name for p in bucket.glob("part-*.parquet")))
+        assert sorted(tuple(r) for r in QuadLog(spark, str(tmp_path / "log"), LogConfig(bucket_ms=100)).quads().collect()) == before
+        assert not (tmp_path / "log" / "_merged").exists()
+
+
+def test_scans_list_only_their_buckets(spark, tmp_path):
+    log = QuadLog(spark, str(tmp_path / "log"), LogConfig(bucket_ms=10))
+    log.write_all((i, "http://e/s", "http://e/p", str(i), "http://e/g") for i in range(0, 1000, 5))
+    log.flush()
+    assert len(log.scan(100, 119).inputFiles()) == 2 and len(log.at(505).inputFiles()) == 1 and len(log.quads().inputFiles()) == 100
+    assert log.scan(100, 119).count() == 4 and log.scan(0, 999).count() == 200 and log.scan(2000, 3000).count() == 0
+
+
+def test_dictionary_from_one_term(spark, tmp_path):
+    """Id 0 is an id: an extended dictionary has no id twice, on disk either."""
+    quad = lambda *rows: typed(spark.createDataFrame(list(rows), "ts_ms long, s string, p string, o string, g string"))
+    one = quad((0, "a", "a", "a", "a"))
+    dictionary.save(dictionary.build(one), str(tmp_path / "d"))
+    for part in (quad((0, "a", "b", "c", "a")), quad((0, "d", "b", "c", "a")), quad((0, "d", "b", "c", "a"))):
+        got = {r["term"]: r["id"] for r in dictionary.extend(spark, str(tmp_path / "d"), part).collect()}
+        assert sorted(got.values()) == list(range(len(got))) and got["a"] == 0
+    assert set(got) == set("abcd") and dictionary.load(spark, str(tmp_path / "d")).count() == 4
+    d = dictionary.Dictionary()
+    for t in ("x", "line\nbreak", "ü"):
+        d.encode(t)
+    d.save(str(tmp_path / "small"))
+    assert dictionary.Dictionary.load(str(tmp_path / "small")).terms == d.terms
 
 
 def test_windows_prune_the_log(spark, tmp_path):
