@@ -225,22 +225,27 @@ def win_result_stamp(spark, sf_dir):
 
 def _two_windows() -> str:
     a, b = (DAY, DAY), (2 * DAY, DAY)
+    # an instance with content fires at its end; t is the time of its last event
     def firing(k, w):
-        return f"SELECT {k} AS byw, ws, ws + {w[0]} AS we FROM (SELECT DISTINCT k * {w[1]} AS ws FROM ev, unnest(range(CAST(floor((ts_ms - {w[0]}) / {w[1]}) AS BIGINT) + 1, ts_ms // {w[1]} + 1)) AS t(k) WHERE event_type = '{('purchase', 'click')[k]}')"
+        return f"SELECT {k} AS byw, k * {w[1]} AS ws, k * {w[1]} + {w[0]} AS we, max(ts_ms) AS t FROM ev, unnest(range(CAST(floor((ts_ms - {w[0]}) / {w[1]}) AS BIGINT) + 1, ts_ms // {w[1]} + 1)) AS x(k) WHERE event_type = '{('purchase', 'click')[k]}' GROUP BY ALL"
+    # the other window's instance that is open at t, the first one, as far as it comes before the end
     def held(k, w, kind):
-        return f"SELECT f.byw, f.ws, f.we, ev.e, ev.user_id, ev.u, ev.value FROM f JOIN ev ON event_type = '{kind}' AND ts_ms >= CASE WHEN byw = {k} THEN f.ws ELSE (CAST(floor((f.we - {w[0]}) / {w[1]}) AS BIGINT) + 1) * {w[1]} END AND ts_ms < CASE WHEN byw = {k} THEN f.we ELSE least(f.we, (CAST(floor((f.we - {w[0]}) / {w[1]}) AS BIGINT) + 1) * {w[1]} + {w[0]}) END"
+        first = f"(CAST(floor((f.t - {w[0]}) / {w[1]}) AS BIGINT) + 1) * {w[1]}"
+        return f"SELECT f.byw, f.ws, f.we, ev.e, ev.user_id, ev.u, ev.value FROM f JOIN ev ON event_type = '{kind}' AND CASE WHEN byw = {k} THEN ts_ms >= f.ws AND ts_ms < f.we ELSE {first} <= f.t AND ts_ms >= {first} AND ts_ms < least(f.we, {first} + {w[0]}) END"
     return f"WITH {EV}, f AS ({firing(0, a)} UNION ALL {firing(1, b)}), a AS ({held(0, a, 'purchase')}), b AS ({held(1, b, 'click')}) SELECT a.byw AS fired, a.ws, a.we, a.u, count(*) AS n FROM a JOIN b ON a.byw = b.byw AND a.ws = b.ws AND a.user_id = b.user_id GROUP BY a.byw, a.ws, a.we, a.u"
 
 
+_TWO = f"""REGISTER RStream ex:o AS SELECT ?u (COUNT(*) AS ?n)
+    FROM NAMED WINDOW ex:a ON STREAM ex:purchase [RANGE {DAY} STEP {DAY}]
+    FROM NAMED WINDOW ex:b ON STREAM ex:click [RANGE {2 * DAY} STEP {DAY}]
+    WHERE {{ WINDOW ex:a {{ ?x ex:user ?u }} WINDOW ex:b {{ ?y ex:user ?u }} }} GROUP BY ?u"""
+
+
 @register("multi_window_join", _two_windows())
 def multi_window_join(spark, sf_dir):
     w = event_table(spark, sf_dir)
     streams = {EX + k: replace(w, df=w.df.where(F.col("type") == k), graph="") for k in ("purchase", "click")}
-    h = HybridEvaluation(PREFIX + f"""REGISTER RStream ex:o AS SELECT ?u (COUNT(*) AS ?n)
-        FROM NAMED WINDOW ex:a ON STREAM ex:purchase [RANGE {DAY} STEP {DAY}]
-        FROM NAMED WINDOW ex:b ON STREAM ex:click [RANGE {2 * DAY} STEP {DAY}]
-        WHERE {{ WINDOW ex:a {{ ?x ex:user ?u }} WINDOW ex:b {{ ?y ex:user ?u }} }} GROUP BY ?u""", streams=streams, now_ms=NOW)
-    rel = h.live_rel()
+    rel = HybridEvaluation(PREFIX + _TWO, streams=streams, now_ms=NOW).live_rel()
     return rel.df.select(F.col("by").cast("int").alias("fired"), "ws", "we", "u", F.col("n__n").cast("long").alias("n"))
 
 
@@ -310,12 +315,10 @@ _SPARQL: list[tuple[str, str, dict[str, str], str]] = [
      f"SELECT {_C} AS c, round(c_acctbal, 6) AS b, round(m, 6) AS m FROM customer JOIN (SELECT c_nationkey AS k, avg(c_acctbal) AS m FROM customer GROUP BY 1) ON c_nationkey = k WHERE c_acctbal > m"),
     ("path_seq_alt_inv", "SELECT ?r ?x { ?r ^ex:partOf/(ex:name|^ex:inNation/ex:segment) ?x }", {"r": "lex", "x": "lex"},
      f"SELECT '{EX}region/' || n_regionkey AS r, n_name AS x FROM nation UNION ALL SELECT '{EX}region/' || n_regionkey, c_mktsegment FROM customer JOIN nation ON c_nationkey = n_nationkey"),
-    ("path_plus", f"SELECT ?c ?a {{ ?c ex:referredBy+ ?a FILTER(STRSTARTS(STR(?c), \"{EX}customer/1\")) }}", {"c": "lex", "a": "lex"},
-     f"WITH RECURSIVE up AS (SELECT c_custkey AS c, c_custkey // 2 AS a FROM customer WHERE c_custkey >= 2 UNION SELECT c, a // 2 FROM up WHERE a >= 2) SELECT '{EX}customer/' || c AS c, '{EX}customer/' || a AS a FROM up WHERE starts_with(CAST(c AS VARCHAR), '1')"),
-    ("path_plus_all", "SELECT ?c ?a { ?c ex:referredBy+ ?a }", {"c": "lex", "a": "lex"},
+    ("path_plus", "SELECT ?c ?a { ?c ex:referredBy+ ?a }", {"c": "lex", "a": "lex"},
      f"WITH RECURSIVE up AS (SELECT c_custkey AS c, c_custkey // 2 AS a FROM customer WHERE c_custkey >= 2 UNION SELECT c, a // 2 FROM up WHERE a >= 2) SELECT '{EX}customer/' || c AS c, '{EX}customer/' || a AS a FROM up"),
     ("path_star_zero", "SELECT ?a { <http://ex.org/customer/77> ex:referredBy* ?a }", {"a": "lex"},
-     f"SELECT '{EX}customer/' || a AS a FROM (VALUES (77), (38), (19), (9), (4), (2), (1)) t(a)"),
+     f"WITH RECURSIVE up AS (SELECT 77 AS a UNION SELECT c_custkey // 2 FROM up JOIN customer ON c_custkey = a WHERE c_custkey >= 2) SELECT '{EX}customer/' || a AS a FROM up"),
     ("path_negated", "SELECT ?s ?x { ?s !(ex:name|ex:balance|ex:segment|ex:inNation|ex:referredBy) ?x }", {"s": "lex", "x": "lex"},
      f"SELECT {_N} AS s, '{EX}region/' || n_regionkey AS x FROM nation"),
     ("sparql_string_fns", """SELECT ?n (STRLEN(?n) AS ?a) (UCASE(SUBSTR(?n, 2, 3)) AS ?b) (LCASE(?n) AS ?c) (STRBEFORE(?n, "_") AS ?d) (STRAFTER(?n, "_") AS ?e) (CONCAT(?n, "-", STR(?s)) AS ?f)
@@ -328,14 +331,33 @@ _SPARQL: list[tuple[str, str, dict[str, str], str]] = [
      f"SELECT {_C} AS c, round(abs(c_acctbal), 6) AS a, CAST(ceil(c_acctbal) AS BIGINT) AS ce, CAST(floor(c_acctbal) AS BIGINT) AS fl, CAST(floor(c_acctbal + 0.5) AS BIGINT) AS ro, round(c_acctbal / 3, 6) AS di, CAST(trunc(c_acctbal) AS BIGINT) AS xi FROM customer"),
     ("sparql_hash_fns", "SELECT ?n (MD5(?n) AS ?a) (SHA1(?n) AS ?b) (SHA256(?n) AS ?c) { ?s ex:partOf ?r ; ex:name ?n }", {"n": "lex", "a": "lex", "b": "lex", "c": "lex"},
      "SELECT n_name AS n, md5(n_name) AS a, sha1(n_name) AS b, sha256(n_name) AS c FROM nation"),
+    ("sparql_datetime_fns", """SELECT ?o (YEAR(?t) AS ?y) (MONTH(?t) AS ?m) (DAY(?t) AS ?d) (HOURS(?t) AS ?h) (MINUTES(?t) AS ?mi) (SECONDS(?t) AS ?s) (TZ(?t) AS ?z) (TIMEZONE(?t) AS ?tz)
+        { ?o ex:ordered ?x BIND(xsd:dateTime(?x) AS ?t) FILTER(?t >= xsd:dateTime("1994-06-01T00:00:00Z")) }""", {"o": "lex", "y": "int", "m": "int", "d": "int", "h": "int", "mi": "int", "s": "num", "z": "lex", "tz": "lex"},
+     f"""SELECT '{EX}order/' || o_orderkey AS o, year(t) AS y, month(t) AS m, day(t) AS d, hour(t) AS h, minute(t) AS mi, round(CAST(second(t) AS DOUBLE), 6) AS s, 'Z' AS z, 'PT0S' AS tz
+        FROM (SELECT o_orderkey, o_orderdate + to_minutes(CAST(o_orderkey % 1440 AS INTEGER)) + to_seconds(CAST(o_orderkey % 60 AS INTEGER)) AS t FROM orders) WHERE t >= TIMESTAMP '1994-06-01 00:00:00'"""),
+    ("sparql_casts", """SELECT ?c (xsd:string(?b) AS ?s) (xsd:double(CONCAT(STR(?k), "e1")) AS ?d) (xsd:decimal(?k) AS ?de) (xsd:boolean(?k) AS ?bo) (xsd:integer("x") AS ?bad) (xsd:boolean("maybe") AS ?no)
+        { ?c ex:segment ?b ; ex:balance ?x BIND(IF(?x > 0, 1, 0) AS ?k) }""", {"c": "lex", "s": "lex", "d": "num", "de": "num", "bo": "lex", "bad": "int", "no": "lex"},
+     f"""SELECT {_C} AS c, c_mktsegment AS s, CAST(CASE WHEN c_acctbal > 0 THEN 10 ELSE 0 END AS DOUBLE) AS d, CAST(CASE WHEN c_acctbal > 0 THEN 1 ELSE 0 END AS DOUBLE) AS de, CASE WHEN c_acctbal > 0 THEN 'true' ELSE 'false' END AS bo,
+        CAST(NULL AS BIGINT) AS bad, CAST(NULL AS VARCHAR) AS no FROM customer"""),
+    ("agg_sample", "SELECT ?n (SAMPLE(?nn) AS ?x) (COUNT(?c) AS ?k) { ?c ex:inNation ?n . ?n ex:name ?nn } GROUP BY ?n", {"n": "lex", "x": "lex", "k": "int"},
+     f"SELECT {_N} AS n, n_name AS x, count(*) AS k FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL"),
     ("sparql_term_fns", "SELECT ?s ?p (isIRI(?o) AS ?i) (isNumeric(?o) AS ?n) (DATATYPE(?o) AS ?d) (COALESCE(?zzz, \"none\") AS ?z) { ?s ?p ?o FILTER(?p IN (ex:name, ex:partOf)) }", {"s": "lex", "p": "lex", "i": "lex", "n": "lex", "d": "lex", "z": "lex"},
      f"""SELECT {_R} AS s, '{EX}name' AS p, 'false' AS i, 'false' AS n, 'http://www.w3.org/2001/XMLSchema#string' AS d, 'none' AS z FROM region
         UNION ALL SELECT {_N}, '{EX}name', 'false', 'false', 'http://www.w3.org/2001/XMLSchema#string', 'none' FROM nation UNION ALL SELECT {_N}, '{EX}partOf', 'true', 'false', NULL, 'none' FROM nation"""),
 ]
 
 
+def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When orders were made, as texts; the tables' dates have no time, so one is made of the key."""
+    key = F.col("o_orderkey")
+    at = F.expr("CAST(o_orderdate AS TIMESTAMP_NTZ) + make_dt_interval(0, 0, CAST(o_orderkey % 1440 AS INT), o_orderkey % 60)")
+    text = F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
+    return table(spark, sf_dir, "orders").select(F.lit(0).cast("long").alias("ts_ms"), F.concat(F.lit(f"{EX}order/"), key.cast("string")).alias("s"), F.lit(f"{EX}ordered").alias("p"), text.alias("o"), F.lit("").alias("g"), F.lit(STRING).cast("tinyint").alias("o_kind"), F.lit(None).cast("double").alias("o_num"))
+
+
 def _sparql_query(text: str, out: dict[str, str]) -> Query:
-    return lambda spark, sf_dir: sparql(background(spark, sf_dir), text, **out)
+    facts = orders if "ex:ordered" in text else background
+    return lambda spark, sf_dir: sparql(facts(spark, sf_dir), text, **out)
 
 
 for _name, _text, _out, _sql in _SPARQL:
@@ -467,15 +489,16 @@ def baseline_sliding_aggregate(spark, sf_dir):
   {LIVE(DAY, 6 * HOUR)}, l AS (SELECT DISTINCT ws, we, u, value FROM w WHERE ts_ms > {T0 + 15 * DAY})
   SELECT ws, we, l.u, round(value, 6) AS v, round(m, 6) AS mean FROM l JOIN b ON l.u = b.u WHERE sd >= 2.220446049250313e-16 AND abs((value - m) / sd) > 3""")
 def hybrid_outlier(spark, sf_dir):
-    """The flagship: live readings that are outliers against each user's mean and deviation in the past."""
-    past_quads = windows.time_range(reading_table(spark, sf_dir), T0, T0 + 15 * DAY)
-    # the deviation per user is a statistic of the same window: kept as baseline statements
-    stats = windows.as_set(past_quads).groupBy("s").agg(F.avg("o_num").alias("m"), F.stddev_pop("o_num").alias("sd"))
-    cells = F.array(*(F.struct(F.lit(baselines.NAMESPACE + n).alias("p"), F.col(c).alias("n")) for n, c in (("mean", "m"), ("sigma", "sd"))))
-    static = stats.select("s", F.explode(cells).alias("c")).select(F.lit(0).cast("long").alias("ts_ms"), "s", "c.p", number_text(F.col("c.n")).alias("o"), F.lit("").alias("g"), F.lit(DECIMAL).cast("tinyint").alias("o_kind"), F.col("c.n").alias("o_num"))
-    now = reading_table(spark, sf_dir).where(F.col("ts_ms") > T0 + 15 * DAY)
-    return live(now, f"""REGISTER RStream ex:out AS SELECT ?u ?v ?mean FROM NAMED WINDOW ex:l ON STREAM ex:readings [RANGE {DAY} STEP {6 * HOUR}]
-        WHERE {{ WINDOW ex:l {{ ?u ex:reading ?v }} ?u base:mean ?mean ; base:sigma ?sd . FILTER(fn:is_outlier(?v, ?mean, ?sd, 3)) }}""", static=static, u="lex", v="num", mean="num")
+    """The flagship: live readings that are outliers against each user's past, three deviations from the
+    mean. The baseline of the past window keeps the means of readings and of their squares."""
+    past_quads = reading_table(spark, sf_dir)
+    now = past_quads.where(F.col("ts_ms") > T0 + 15 * DAY)
+    text = f"""REGISTER RStream ex:out AS SELECT ?u ?v ?mean ?past ?square
+        FROM NAMED WINDOW ex:h ON LOG ex:store [START {T0} END {T0 + 15 * DAY}]
+        FROM NAMED WINDOW ex:l ON STREAM ex:readings [RANGE {DAY} STEP {6 * HOUR}] USING BASELINE ex:h AGGREGATE
+        WHERE {{ WINDOW ex:h {{ ?u ex:reading ?past BIND(?past * ?past AS ?square) }} WINDOW ex:l {{ ?u ex:reading ?v }}
+            ?u base:past ?mean ; base:square ?m2 . BIND(?m2 - ?mean * ?mean AS ?variance) FILTER(?variance > 1e-9 && (?v - ?mean) * (?v - ?mean) > 9 * ?variance) }}"""
+    return live(now, text, log=past_quads, u="lex", v="num", mean="num")
 
 
 @register("hybrid_baseline_join", f"""WITH {EV}, b AS (SELECT u, avg(value) AS m FROM (SELECT DISTINCT u, value FROM ev WHERE ts_ms BETWEEN {T0} AND {T0 + 15 * DAY}) GROUP BY u),
@@ -499,25 +522,6 @@ def r2s_dstream(spark, sf_dir):
     return HybridEvaluation(text, streams=event_table(spark, sf_dir), now_ms=NOW).live().select("ws", "we", "u")
 
 
-@register("nquads_parse", f"WITH {EV} SELECT ts_ms, e AS s, '{EX}type' AS p, event_type AS o, '{EX}events' AS g FROM ev")
-def nquads_parse(spark, sf_dir):
-    """Renders quads as text lines and parses them again."""
-    from .model import typed
-    from .sources import nquads
-
-    lines = nquads.to_line(event_quads(spark, sf_dir).where(F.col("p") == f"{EX}type"))
-    return typed(nquads.parse_lines(lines).where("error IS NULL").drop("value", "error")).select("ts_ms", "s", "p", "o", "g")
-
-
-@register("dictionary_roundtrip", f"WITH {EV} SELECT ts_ms, e AS s, u AS o FROM ev WHERE ts_ms < {T0 + 3 * DAY}")
-def dictionary_roundtrip(spark, sf_dir):
-    from .sources import dictionary
-
-    q = event_quads(spark, sf_dir).where((F.col("p") == f"{EX}user") & (F.col("ts_ms") < T0 + 3 * DAY))
-    terms = dictionary.build(q)
-    return dictionary.decode(dictionary.encode(q, terms), terms).select("ts_ms", "s", "o")
-
-
 def _every_quad(df: DataFrame) -> DataFrame:
     """Quads with the numbers among their objects as v: engines write them differently."""
     value = F.col("p") == f"{EX}value"
@@ -529,9 +533,9 @@ _EVERY_QUAD = f"WITH {EV} " + " UNION ALL ".join(
     for p, o, v, c in (("user", "u", "NULL", "user_id"), ("type", "event_type", "NULL", "event_type"), ("value", "NULL", "round(value, 6)", "value")))
 
 
-@register("nquads_parse_all", _EVERY_QUAD)
-def nquads_parse_all(spark, sf_dir):
-    """nquads_parse over every predicate."""
+@register("nquads_parse", _EVERY_QUAD)
+def nquads_parse(spark, sf_dir):
+    """Renders every quad as a text line and parses the lines again."""
     from .model import typed
     from .sources import nquads
 
@@ -539,9 +543,9 @@ def nquads_parse_all(spark, sf_dir):
     return _every_quad(typed(nquads.parse_lines(lines).where("error IS NULL").drop("value", "error")))
 
 
-@register("dictionary_roundtrip_all", _EVERY_QUAD)
-def dictionary_roundtrip_all(spark, sf_dir):
-    """dictionary_roundtrip over every quad of every day."""
+@register("dictionary_roundtrip", _EVERY_QUAD)
+def dictionary_roundtrip(spark, sf_dir):
+    """Every quad as ids and back."""
     from .sources import dictionary
 
     q = event_quads(spark, sf_dir)
@@ -549,22 +553,112 @@ def dictionary_roundtrip_all(spark, sf_dir):
     return _every_quad(dictionary.decode(dictionary.encode(q, terms), terms))
 
 
-@register("live_streaming_equals_batch", f"""WITH {EV}, {LIVE(2 * DAY, DAY)} SELECT ws, we, u, round(avg(value), 6) AS m, count(*) AS n FROM (SELECT DISTINCT ws, we, e, u, value FROM w WHERE we <= (SELECT max(ts_ms) FROM ev)) GROUP BY ws, we, u""")
-def live_streaming_equals_batch(spark, sf_dir):
-    """The same live query run by Structured Streaming over the table's files, until they are used up:
-    windows that the watermark has passed."""
+@register("dictionary_extend", _EVERY_QUAD)
+def dictionary_extend(spark, sf_dir):
+    """A dictionary of one term, extended by the first ten days, written, read and extended by all the
+    rest; an id that two terms had would multiply rows."""
+    from .sources import dictionary
+    from .workspace import scratch
+
+    q, at = event_quads(spark, sf_dir), scratch(spark, "dictionary")
+    dictionary.save(dictionary.build(q.limit(1).select(*(F.lit(f"{EX}events").alias(c) for c in dictionary.POSITIONS))), at)
+    for part in (q.where(F.col("ts_ms") < T0 + 10 * DAY), q):
+        dictionary.extend(spark, at, part)
+    terms = dictionary.load(spark, at)
+    return _every_quad(dictionary.decode(dictionary.encode(q, terms), terms, strict=True))
+
+
+# --- the quad log ---------------------------------------------------------------------------------------
+
+def _log(spark: SparkSession):
+    from .sources.log import LogConfig, QuadLog
+    from .workspace import scratch
+
+    return QuadLog(spark, scratch(spark, "log"), LogConfig(bucket_ms=DAY))
+
+
+def _users(quads: DataFrame) -> DataFrame:
+    return quads.where(F.col("p") == f"{EX}user").select("ts_ms", "s", "o")
+
+
+@register("log_scan_range", ORACLES["scan_range"])
+def log_scan_range(spark, sf_dir):
+    log = _log(spark)
+    log.append(event_quads(spark, sf_dir))
+    return _users(log.scan(T0 + 5 * DAY, T0 + 6 * DAY))
+
+
+@register("log_point", ORACLES["scan_point"])
+def log_point(spark, sf_dir):
+    log = _log(spark)
+    log.append(event_quads(spark, sf_dir))
+    first = log.quads().agg(F.min("ts_ms")).first()[0]
+    return log.at(first).where(F.col("p") == f"{EX}type").select("ts_ms", "s", "o")
+
+
+@register("log_out_of_order", ORACLES["scan_range"])
+def log_out_of_order(spark, sf_dir):
+    """Later days come first, then odd and even events of the earlier ones; files are then merged."""
+    log, q = _log(spark), event_quads(spark, sf_dir)
+    late, odd = F.col("ts_ms") >= T0 + 5 * DAY + 12 * HOUR, F.col("ts_ms") % 2 == 1
+    for part in (q.where(late), q.where(~late & odd), q.where(~late & ~odd)):
+        log.append(part)
+    log.compact()
+    return _users(log.scan(T0 + 5 * DAY, T0 + 6 * DAY))
+
+
+@register("log_after_flush", f"WITH {EV}, f AS (SELECT min(ts_ms) AS t FROM ev) SELECT stage, ts_ms, e AS s, u AS o FROM ev, (VALUES ('buffered'), ('flushed')) x(stage) WHERE ts_ms BETWEEN (SELECT t FROM f) AND (SELECT t FROM f) + {DAY}")
+def log_after_flush(spark, sf_dir):
+    """The quads of the first moment are written one by one: they are there before and after a flush."""
+    log, q = _log(spark), event_quads(spark, sf_dir)
+    first = q.agg(F.min("ts_ms")).first()[0]
+    log.append(q.where(F.col("ts_ms") > first))
+    log.write_all(tuple(r) for r in windows.at_time(q, first).select("ts_ms", "s", "p", "o", "g").toLocalIterator())
+    held = _users(log.scan(first, first + DAY)).select(F.lit("buffered").alias("stage"), "ts_ms", "s", "o")
+    log.flush()
+    return held.unionByName(_users(log.scan(first, first + DAY)).select(F.lit("flushed").alias("stage"), "ts_ms", "s", "o"))
+
+
+@register("static_inside_window", f"""WITH {EV}, {LIVE(DAY, 12 * HOUR)} SELECT ws, we, u, 'tier' || user_id % 3 AS k, count(*) AS n, round(max(value), 6) AS m FROM (SELECT DISTINCT ws, we, e, u, user_id, value FROM w) WHERE user_id % 2 = 0 GROUP BY ws, we, u, user_id""")
+def static_inside_window(spark, sf_dir):
+    """A pattern inside of a window that static quads match."""
+    users = events(spark, sf_dir).where("user_id % 2 = 0").select("user_id").distinct()
+    static = users.select(F.lit(0).cast("long").alias("ts_ms"), _iri("user", "user_id").alias("s"), F.lit(f"{EX}tier").alias("p"), F.concat(F.lit("tier"), (F.col("user_id") % 3).cast("string")).alias("o"), F.lit("").alias("g"), F.lit(STRING).cast("tinyint").alias("o_kind"), F.lit(None).cast("double").alias("o_num"))
+    return live(event_table(spark, sf_dir), f"REGISTER RStream ex:o AS SELECT ?u ?k (COUNT(?e) AS ?n) (MAX(?v) AS ?m) FROM NAMED WINDOW ex:w ON STREAM ex:events [RANGE {DAY} STEP {12 * HOUR}] WHERE {{ WINDOW ex:w {{ ?e ex:user ?u ; ex:value ?v . ?u ex:tier ?k }} }} GROUP BY ?u ?k", static=static, u="lex", k="lex", n="int", m="num")
+
+
+# --- streams --------------------------------------------------------------------------------------------
+
+def _streamed(spark: SparkSession, sf_dir: str, text: str, streams: Callable[[DataFrame], dict[str, DataFrame]], schema: str) -> DataFrame:
+    """A live query run by Structured Streaming over the events' files, until they are used up: windows
+    that the watermark has passed."""
     from .streaming.live import LiveQuery
     from .workspace import scratch
 
     raw = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)  # a stream's path is a folder
-    at = scratch(spark, "streamed")
-    text = PREFIX + f"REGISTER RStream ex:o AS SELECT ?u (AVG(?v) AS ?m) (COUNT(?e) AS ?n) FROM NAMED WINDOW ex:w ON STREAM ex:events [RANGE {2 * DAY} STEP {DAY}] WHERE {{ WINDOW ex:w {{ ?e ex:user ?u ; ex:value ?v }} }} GROUP BY ?u"
-    spark.createDataFrame([], "ws long, we long, u string, u__k tinyint, m string, m__k tinyint, m__n double, n string, n__k tinyint, n__n double").write.parquet(at)
-    columns = ["ws", "we", "u", "m__n", "n__n"]
-    run = LiveQuery(text, {f"{EX}events": as_quads(raw)}, style="full", on_result=lambda out: out.select(*columns).write.mode("append").parquet(at))
-    run.start().await_end()
-    out = spark.read.schema("ws long, we long, u string, m__n double, n__n double").parquet(at)
+    at, columns = scratch(spark, "streamed"), [c.split()[0] for c in schema.split(", ")]
+    spark.createDataFrame([], schema).write.parquet(at)
+    LiveQuery(PREFIX + text, streams(raw), style="full", on_result=lambda out: out.select(*columns).write.mode("append").parquet(at)).start().await_end()
+    return spark.read.schema(schema).parquet(at)
+
+
+@register("live_streaming_equals_batch", f"""WITH {EV}, {LIVE(2 * DAY, DAY)} SELECT ws, we, u, round(avg(value), 6) AS m, count(*) AS n FROM (SELECT DISTINCT ws, we, e, u, value FROM w WHERE we <= (SELECT max(ts_ms) FROM ev)) GROUP BY ws, we, u""")
+def live_streaming_equals_batch(spark, sf_dir):
+    text = f"REGISTER RStream ex:o AS SELECT ?u (AVG(?v) AS ?m) (COUNT(?e) AS ?n) FROM NAMED WINDOW ex:w ON STREAM ex:events [RANGE {2 * DAY} STEP {DAY}] WHERE {{ WINDOW ex:w {{ ?e ex:user ?u ; ex:value ?v }} }} GROUP BY ?u"
+    out = _streamed(spark, sf_dir, text, lambda raw: {f"{EX}events": as_quads(raw)}, "ws long, we long, u string, m__n double, n__n double")
     return out.select("ws", "we", "u", rounded(F.col("m__n")).alias("m"), F.col("n__n").cast("long").alias("n"))
 
 
+@register("live_multi_window_equals_batch", f"SELECT ws, we, u, n FROM ({_two_windows()}) WHERE we <= (SELECT least(max(epoch_us(ts) // 1000) FILTER (event_type = 'purchase'), max(epoch_us(ts) // 1000) FILTER (event_type = 'click')) FROM events)")
+def live_multi_window_equals_batch(spark, sf_dir):
+    out = _streamed(spark, sf_dir, _TWO, lambda raw: {EX + k: as_quads(raw.where(F.col("event_type") == k)).withColumn("g", F.lit("")) for k in ("purchase", "click")}, "ws long, we long, u string, n__n double")
+    return out.select("ws", "we", "u", F.col("n__n").cast("long").alias("n"))
+
+
+@register("live_istream_equals_batch", f"WITH {EV}, {LIVE(2 * DAY, DAY)}, d AS (SELECT DISTINCT ws, we, u FROM w WHERE value > 150 AND we <= (SELECT max(ts_ms) FROM ev)) SELECT ws, we, u FROM d a WHERE NOT EXISTS (SELECT 1 FROM d b WHERE b.ws = a.ws - {DAY} AND b.u = a.u)")
+def live_istream_equals_batch(spark, sf_dir):
+    text = f"REGISTER IStream ex:o AS SELECT DISTINCT ?u FROM NAMED WINDOW ex:w ON STREAM ex:events [RANGE {2 * DAY} STEP {DAY}] WHERE {{ WINDOW ex:w {{ ?e ex:user ?u ; ex:value ?v FILTER(?v > 150) }} }}"
+    return _streamed(spark, sf_dir, text, lambda raw: {f"{EX}events": as_quads(raw)}, "ws long, we long, u string")
+
+
 __all__ = ["ORACLES", "QUERIES"]

@@ -41,7 +41,7 @@ def test_query(spark, tables, name):
     assert got == sorted((tuple(plain(r[k]) for k in order) for r in want.fetchall()), key=str)
 
 
-@pytest.mark.parametrize("name", ["nquads_parse_all", "dictionary_roundtrip_all"])
+@pytest.mark.parametrize("name", ["nquads_parse", "dictionary_roundtrip", "dictionary_extend"])
 def test_every_quad_is_taken(spark, tables, name):
     cells = tables.sql("SELECT count(user_id) + count(event_type) + count(value) FROM events").fetchall()[0][0]
     assert workload.QUERIES[name](spark, DATA).count() == cells
