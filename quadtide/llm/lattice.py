@@ -140,20 +140,21 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, tables: int = TABLE
 
     def normalise(batches):
         for b in batches:
-            node, unit = [], []
+            digest, unit = [], []
             for raw, label in zip(b.column("embedding").to_pylist(), b.column("label").to_pylist()):
                 x = None if label is None else _usable(raw)
                 if x is None:
-                    node.append(None), unit.append(None)
+                    digest.append(None), unit.append(None)
                 else:
                     body = np.asarray(raw, "<f8").tobytes()
-                    node.append(int.from_bytes(hashlib.blake2b(body + str(label).encode(), digest_size=8).digest(), "little", signed=True))
+                    digest.append(hashlib.blake2b(body + str(label).encode(), digest_size=16).digest())
                     unit.append(x.tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("label"), pa.array(node, pa.int64()), pa.array(unit, pa.binary())], ["vec_id", "label", "node", "unit"])
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("label"), pa.array(digest, pa.binary()), pa.array(unit, pa.binary())], ["vec_id", "label", "digest", "unit"])
 
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), "embedding")
-    rows = materialize(rows.mapInArrow(normalise, "vec_id long, label long, node long, unit binary"), "lattice-units")
-    nodes = materialize(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("many"), F.min("label").alias("label"), F.min("unit").alias("unit")), "lattice-nodes")
+    rows = materialize(rows.mapInArrow(normalise, "vec_id long, label long, digest binary, unit binary"), "lattice-units")
+    nodes = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("many"), F.min("label").alias("label"), F.min("unit").alias("unit"))
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "lattice-nodes")  # written, so a node keeps its number
 
     where = materialize(nodes.select("node", "label", "unit").mapInArrow(_placed(tables, probes, scale, rows=True), "cell long, own boolean, node long"), "lattice-cells")
     # cells with two members of which one lives there
@@ -206,9 +207,9 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, tables: int = TABLE
     links = found.where("kind = 0").groupBy("a").agg(F.sum("b").alias("links")).withColumnRenamed("a", "node")
     comp = components(found.where("kind = 1").select("a", "b"), "lattice")
     least_id = nodes.select("node", "rep").join(comp.withColumnRenamed("id", "node"), "node").groupBy("comp").agg(F.min("rep").alias("least_id"))
-    info = nodes.select("node", "rep", "many").join(links, "node", "left").join(comp.withColumnRenamed("id", "node"), "node", "left").join(least_id, "comp", "left")
-    info = materialize(info.select("node", (F.col("many") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("least_id", "rep").alias("least_id")).where("n_links > 0"), "lattice-info")
-    out = rows.select("vec_id", "node").join(info, "node", "left")
+    info = nodes.select("node", "digest", "rep", "many").join(links, "node", "left").join(comp.withColumnRenamed("id", "node"), "node", "left").join(least_id, "comp", "left")
+    info = materialize(info.select("digest", (F.col("many") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("least_id", "rep").alias("least_id")).where("n_links > 0"), "lattice-info")
+    out = rows.select("vec_id", "digest").join(info, "digest", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("least_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
