@@ -71,6 +71,8 @@ class Dataset:
 
 #: Patterns of a group that are matched by windows' and by static quads in every combination, at most.
 MOST_EITHER = 4
+#: Steps of a path that a round goes from a constant start.
+HOPS = 3
 
 
 @dataclass
@@ -473,14 +475,18 @@ class Plan:
     def closure(self, step: DataFrame, keys: list[str], start: Const | None) -> DataFrame:
         """Transitive closure by rounds: only pairs that are new go on, and meet all known ones, so the
         reached distance doubles with each round. A constant start bounds it to what can be reached from
-        there, step by step. Each round is a written table; cycles end it, as nothing is new."""
+        there, HOPS steps a round. Each round is a written table; cycles end it, as nothing is new."""
         step = materialize(step, "path-step")
         first = step if start is None else step.where((F.col("s") == start.lex) & (F.col("s_kind") == start.kind))
         known = fresh = materialize(first, "path-0")
         on, turn = [*keys, "s", "s_kind", "o", "o_kind"], 0
         while True:
             turn += 1
-            ahead = self.chained(fresh, known if start is None else step, keys).dropDuplicates(on).join(known.select(*on), on, "left_anti")
+            ahead = reached = self.chained(fresh, known if start is None else step, keys)
+            for _ in range(0 if start is None else HOPS - 1):
+                reached = self.chained(reached.dropDuplicates(on), step, keys)
+                ahead = ahead.unionByName(reached)
+            ahead = ahead.dropDuplicates(on).join(known.select(*on), on, "left_anti")
             ahead = materialize(ahead.select(*known.columns), f"path-{turn}")
             if not ahead.limit(1).count():
                 discard(ahead)
