@@ -398,7 +398,9 @@ def recordings(vectors: DataFrame) -> DataFrame:
 
     def apply(batches):
         for b in batches:
-            media = [None if v is None else encode_wav(melody(v)) for v in b.column("embedding").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("rec_id"), pa.array(media, pa.binary())], ["rec_id", "media"])
+            for lo in range(0, b.num_rows, 64):  # a recording is some 32 kB
+                part = b.slice(lo, 64)
+                media = [None if v is None else encode_wav(melody(v)) for v in part.column("embedding").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("rec_id"), pa.array(media, pa.binary())], ["rec_id", "media"])
 
     return vectors.select(F.col("vec_id").cast("long").alias("rec_id"), "embedding").mapInArrow(apply, "rec_id long, media binary")

@@ -15,12 +15,13 @@ from ..workspace import discard, materialize, scratch, workspace
 __all__ = ["attach_group_min", "discard", "filesystem", "materialize", "prepare", "read_table", "scratch", "workspace"]
 
 PACKAGE = Path(__file__).resolve().parent.parent
-#: Rows of one Arrow batch: documents may be long, and a Python worker holds a batch or two.
-BATCH_ROWS = 1000
+#: Rows and bytes of one Arrow batch: documents may be long, and a Python worker holds a batch or two.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Makes this package importable on executors and keeps Arrow batches small. Safe to call again and again."""
+    """Makes this package importable on executors and keeps Arrow batches small, by the session's settings
+    for them, which are only ever lowered. Safe to call again and again."""
     sc = spark.sparkContext
     if getattr(sc, "_quadtide_shipped", None) is None:
         path = os.path.join(tempfile.mkdtemp(prefix="quadtide-"), "quadtide.zip")
@@ -31,6 +32,8 @@ def prepare(spark: SparkSession) -> SparkSession:
         sc._quadtide_shipped = path
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    if spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
