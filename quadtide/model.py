@@ -7,6 +7,8 @@ expression error, so SQL's three-valued logic gives SPARQL's error tables.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,13 +44,34 @@ def is_iri(text: Column) -> Column:
     return text.startswith("http://") | text.startswith("https://")
 
 
-def typed(quads: DataFrame) -> DataFrame:
+#: An absolute IRI: a scheme, and no blanks, controls or characters that IRIs exclude.
+_ABSOLUTE = r"^[A-Za-z][A-Za-z0-9+.-]*:[^\x00-\x20<>\"{}|^`\\]*$"
+
+
+def valid_iri(text: str) -> bool:
+    return re.match(_ABSOLUTE[:-1] + r"\Z", text) is not None
+
+
+def checked(quads: DataFrame) -> DataFrame:
+    """Typed quads whose subject, predicate, graph or IRI object is no IRI are an error when they are read."""
+    def sure(name: str, where: Column) -> Column:
+        bad = F.raise_error(F.concat(F.lit(f"invalid IRI in {name}: "), F.col(name))).cast("string")
+        return F.when(where & ~F.col(name).rlike(_ABSOLUTE), bad).otherwise(F.col(name)).alias(name)
+
+    tests = {"s": F.lit(True), "p": F.lit(True), "g": F.col("g") != "", "o": F.col("o_kind") == IRI}
+    return quads.select(*(sure(c, tests[c]) if c in tests else F.col(f"`{c}`") for c in quads.columns))
+
+
+def typed(quads: DataFrame, live: bool = False) -> DataFrame:
     """Adds o_kind and o_num to rows of (ts_ms, s, p, o, g): an http(s) object is an IRI, one that
-    reads as a number a decimal, anything else a string. Null or "default" graphs are the default graph."""
-    number = parse_number(F.col("o"))
+    reads as a number a decimal, anything else a string. Null or "default" graphs are the default graph.
+    live: an http(s) object that is no valid IRI is a string, as in streams."""
+    number, iri = parse_number(F.col("o")), is_iri(F.col("o"))
+    if live:
+        iri = iri & F.col("o").rlike(_ABSOLUTE)
     g = F.when(F.col("g").isNull() | (F.col("g") == "default"), "").otherwise(F.col("g"))
-    kind = F.when(is_iri(F.col("o")), IRI).when(number.isNotNull(), DECIMAL).otherwise(STRING).cast("tinyint")
-    return quads.select(F.col("ts_ms").cast("long").alias("ts_ms"), "s", "p", "o", g.alias("g"), kind.alias("o_kind"), F.when(~is_iri(F.col("o")), number).alias("o_num"))
+    kind = F.when(iri, IRI).when(number.isNotNull(), DECIMAL).otherwise(STRING).cast("tinyint")
+    return quads.select(F.col("ts_ms").cast("long").alias("ts_ms"), "s", "p", "o", g.alias("g"), kind.alias("o_kind"), F.when(~iri, number).alias("o_num"))
 
 
 def quads_of(spark, rows, kinds: dict[int, int] | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ExecutionError
+from ..model import checked
 from ..operators import baseline as baselines
 from ..operators import r2s, windows
 from .ast import Const, Exists, Filter, Graph, Group, HybridQuery, Select, Triple, Var, WindowPattern, WindowSpec, variables
@@ -87,7 +88,9 @@ class HybridEvaluation:
     """Evaluates a hybrid query in batch: log is the stored past (a QuadLog, quads or a wide table), streams the live quads by stream IRI
     (or one DataFrame for all), static the background quads. Results are lazy."""
 
-    def __init__(self, query: HybridQuery | str, log=None, streams: dict[str, DataFrame] | DataFrame | Wide | None = None, static: DataFrame | None = None, now_ms: int | None = None, functional: frozenset[str] = frozenset(), baseline_mode: str = "aggregate"):
+    def __init__(self, query: HybridQuery | str, log=None, streams: dict[str, DataFrame] | DataFrame | Wide | None = None, static: DataFrame | None = None, now_ms: int | None = None, functional: frozenset[str] = frozenset(), baseline_mode: str = "aggregate", strict: bool = False):
+        """strict: a quad of the log with an invalid IRI fails the windows that it is in."""
+        self.strict = strict
         self.query = parse_hybrid(query) if isinstance(query, str) else query
         self.log, self.streams, self.static, self.now_ms = log, streams, static, now_ms
         self.functional, self.baseline_mode = functional, baseline_mode
@@ -106,6 +109,8 @@ class HybridEvaluation:
         log = self.log
         if hasattr(log, "scan"):  # a quad log prunes its buckets
             log = log.scan(*((window.start, window.end) if window.kind == "fixed" else (windows.sliding_starts(window, self._now())[0], self._now())))
+        if self.strict and isinstance(log, DataFrame):
+            log = checked(log)
         if window.kind == "fixed":
             data = windows.fixed_dataset(log, window, functional=self.functional)
         else:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import LiveError
-from ..model import QUAD, typed
+from ..model import QUAD, typed, valid_iri
 from ..operators import r2s, windows
 from ..plans.ast import Const, Group, HybridQuery, Triple, WindowPattern, WindowSpec
 from ..plans.compiler import Dataset, Plan, presented
@@ -296,6 +296,10 @@ class StreamInput:
             return
         if any(not 0 <= r[0] < 2**63 for r in rows):
             raise LiveError("a time doesn't fit into 63 bits")
+        for _, s, p, _, g in rows:
+            bad = next((x for x in (s, p, *([g] if g and g != "default" else [])) if not valid_iri(x)), None)
+            if bad is not None:
+                raise LiveError(f"invalid IRI: {bad!r}")
         if one_time:
             rows = [(rows[0][0], *r[1:]) for r in rows]
         self._put(rows)
@@ -319,7 +323,7 @@ class StreamInput:
         raw = reader.json(self.folder)
         if arrival_time:
             raw = raw.withColumn("ts_ms", F.unix_millis(F.current_timestamp())).withColumn("g", F.lit(""))
-        return typed(raw)
+        return typed(raw, live=True)
 
 
 class LiveProcessor:

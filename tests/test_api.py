@@ -2,6 +2,7 @@ import base64
 import json
 import os
 import socket
+import threading
 import time
 import urllib.error
 import urllib.request
@@ -9,11 +10,13 @@ import urllib.request
 import pytest
 from pyspark.sql import functions as F
 
+from quadtide import api
 from quadtide.api import Engine, QueryRegistry, QueryResult, Status, envelope
 from quadtide.errors import ExecutionError, InvalidState, QueryExists, QueryNotFound, QueryParseError, TooManyQueries
 from quadtide.model import quads_of
 from quadtide.plans.hybrid import HybridEvaluation
 from quadtide.server import SUBSCRIBER_CAPACITY, Subscriber, serve, text_frame
+from quadtide.sources.broker import FileBroker, QueueSource, file_connector, mqtt_connector
 from quadtide.sources.log import QuadLog
 from quadtide.streaming.live import StreamInput
 
@@ -52,6 +55,71 @@ def test_registry():
     assert r.list_all() == []
 
 
+def test_history_doesnt_hold_up_the_live_part(spark, tmp_path, monkeypatch):
+    log, gate = QuadLog(spark, str(tmp_path / "log")), threading.Event()
+    log.write_all(ROWS)
+    engine = Engine(spark, log, {E + "st": stream(spark, [(2500, E + "sensor2", E + "temp", "40", "")], 9000)})
+    past = engine._historical
+    monkeypatch.setattr(engine, "_historical", lambda *a: gate.wait(120) and past(*a))
+    engine.register_query("q", HYBRID)
+    handle = engine.start_query("q")
+    first = handle.receive(120)
+    assert first.source == "Live" and first.bindings[0]["x"] == "40" and engine.is_running("q")
+    gate.set()
+    assert {r.source for r in handle} == {"Historical"} and engine.get_query_status("q") is Status.COMPLETED
+
+
+def test_brokers_feed_queries(spark, tmp_path):
+    """A stream that the engine doesn't know comes from its connector: a file topic, or a source of lines."""
+    broker = FileBroker(str(tmp_path / "topics"))
+    broker.publish("st", [f'{t} <{E}a> <{E}temp> "{t}" .' for t in (100, 700, 9000)])
+    engine = Engine(spark, connect=file_connector(spark, broker, arrival_time=False))
+    engine.register_query("q", LIVE)
+    assert {b["x"] for r in engine.start_query("q") for b in r.bindings} == {"100", "700"}
+
+    class Fake(QueueSource):
+        made = []
+
+        def __init__(self, *at):
+            super().__init__()
+            Fake.made.append((at, self))
+
+    connect = mqtt_connector(spark, Fake)
+    engine = Engine(spark, connect=connect, live_options={"trigger": {"processingTime": "100 milliseconds"}})
+    engine.register_query("m", LIVE.replace("e:st ", "<mqtt://broker:99/room> ").replace("RANGE 1000 STEP 500", "RANGE 200 STEP 200"))
+    handle = engine.start_query("m")
+    while not Fake.made:
+        time.sleep(0.05)
+    (at, source) = Fake.made[0]
+    got = None
+    for k in range(200):  # arrival times close windows as lines go on coming
+        source.put(f'5 <{E}a> <{E}temp> "{k}" <{E}elsewhere> .')
+        got = handle.receive(0.3)
+        if got is not None:
+            break
+    engine.stop_query("m")
+    for s in connect.open.values():
+        s.stop()
+    assert at == ("broker", 99, "room") and len(Fake.made) == 1 and got is not None and got.bindings[0]["s"] == E + "a"
+
+
+def test_unread_results_hold_the_query(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(api, "RESULTS_WAITING", 3)
+    monkeypatch.setattr(api, "RESULT_ROWS", 1)
+    log = QuadLog(spark, str(tmp_path / "log"))
+    log.write_all((k, f"{E}s{k}", E + "temp", str(k), E + "g") for k in range(30))
+    engine = Engine(spark, log)
+    engine.register_query("q", PAST)
+    handle = engine.start_query("q")
+    while handle._results.qsize() < 3:
+        time.sleep(0.05)
+    assert engine.is_running("q") and len(list(handle)) == 30
+    engine.register_query("again", PAST)
+    engine.start_query("again")
+    engine.stop_query("again")  # a query that waits for its reader can be stopped
+    assert engine.get_query_status("again") is Status.STOPPED
+
+
 def test_historical_query(spark, tmp_path):
     log = QuadLog(spark, str(tmp_path / "log"))
     log.write_all(ROWS)

@@ -4,7 +4,7 @@ import time
 import pytest
 
 from quadtide.errors import LiveError
-from quadtide.model import quads_of
+from quadtide.model import IRI, STRING, quads_of, typed
 from quadtide.plans.hybrid import HybridEvaluation
 from quadtide.streaming.live import LiveProcessor, LiveQuery, StreamInput, closed_windows
 
@@ -147,6 +147,12 @@ def test_errors(spark):
     p.register_stream(E + "st")
     with pytest.raises(LiveError):
         p.add_event(E + "st", 2**63, "http://s", "http://p", "x")
+    for bad in ((1, "no iri", "http://p", "x"), (1, "http://s", "p", "x"), (1, "http://s", "http://p", "x", "http://a b")):
+        with pytest.raises(LiveError):
+            p.add_event(E + "st", *bad)
+    p.add_event(E + "st", 1, "urn:s", "http://p", "http://not an iri")
+    (r,) = spark.read.schema("ts_ms long, s string, p string, o string, g string").json(p.inputs[E + "st"].folder).where("o != ''").collect()
+    assert typed(spark.createDataFrame([r]), live=True).first()["o_kind"] == STRING and typed(spark.createDataFrame([r])).first()["o_kind"] == IRI
     p.close_stream(E + "st", 5)
     with pytest.raises(LiveError):
         p.add_event(E + "st", 6, "http://s", "http://p", "x")

@@ -120,6 +120,17 @@ def test_multi_window_join_naive(spark):
     assert got == sorted(want)
 
 
+def test_strict_logs(spark):
+    """A quad with an invalid IRI fails the window that it is in, and no other."""
+    q = quads_of(spark, [(1, E + "a", E + "p", "1", E + "g"), (50, "not an iri", E + "p", "1", E + "g"), (90, E + "a", E + "p", "http://x y", E + "g")])
+    text = f"PREFIX e: <{E}> SELECT ?s ?o FROM NAMED WINDOW e:w ON LOG e:l [START {{}} END {{}}] WHERE {{{{ WINDOW e:w {{{{ ?s e:p ?o }}}} }}}}"
+    assert HybridEvaluation(text.format(0, 9), log=q, strict=True).historical().count() == 1
+    for a, b in ((0, 60), (80, 99)):
+        assert HybridEvaluation(text.format(a, b), log=q).historical().count() == (2 if a == 0 else 1)
+        with pytest.raises(Exception, match="invalid IRI"):
+            HybridEvaluation(text.format(a, b), log=q, strict=True).historical().collect()
+
+
 def test_windows_one_at_a_time(spark):
     q = sensors(spark, range(9400, 10_000, 100))
     spec = WindowSpec("w", "log", "x", "sliding", 250, 100, 600)
