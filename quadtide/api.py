@@ -340,9 +340,13 @@ class Engine:
                 self.stop_query(query_id)
 
 
-def envelope(results: DataFrame, query_id: str, source: str, stamp: str = "we") -> DataFrame:
-    """Results as rows (query_id, timestamp, source, bindings array<map<string,string>>), one for each window."""
+def envelope(results: DataFrame, query_id: str, source: str, stamp: str = "we", most: int = RESULT_ROWS) -> DataFrame:
+    """Results as rows (query_id, timestamp, source, bindings array<map<string,string>>): one for each window,
+    or several of about `most` bindings each, so that no row holds an unbounded window."""
     names = [c for c in results.columns if c not in ("ws", "we", "ts", "last_ms")]
     binding = F.map_filter(F.create_map(*(x for c in names for x in (F.lit(c), F.col(f"`{c}`")))), lambda k, v: v.isNotNull())
     keys = [c for c in ("ws", "we", "ts") if c in results.columns]
-    return results.groupBy(*keys).agg(F.collect_list(binding).alias("bindings")).select(F.lit(query_id).alias("query_id"), F.col(stamp).alias("timestamp"), F.lit(source).alias("source"), "bindings")
+    parts = results.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("_parts"))
+    dealt = results.select(*keys, binding.alias("_binding"), F.xxhash64(*(F.col(f"`{c}`") for c in names), F.monotonically_increasing_id()).alias("_deal")).join(parts, keys)
+    dealt = dealt.withColumn("_part", F.pmod("_deal", F.col("_parts")))
+    return dealt.groupBy(*keys, "_part").agg(F.collect_list("_binding").alias("bindings")).select(F.lit(query_id).alias("query_id"), F.col(stamp).alias("timestamp"), F.lit(source).alias("source"), "bindings")

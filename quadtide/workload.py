@@ -619,6 +619,20 @@ def log_after_flush(spark, sf_dir):
     return held.unionByName(_users(log.scan(first, first + DAY)).select(F.lit("flushed").alias("stage"), "ts_ms", "s", "o"))
 
 
+@register("index_scan_range", ORACLES["scan_range"])
+def index_scan_range(spark, sf_dir):
+    """A range by a sparse index over files in time order, not partitioned; their quads are ids of a dictionary."""
+    from .sources import dictionary
+    from .sources.index import TimeIndex
+    from .workspace import materialize, scratch
+
+    q = event_quads(spark, sf_dir).where(F.col("p") == f"{EX}user")
+    terms = materialize(dictionary.build(q), "dictionary")
+    ids = materialize(dictionary.encode(q, terms).repartitionByRange(8, "ts_ms").sortWithinPartitions("ts_ms"), "ids")
+    found = TimeIndex.build(ids, scratch(spark, "index"), 100).query(T0 + 5 * DAY, T0 + 6 * DAY, terms)
+    return found.select("ts_ms", "s", "o")
+
+
 @register("static_inside_window", f"""WITH {EV}, {LIVE(DAY, 12 * HOUR)} SELECT ws, we, u, 'tier' || user_id % 3 AS k, count(*) AS n, round(max(value), 6) AS m FROM (SELECT DISTINCT ws, we, e, u, user_id, value FROM w) WHERE user_id % 2 = 0 GROUP BY ws, we, u, user_id""")
 def static_inside_window(spark, sf_dir):
     """A pattern inside of a window that static quads match."""

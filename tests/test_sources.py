@@ -7,6 +7,7 @@ from quadtide.errors import QueryParseError, ReplayError, StorageError
 from quadtide.model import typed
 from quadtide.sources import dictionary
 from quadtide.sources.broker import FileBroker, LineSource, LineStream, QueueSource, parse_broker_uri
+from quadtide.sources.index import TimeIndex
 from quadtide.sources.log import LogConfig, QuadLog
 from quadtide.sources.nquads import bad_lines, parse_line, parse_lines, read_nquads, to_line
 from quadtide.sources.replay import Replay, ReplayConfig, ReplayMetrics, bulk_load
@@ -218,6 +219,26 @@ def test_scans_list_only_their_buckets(spark, tmp_path):
     assert log.scan(100, 119).count() == 4 and log.scan(0, 999).count() == 200 and log.scan(2000, 3000).count() == 0
 
 
+@pytest.mark.parametrize("every", [1, 10, 1000])
+def test_time_index(spark, tmp_path, every):
+    """Ranges by an index equal ranges by a plain filter; files without the range aren't opened."""
+    k = F.col("id")
+    rows = spark.range(5000).select(((k * 7) % 900).alias("ts_ms"), *(F.concat(F.lit(f"http://e/{c}"), (k % n).cast("string")).alias(c) for c, n in (("s", 50), ("p", 3), ("o", 40), ("g", 2))))
+    typed(rows).repartitionByRange(6, "ts_ms").sortWithinPartitions("ts_ms").write.parquet(str(tmp_path / "q"))
+    quads = spark.read.parquet(str(tmp_path / "q"))
+    index = TimeIndex.build(quads, str(tmp_path / "i"), every)
+    assert index.entries().count() <= 5000 // every + 2 * 6 and (every > 1 or index.entries().count() == 5000)
+    for a, b in ((100, 120), (0, 899), (5, 5), (-9, -1), (2000, 3000), (9, 3), (890, 5000)):
+        got = index.query(a, b)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, quads.where(F.col("ts_ms").between(a, b)).collect()))
+        assert len(got.inputFiles()) <= (0 if b < a or a > 899 or b < 0 else 6 if b - a > 100 else 2)
+    spans = {r["file"]: (r["low"], r["high"]) for r in index.spans(100, 120).collect()}
+    inside = quads.where(F.col("ts_ms").between(100, 120)).select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("r")).collect()
+    assert all(spans[r["f"]][0] <= r["r"] <= spans[r["f"]][1] for r in inside)
+    with pytest.raises(StorageError):
+        TimeIndex.build(quads, str(tmp_path / "z"), 0)
+
+
 def test_dictionary_from_one_term(spark, tmp_path):
     """Id 0 is an id: an extended dictionary has no id twice, on disk either."""
     quad = lambda *rows: typed(spark.createDataFrame(list(rows), "ts_ms long, s string, p string, o string, g string"))
