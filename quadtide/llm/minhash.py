@@ -205,7 +205,7 @@ def _sift(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
 #: Documents of a block when components are compared, and bytes of their sets; rows and bytes of a lot of
 #: small groups.
-HUB_BLOCK, HUB_BYTES, LOT_ROWS, LOT_BYTES = 512, 16 << 20, 4096, 32 << 20
+HUB_BLOCK, HUB_BYTES, LOT_ROWS, LOT_BYTES = 512, 8 << 20, 1024, 8 << 20
 #: Components with fewer documents are small.
 POOLED = 64
 #: Members of an A_i's bucket that are looked at together; larger ones are taken by their parts (A_i, B_j).
