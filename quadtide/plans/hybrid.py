@@ -88,9 +88,10 @@ class HybridEvaluation:
     """Evaluates a hybrid query in batch: log is the stored past (a QuadLog, quads or a wide table), streams the live quads by stream IRI
     (or one DataFrame for all), static the background quads. Results are lazy."""
 
-    def __init__(self, query: HybridQuery | str, log=None, streams: dict[str, DataFrame] | DataFrame | Wide | None = None, static: DataFrame | None = None, now_ms: int | None = None, functional: frozenset[str] = frozenset(), baseline_mode: str = "aggregate", strict: bool = False):
-        """strict: a quad of the log with an invalid IRI fails the windows that it is in."""
-        self.strict = strict
+    def __init__(self, query: HybridQuery | str, log=None, streams: dict[str, DataFrame] | DataFrame | Wide | None = None, static: DataFrame | None = None, now_ms: int | None = None, functional: frozenset[str] = frozenset(), baseline_mode: str = "aggregate", strict: bool = False, static_predicates: frozenset[str] | None = None):
+        """strict: a quad of the log with an invalid IRI fails the windows that it is in. static_predicates: all
+        predicates of the static quads, if they are known; patterns with others then meet no static quads."""
+        self.strict, self.static_predicates = strict, static_predicates
         self.query = parse_hybrid(query) if isinstance(query, str) else query
         self.log, self.streams, self.static, self.now_ms = log, streams, static, now_ms
         self.functional, self.baseline_mode = functional, baseline_mode
@@ -165,12 +166,14 @@ class HybridEvaluation:
     def _live(self) -> tuple[Rel, DataFrame]:
         if self.split.live is None:
             raise ExecutionError("the query has no live window")
-        static, predicates = self.static, None
+        static, predicates = self.static, self.static_predicates
         if self.query.historical_windows and self.log is not None:
             base = self.baseline()
             if base is not None:
                 if static is None:
                     predicates = self._baseline_predicates()
+                elif predicates is not None:
+                    predicates = predicates | self._baseline_predicates()
                 static = base if static is None else static.unionByName(base)
         q = replace(self.split.live, where=_rewrite(self.split.live.where))
         return live_plan(self.query, q, {w.name: self._stream(w) for w in self.query.live_windows}, static, self.now_ms, self.functional, predicates)

@@ -131,6 +131,25 @@ def test_strict_logs(spark):
             HybridEvaluation(text.format(a, b), log=q, strict=True).historical().collect()
 
 
+def test_static_quads_inside_of_windows(spark):
+    """Patterns of a window that static quads match too, against plain loops; known predicates make no product."""
+    rng = random.Random(8)
+    live = [(rng.randrange(0, 40), f"{E}s{rng.randrange(4)}", E + rng.choice("pq"), f"{E}o{rng.randrange(4)}", "") for _ in range(40)]
+    static = [(0, f"{E}s{k}", E + p, f"{E}o{rng.randrange(4, 8)}", "") for k in range(5) for p in "qr"]
+    text = f"PREFIX e: <{E}> SELECT ?s ?x ?y ?z FROM NAMED WINDOW e:w ON STREAM e:st [RANGE 10 STEP 5] WHERE {{ WINDOW e:w {{ ?s e:p ?x ; e:q ?y ; e:r ?z }} }}"
+    want = []
+    for ws in range(-5, 45, 5):
+        inside = {r[1:4] for r in live if ws <= r[0] < ws + 10}
+        if inside:
+            every = inside | {r[1:4] for r in static}
+            want += [(ws, a[0], a[2], b[2], c[2]) for a in every for b in every for c in every if a[0] == b[0] == c[0] and (a[1], b[1], c[1]) == (E + "p", E + "q", E + "r")]
+    for known in (None, frozenset({E + "q", E + "r"})):
+        out = HybridEvaluation(text, streams=quads_of(spark, live), static=quads_of(spark, static), static_predicates=known).live()
+        assert sorted((r["ws"], r["s"], r["x"], r["y"], r["z"]) for r in out.collect()) == sorted(want) and want
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert known is None or not any("Join Cross" in line or line.strip(" +-:").rstrip() == "Join Inner" for line in plan.split("\n"))
+
+
 def test_windows_one_at_a_time(spark):
     q = sensors(spark, range(9400, 10_000, 100))
     spec = WindowSpec("w", "log", "x", "sliding", 250, 100, 600)
