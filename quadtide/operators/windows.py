@@ -110,21 +110,24 @@ def open_at(spec: WindowSpec, at):
     return (F.floor((at - spec.width) / spec.slide) + 1).cast("long") * spec.slide
 
 
-def joined_live_datasets(streams: list[tuple[WindowSpec, DataFrame]], **options) -> dict[str, Dataset]:
+def joined_live_datasets(streams: list[tuple[WindowSpec, DataFrame, set[str] | None]], **options) -> dict[str, Dataset]:
     """Several live windows: when an instance of one of them closes at we, its last quad being of t, it
     meets of each other window the instance that is open at t, the one that opened first, with what that
     has before we. The query runs for every instance with content, whether the others hold anything or not.
 
-    Keys: by (which window fired), ws and we; stamps have t of the instance that fired.
+    streams: for each window its stream and the predicates that its patterns can match (None: any); other
+    quads count for the firings alone. Keys: by (which window fired), ws and we; stamps have t of the
+    instance that fired.
     """
-    streams = [(w, q.quads() if isinstance(q, Wide) else q) for w, q in streams]
-    assigned = {w.name: assign_live(q, w.width, w.slide) for w, q in streams}
+    streams = [(w, q.quads() if isinstance(q, Wide) else q, names) for w, q, names in streams]
+    wanted = {w.name: q if names is None else q.where(F.col("p").isin(*names)) for w, q, names in streams}
+    assigned = {w.name: assign_live(wanted[w.name], w.width, w.slide) for w, *_ in streams}
     firings = None
-    for k, (w, _) in enumerate(streams):
-        f = assigned[w.name].groupBy("ws", "we").agg(F.max("ts_ms").alias("last_ms")).select(F.lit(k).alias("by"), "ws", "we", "last_ms")
+    for k, (w, q, _) in enumerate(streams):
+        f = assign_live(q.select("ts_ms"), w.width, w.slide).groupBy("ws", "we").agg(F.max("ts_ms").alias("last_ms")).select(F.lit(k).alias("by"), "ws", "we", "last_ms")
         firings = f if firings is None else firings.unionByName(f)
     out = {}
-    for k, (w, _) in enumerate(streams):
+    for k, (w, *_) in enumerate(streams):
         own = assigned[w.name].select(F.lit(k).alias("by"), "ws", "we", *TERMS)
         asked = firings.where(F.col("by") != k).withColumn("_ws", open_at(w, F.col("last_ms"))).where("_ws <= last_ms").drop("last_ms")
         content = assigned[w.name].select(F.col("ws").alias("_ws"), "ts_ms", *TERMS)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields, is_dataclass
 
 
 @dataclass(frozen=True)
@@ -254,3 +254,22 @@ def variables(node) -> set[str]:
     if hasattr(node, "__dataclass_fields__"):
         return set().union(set(), *(variables(getattr(node, f)) for f in node.__dataclass_fields__))
     return set()
+
+
+def _walk(node):
+    """Every node of a query's algebra, however deep."""
+    yield node
+    inner = node if isinstance(node, (list, tuple)) else [getattr(node, f.name) for f in fields(node)] if is_dataclass(node) else []
+    for x in inner:
+        yield from _walk(x)
+
+
+def bodies(node, window: str) -> list[Group]:
+    """The patterns inside a window, wherever they stand in a query."""
+    return [x.group for x in _walk(node) if isinstance(x, WindowPattern) and x.window == window]
+
+
+def wanted_predicates(group: Group) -> set[str] | None:
+    """The constant predicates that a window's patterns can match; None if any predicate can."""
+    triples = [x for x in _walk(group) if isinstance(x, Triple)]
+    return {t.p.lex for t in triples} if all(isinstance(t.p, Const) for t in triples) else None

@@ -12,7 +12,7 @@ from ..errors import ExecutionError
 from ..model import checked
 from ..operators import baseline as baselines
 from ..operators import r2s, windows
-from .ast import Const, Exists, Filter, Graph, Group, HybridQuery, Select, Triple, Var, WindowPattern, WindowSpec, variables
+from .ast import Const, Exists, Filter, Graph, Group, HybridQuery, Select, Triple, Var, WindowPattern, WindowSpec, bodies, variables, wanted_predicates
 from .compiler import Dataset, Plan, Rel, Wide, _find_aggregates, presented
 from .parser import parse_hybrid
 
@@ -201,7 +201,7 @@ def live_plan(query: HybridQuery, q: Select, streams: dict[str, DataFrame], stat
         w = specs[0]
         data = {w.name: windows.live_dataset(streams[w.name], w, **options)}
     else:
-        data = windows.joined_live_datasets([(w, streams[w.name]) for w in specs], **options)
+        data = windows.joined_live_datasets([(w, streams[w.name], wanted_predicates(Group(bodies(q.where, w.name)))) for w in specs], **options)
     for w in specs:
         data[w.name].extra_graphs = (w.stream,)
     first = data[specs[0].name].quads

@@ -19,7 +19,6 @@ import threading
 import time
 import uuid
 from collections.abc import Callable, Iterable
-from dataclasses import fields, is_dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +27,7 @@ from pyspark.sql import functions as F
 from ..errors import LiveError
 from ..model import QUAD, typed, valid_iri
 from ..operators import r2s, windows
-from ..plans.ast import Const, Group, HybridQuery, Triple, WindowPattern, WindowSpec
+from ..plans.ast import Group, HybridQuery, WindowSpec, bodies, wanted_predicates
 from ..plans.compiler import Dataset, Plan, presented
 from ..plans.hybrid import _rewrite, split, stamped, streamed
 from ..plans.parser import parse_hybrid
@@ -39,25 +38,6 @@ SENTINEL = "urn:quadtide:sentinel"
 MOST_RESULTS, MOST_PREDICATES = 100_000, 1000
 
 
-def _walk(node):
-    """Every node of a query's algebra, however deep."""
-    yield node
-    inner = node if isinstance(node, (list, tuple)) else [getattr(node, f.name) for f in fields(node)] if is_dataclass(node) else []
-    for x in inner:
-        yield from _walk(x)
-
-
-def bodies(node, window: str) -> list[Group]:
-    """The patterns inside a window, wherever they stand in a query."""
-    return [x.group for x in _walk(node) if isinstance(x, WindowPattern) and x.window == window]
-
-
-def wanted_predicates(group: Group) -> set[str] | None:
-    """The constant predicates that a window's patterns can match; None if any predicate can."""
-    triples = [x for x in _walk(group) if isinstance(x, Triple)]
-    return {t.p.lex for t in triples} if all(isinstance(t.p, Const) for t in triples) else None
-
-
 def _milliseconds(n: int) -> str:
     return f"{n} milliseconds"
 
