@@ -104,31 +104,52 @@ def live_dataset(quads: DataFrame | Wide, spec: WindowSpec, **options) -> Datase
     return data
 
 
+def ending(assigned: DataFrame, closing: tuple[int | None, int] | None) -> DataFrame:
+    """The rows of windows that end in (after, upto]; after None: however early, closing None: all."""
+    if closing is None:
+        return assigned
+    after, upto = closing
+    found = assigned.where(F.col("we") <= upto)
+    return found if after is None else found.where(F.col("we") > after)
+
+
+def closing_datasets(streams: list[tuple[WindowSpec, DataFrame, set[str] | None]], closing: tuple[int | None, int]) -> dict[str, Dataset]:
+    """The datasets of the live windows that end in (after, upto], as joined_live_datasets takes and has them;
+    for one window by itself without the key by."""
+    if len(streams) > 1:
+        return joined_live_datasets(streams, closing)
+    (w, quads, names), = streams
+    assigned = ending(assign_live(quads, w.width, w.slide), closing)
+    wanted = assigned if names is None else assigned.where(F.col("p").isin(*names))
+    stamps = assigned.groupBy("ws", "we").agg(F.max("ts_ms").alias("last_ms"))
+    return {w.name: Dataset(as_set(wanted, "ws", "we"), ("ws", "we"), stamps=stamps)}
+
+
 def open_at(spec: WindowSpec, at):
     """The start of a live window's instance that is open at a time, the one that opened first; with a
     slide over the width it may start later than that time, and then none is open."""
     return (F.floor((at - spec.width) / spec.slide) + 1).cast("long") * spec.slide
 
 
-def joined_live_datasets(streams: list[tuple[WindowSpec, DataFrame, set[str] | None]], **options) -> dict[str, Dataset]:
+def joined_live_datasets(streams: list[tuple[WindowSpec, DataFrame, set[str] | None]], closing: tuple[int | None, int] | None = None, **options) -> dict[str, Dataset]:
     """Several live windows: when an instance of one of them closes at we, its last quad being of t, it
     meets of each other window the instance that is open at t, the one that opened first, with what that
     has before we. The query runs for every instance with content, whether the others hold anything or not.
 
     streams: for each window its stream and the predicates that its patterns can match (None: any); other
     quads count for the firings alone. Keys: by (which window fired), ws and we; stamps have t of the
-    instance that fired.
+    instance that fired. closing: only of instances that end in (after, upto].
     """
     streams = [(w, q.quads() if isinstance(q, Wide) else q, names) for w, q, names in streams]
     wanted = {w.name: q if names is None else q.where(F.col("p").isin(*names)) for w, q, names in streams}
     assigned = {w.name: assign_live(wanted[w.name], w.width, w.slide) for w, *_ in streams}
     firings = None
     for k, (w, q, _) in enumerate(streams):
-        f = assign_live(q.select("ts_ms"), w.width, w.slide).groupBy("ws", "we").agg(F.max("ts_ms").alias("last_ms")).select(F.lit(k).alias("by"), "ws", "we", "last_ms")
+        f = ending(assign_live(q.select("ts_ms"), w.width, w.slide), closing).groupBy("ws", "we").agg(F.max("ts_ms").alias("last_ms")).select(F.lit(k).alias("by"), "ws", "we", "last_ms")
         firings = f if firings is None else firings.unionByName(f)
     out = {}
     for k, (w, *_) in enumerate(streams):
-        own = assigned[w.name].select(F.lit(k).alias("by"), "ws", "we", *TERMS)
+        own = ending(assigned[w.name], closing).select(F.lit(k).alias("by"), "ws", "we", *TERMS)
         asked = firings.where(F.col("by") != k).withColumn("_ws", open_at(w, F.col("last_ms"))).where("_ws <= last_ms").drop("last_ms")
         content = assigned[w.name].select(F.col("ws").alias("_ws"), "ts_ms", *TERMS)
         met = asked.join(content, "_ws").where("ts_ms < we").select("by", "ws", "we", *TERMS)

@@ -1,14 +1,13 @@
 """Live windows on Structured Streaming.
 
-One stateful operator keeps the distinct quads of each window, a state row for each quad, so that a
-window is spread over all partitions; it fires when the watermark passes the window's end, and the
-closed windows of a micro-batch then go through the same batch plan that replays use. So a stream and
-its replay give the same results, and joins or aggregates are never stacked on another stateful
-operator.
-
-With several live windows each one's state also takes what the others' instances may hold when it
-closes, so that all content of a firing comes in one micro-batch. A window closes when all streams
-have passed its end.
+Each micro-batch's quads go to a part of their own, a folder of Parquet files beside the checkpoint. When
+all streams have passed a window's end, its content is read from the parts that can hold some of it and
+goes through the same batch plan that replays use. So a quad is written once, however many windows it is
+in, a stream and its replay give the same results, and nothing of a window is kept in executors' memory.
+
+Parts that no open window needs are dropped; many small ones are merged. What is kept after a micro-batch
+(parts, how far each stream is, up to where windows have closed) is a small file, a mark, so a query that is started again
+from its checkpoint goes on from the last one that was finished.
 """
 
 from __future__ import annotations
@@ -31,11 +30,13 @@ from ..plans.ast import Group, HybridQuery, WindowSpec, bodies, wanted_predicate
 from ..plans.compiler import Dataset, Plan, presented
 from ..plans.hybrid import _rewrite, split, stamped, streamed
 from ..plans.parser import parse_hybrid
-from ..workspace import scratch, write_text
+from ..workspace import remove, scratch, write_text
 
 SENTINEL = "urn:quadtide:sentinel"
 #: Results that wait in a query's queue, at most; static predicates that a query plans with, at most.
 MOST_RESULTS, MOST_PREDICATES = 100_000, 1000
+#: Parts of a live query's content beyond which the smaller half is merged, and rows of a merged part's file.
+MOST_PARTS, PART_ROWS = 32, 1_000_000
 
 
 def _milliseconds(n: int) -> str:
@@ -57,7 +58,9 @@ def assigned(stream: DataFrame, spec: WindowSpec, reach: int = 0, lateness: str
 
 
 def closed_windows(streams: list[tuple[WindowSpec, DataFrame, set[str] | None]], lateness: str = "0 seconds") -> DataFrame:
-    """(by, src, ws, we, at_ms, last_ms and a quad), when the watermark passes a window's end: the content of
+    """Closed windows as a stream for other sinks, kept in Spark's state store, a state row for each quad of
+    each window; LiveQuery keeps parts of files instead, which takes far less for large windows. Rows are
+    (by, src, ws, we, at_ms, last_ms and a quad), when the watermark passes a window's end: the content of
     each instance of window `by` as far as it comes from the stream of window `src`. last_ms: the last
     time of the quad; where src is another window than by, each time of it is a row of its own, at_ms.
 
@@ -79,18 +82,20 @@ def closed_windows(streams: list[tuple[WindowSpec, DataFrame, set[str] | None]],
     return kept.select("by", "src", (we - widths).alias("ws"), we.alias("we"), "at_ms", "last_ms", "quad")
 
 
-def fired(closed: DataFrame, specs: list[WindowSpec]) -> dict[str, DataFrame]:
-    """The contents by window name, with keys (by,) ws, we and last_ms, of the windows that closed."""
-    keys = ["by", "ws", "we"]
-    firings = closed.where("by = src").groupBy(*keys).agg(F.max("last_ms").alias("last_ms"))
-    quads = closed.where("quad IS NOT NULL").drop("last_ms").join(firings, keys)
-    out = {}
-    for k, w in enumerate(specs):
-        first = windows.open_at(w, F.col("last_ms"))
-        mine = (F.col("by") == k) | ((first <= F.col("last_ms")) & (F.col("at_ms") >= first) & (F.col("at_ms") < first + w.width))
-        found = windows.as_set(quads.where(F.col("src") == k).where(mine).select(*keys, "last_ms", "quad.*"), *keys, "last_ms")
-        out[w.name] = found if len(specs) > 1 else found.drop("by")
-    return out
+def taken(streams: list[tuple[DataFrame, set[str] | None]]) -> DataFrame:
+    """What a query keeps of its streams: (src, ts_ms, real and a quad). real: not a sentinel. Quads that no
+    pattern can match (predicates; None: any) count for the times alone and lose their terms."""
+    parts = []
+    for src, (stream, predicates) in enumerate(streams):
+        real = F.coalesce(~F.col("s").startswith(SENTINEL), F.lit(False))
+        wanted = real if predicates is None else real & F.col("p").isin(*predicates)
+        parts.append(stream.where("ts_ms IS NOT NULL").select(F.lit(src).alias("src"), "ts_ms", real.alias("real"), *(F.when(wanted, F.col(c)).alias(c) for c in windows.TERMS)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def ends_between(spec: WindowSpec, after: int | None, upto: int) -> bool:
+    """Whether an instance of the window ends in (after, upto]."""
+    return after is None or (upto - spec.width) // spec.slide > (after - spec.width) // spec.slide
 
 
 class LiveQuery:
@@ -134,9 +139,16 @@ class LiveQuery:
         spark = streams[0][1].sparkSession
         self.use_static(self.static)
         at = self.checkpoint or scratch(spark, "live")
-        self.held = f"{at}/held"
-        writer = closed_windows(streams, self.lateness).writeStream.outputMode("append").option("checkpointLocation", f"{at}/query").trigger(**self.trigger)
-        self.running.append(writer.foreachBatch(self._fire).start())
+        self.held, self.at, self.mark = f"{at}/held", f"{at}/content", None
+        self.late_ms = spark.range(1).select(F.unix_millis(F.timestamp_millis(F.lit(0)) + F.expr(f"INTERVAL '{self.lateness}'"))).first()[0]
+        self.wanted = {w.name: names for w, _, names in streams}
+        self.uris = list(dict.fromkeys(w.stream for w, *_ in streams))
+        both = []
+        for uri in self.uris:
+            names = [self.wanted[w.name] for w, *_ in streams if w.stream == uri]
+            both.append((self.streams[uri], None if None in names else set().union(*names)))
+        writer = taken(both).writeStream.option("checkpointLocation", f"{at}/taken").trigger(**self.trigger)
+        self.running.append(writer.foreachBatch(self._take).start())
         return self
 
     def use_static(self, static: DataFrame | None) -> None:
@@ -147,18 +159,76 @@ class LiveQuery:
             predicates = frozenset(r[0] for r in found) if len(found) <= MOST_PREDICATES else None
         self.static, self.static_predicates = static, predicates
 
-    def _fire(self, batch: DataFrame, number: int) -> None:
-        batch = batch.persist()
-        try:
-            if not batch.limit(1).count():
-                return
-            specs = self.query.live_windows
-            keys = ("ws", "we", "last_ms") if len(specs) == 1 else ("by", "ws", "we", "last_ms")
-            out = self.evaluate({name: Dataset(quads, keys) for name, quads in fired(batch, specs).items()})
-            operator = self.query.operator.lower()
-            self.on_result(out.drop("by") if operator in ("rstream", "stream") else self._changes(out, number))
-        finally:
-            batch.unpersist()
+    def _take(self, batch: DataFrame, number: int) -> None:
+        """Keeps a micro-batch's quads, and evaluates the windows that close with it."""
+        spark, specs = batch.sparkSession, self.query.live_windows
+        before = self._before(spark, number)
+        name = f"{number:09d}"
+        batch.write.mode("overwrite").parquet(f"{self.at}/{name}")
+        found = spark.read.schema(batch.schema).parquet(f"{self.at}/{name}").groupBy("src").agg(F.min("ts_ms"), F.max("ts_ms"), F.count(F.lit(1))).collect()
+        parts, seen, after = list(before["parts"]), dict(before["seen"]), before["closed"]
+        if found:
+            parts.append({"name": name, "high": max(r[2] for r in found), "rows": sum(r[3] for r in found)})
+        for src, _, high, _ in found:
+            seen[str(src)] = max(high, seen.get(str(src), high))
+        upto = min(seen.values()) - self.late_ms if len(seen) == len(self.uris) else None
+        # content that windows ending after some time can hold begins so long before it
+        reach = max(w.width for w in specs) * (1 if len(specs) == 1 else 2)
+        if upto is None or after is not None and upto <= after:
+            upto = after
+        elif any(ends_between(w, after, upto) for w in specs):
+            self._fire(self._content(spark, batch.schema, parts, None if after is None else after - reach).where(F.col("ts_ms") < upto), after, upto, number)
+        if upto is not None:
+            parts = [p for p in parts if p["high"] >= upto - reach]
+        if len(parts) > MOST_PARTS:
+            parts = self._merged(spark, batch.schema, parts, None if upto is None else upto - reach, f"{name}-merged")
+        self._finish(spark, number, {"parts": parts, "seen": seen, "closed": upto})
+
+    def _content(self, spark: SparkSession, schema, parts: list[dict], low: int | None) -> DataFrame:
+        """The rows of parts, from a time on."""
+        paths = [f"{self.at}/{p['name']}" for p in parts if low is None or p["high"] >= low]
+        rows = spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+        return rows if low is None else rows.where(F.col("ts_ms") >= low)
+
+    def _merged(self, spark: SparkSession, schema, parts: list[dict], low: int | None, name: str) -> list[dict]:
+        """The smaller half of the parts as one: a row is written again about once each time the content doubles."""
+        small = sorted(parts, key=lambda p: p["rows"])[: len(parts) // 2 + 1]
+        rows = sum(p["rows"] for p in small)
+        self._content(spark, schema, small, low).coalesce(rows // PART_ROWS + 1).write.mode("overwrite").parquet(f"{self.at}/{name}")
+        return [p for p in parts if p not in small] + [{"name": name, "high": max(p["high"] for p in small), "rows": rows}]
+
+    def _before(self, spark: SparkSession, number: int) -> dict:
+        """The mark of the last micro-batch before this one; what it doesn't name goes, as no micro-batch
+        from this one on, run again or not, reads that."""
+        root = spark._jvm.org.apache.hadoop.fs.Path(self.at)
+        fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+        names = [f.getPath().getName() for f in fs.listStatus(root)] if fs.exists(root) else []
+        last = max((n for n in names if n.endswith(".json") and int(n[:-5]) < number), default=None)
+        if self.mark is None and last is not None:
+            file = fs.open(spark._jvm.org.apache.hadoop.fs.Path(f"{self.at}/{last}"))
+            self.mark = json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(file, "UTF-8"))
+            file.close()
+        mark = self.mark or {"parts": [], "seen": {}, "closed": None}
+        for n in set(names) - {p["name"] for p in mark["parts"]} - {last}:
+            remove(spark, f"{self.at}/{n}")
+        return mark
+
+    def _finish(self, spark: SparkSession, number: int, mark: dict) -> None:
+        write_text(spark, self.at, f"{number:09d}.json", json.dumps(mark))
+        self.mark = mark
+
+    def _fire(self, rows: DataFrame, after: int | None, upto: int, number: int) -> None:
+        """Evaluates the windows that end in (after, upto]. rows: all that can be in them."""
+        streams = []
+        for w in self.query.live_windows:
+            mine = rows.where((F.col("src") == self.uris.index(w.stream)) & F.col("real"))
+            streams.append((w, mine.select("ts_ms", *windows.TERMS), self.wanted[w.name]))
+        if all(windows.ending(windows.assign_live(q.select("ts_ms"), w.width, w.slide), (after, upto)).isEmpty() for w, q, _ in streams):
+            return
+        data = windows.closing_datasets(streams, (after, upto))
+        out = self.evaluate(data)
+        operator = self.query.operator.lower()
+        self.on_result(out.drop("by") if operator in ("rstream", "stream") else self._changes(out, number))
 
     def evaluate(self, data: dict[str, Dataset]) -> DataFrame:
         """The live plan over closed windows: every result, with stamps and, of several windows, `by`."""
@@ -169,7 +239,8 @@ class LiveQuery:
             data[w.name].static, data[w.name].static_predicates = static, self.static_predicates
         first = data[specs[0].name].quads
         outer = Dataset(static if static is not None else first.select(*windows.TERMS).where(F.lit(False)))
-        return stamped(presented(Plan(outer, data).select(self.plan), self.style), self.query)
+        rel = Plan(outer, data).select(self.plan)
+        return stamped(presented(rel, self.style).join(data[specs[0].name].stamps, list(rel.keys)), self.query)
 
     def _changes(self, out: DataFrame, number: int) -> DataFrame:
         """What IStream or DStream says of the windows that closed, given the results of the last ones

@@ -116,6 +116,22 @@ def test_state_is_a_row_for_each_quad(spark):
     assert "collect_" not in plan and plan.count("Aggregate") == 1
 
 
+@pytest.mark.parametrize("operator", ["RStream", "IStream"])
+def test_content_is_written_once(spark, operator):
+    """Without a state store, and a quad of 20 windows is one row of the kept content, not 20."""
+    text = TEXT.replace("RStream", operator).format(items="DISTINCT ?s ?v", r=1000, s=50, body="?s e:reading ?v", rest="")
+    rows = [(10 * k, f"{E}s{k % 5}", E + "reading", str(k % 7), "") for k in range(100)]
+    stream = StreamInput(spark, E + "st")
+    stream.add_all(rows)
+    stream.close(990)
+    live = LiveQuery(text, {E + "st": stream.read()}).start()
+    live.await_end()
+    want = [(r["ws"], r["s"], r["v"]) for r in HybridEvaluation(text, streams=quads_of(spark, rows)).live().collect() if r["we"] <= 990]
+    assert sorted((r["ws"], r["s"], r["v"]) for r in live.collect_results()) == sorted(want) and want
+    assert all(not p.stateOperators for p in live.running[0].recentProgress)
+    assert sum(p["rows"] for p in live.mark["parts"]) == len(rows) + 1
+
+
 def test_function_and_static(spark):
     text = TEXT.format(items="?s ?m", r=1000, s=500, body="?s e:reading ?v", rest="?s e:mean ?m . FILTER(f:absolute_threshold_exceeded(?v, ?m, 2))")
     p = LiveProcessor(spark, text)
