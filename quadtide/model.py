@@ -93,6 +93,18 @@ def number_text(n: Column) -> Column:
     return F.when(F.isnan(n), "NaN").when(size == float("inf"), F.when(n > 0, "INF").otherwise("-INF")).when(whole, n.try_cast("bigint").cast("string")).when(plain, n.cast("string")).otherwise(F.coalesce(long, n.cast("string")))
 
 
+def mean(n: Column) -> Column:
+    """Aggregate: the mean of doubles, each taken as the decimal that its shortest text says, rounded once to a
+    double; so it is the same whatever the order and the partitions of the rows, and a comparison
+    with a threshold that a value meets exactly can't go either way. Where a value has more than 12 decimals or 12
+    digits before them, or is no number, or all are under 0.001, the sum of doubles has to do, whose last bits depend
+    on the order."""
+    d = n.try_cast("decimal(24,12)")
+    exact = (F.count(n) == F.count(F.when(d.cast("double") == n, 1))) & (F.max(F.abs(n)) >= 1e-3)
+    quotient = F.try_divide(F.try_sum(d).try_cast("decimal(30,12)"), F.count(n).cast("decimal(18,0)"))  # 20 decimals
+    return F.coalesce(F.when(exact, quotient.cast("double")), F.avg(n))
+
+
 def escaped(text: Column) -> Column:
     r = F.replace(text, F.lit("\\"), F.lit("\\\\"))
     r = F.replace(r, F.lit('"'), F.lit('\\"'))

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..model import IRI, number_text, parse_number, typed
+from ..model import IRI, mean, number_text, parse_number, typed
 from ..plans.compiler import Rel
 
 #: Preferred names of the variable that holds the entity.
@@ -46,7 +46,7 @@ def statements(rel: Rel, mode: str = "aggregate", last_ws: int | None = None, or
     long = long.where("_anchor IS NOT NULL AND c.lex IS NOT NULL AND c.var <> _anchor_var").select("_anchor", *sort, F.col("c.var").alias("var"), F.col("c.lex").alias("lex"))
     number = parse_number(F.col("lex"))
     kept = long.withColumn("_n", number).groupBy("_anchor", "var").agg(
-        F.avg("_n").alias("mean"), F.count("_n").alias("numbers"), F.count(F.lit(1)).alias("many"), F.max(F.struct(*sort, "lex")).alias("last"))
+        mean(F.col("_n")).alias("mean"), F.count("_n").alias("numbers"), F.count(F.lit(1)).alias("many"), F.max(F.struct(*sort, "lex")).alias("last"))
     value = F.when((F.col("numbers") == F.col("many")), number_text(F.col("mean"))).otherwise(F.col("last.lex"))
     return kept.select(F.col("_anchor").alias("s"), F.concat(F.lit(NAMESPACE), F.col("var")).alias("p"), value.alias("o"))
 

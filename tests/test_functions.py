@@ -1,11 +1,13 @@
 import math
+import random
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
 
 from quadtide import sparql
 from quadtide.functions import anomaly
-from quadtide.model import number_text, parse_number, quads_of
+from quadtide.model import mean, number_text, parse_number, quads_of
 
 
 @pytest.mark.parametrize("name, args, want", [
@@ -80,3 +82,17 @@ def test_deep_expressions_compile(spark):
     q = quads_of(spark, [(0, "http://e/a", "http://e/p", "2", "")])
     deep = "?o" + " + 1" * 40 + " - " + "(" * 12 + "?o" + " * 1)" * 12
     assert sparql.query(q, f"SELECT (({deep}) AS ?r) {{ ?s ?p ?o }}").first()["r"] == "40"
+
+
+def test_mean_whatever_the_order(spark):
+    """The decimals' mean, rounded once; as before where values are no decimals of 12 and 12 digits."""
+    rng = random.Random(7)
+    groups = [[rng.randrange(-99999, 99999) / 100 for _ in range(rng.randrange(1, 90))] for _ in range(60)]
+    rows = [(k, v) for k, g in enumerate(groups) for v in g]
+    for parts in (1, 5):
+        rng.shuffle(rows)
+        got = dict(spark.createDataFrame(rows, "k int, v double").repartition(parts).groupBy("k").agg(mean(F.col("v"))).collect())
+        assert got == {k: float(sum(Fraction(str(v)) for v in g) / len(g)) for k, g in enumerate(groups)}
+    odd = {"null": [None], "part": [None, 3.0, 4.5], "nan": [1.0, math.nan], "inf": [1.0, math.inf], "huge": [1e300, 3e300], "long": [1 / 3, 1 / 7], "tiny": [1e-9, 4e-9], "zero": [0.0, -0.0], "none": [50.1, -50.1]}
+    got = dict(spark.createDataFrame([(k, v) for k, g in odd.items() for v in g], "k string, v double").groupBy("k").agg(mean(F.col("v"))).collect())
+    assert math.isnan(got.pop("nan")) and got == {"null": None, "part": 3.75, "inf": math.inf, "huge": 2e300, "long": pytest.approx(5 / 21, rel=1e-15), "tiny": pytest.approx(2.5e-9, rel=1e-15), "zero": 0.0, "none": 0.0}

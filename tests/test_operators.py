@@ -78,3 +78,16 @@ def test_baseline_join_in_any_namespace(spark):
       WHERE {{ WINDOW e:h {{ ?sensor e:v ?mean }} WINDOW e:l {{ ?sensor e:w ?x }} ?sensor b:mean ?m . FILTER(f:is_outlier(?x, ?m, 2, 3)) }}"""
     got = HybridEvaluation(text, log=q, streams=live).live().collect()
     assert [(r["sensor"], r["x"]) for r in got] == [(E + "s1", "40")]
+
+
+def test_baseline_at_a_threshold(spark, tmp_path):
+    """Readings that are exactly three times their user's mean don't exceed it, in whatever order the
+    baseline's values are added; of these, each sum of doubles is too small."""
+    from quadtide import workload
+
+    users = [([63.87, 70.91, 0.35], 135.13), ([36.33, 71.75, 81.24], 189.32), ([83.19, 31.11, 49.71], 164.01)]
+    rows = [(0, u, v) for u, (past, _) in enumerate(users) for v in past] + [(20, u, x + d) for u, (_, x) in enumerate(users) for d in (0, 1)]
+    events = spark.createDataFrame(rows, "day int, user_id long, value double").selectExpr("monotonically_increasing_id() AS event_id", "make_timestamp_ntz(2024, 1, 1 + day, 1, 0, 0) AS ts", "user_id", "'view' AS event_type", "value")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    got = workload.QUERIES["hybrid_baseline_join"](spark, str(tmp_path)).collect()
+    assert sorted((r["u"], r["x"]) for r in got) == [(f"http://ex.org/user/{u}", x + 1) for u, (_, x) in enumerate(users)]
