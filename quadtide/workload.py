@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import anomaly
-from .model import DECIMAL, IRI, STRING, number_text
+from .model import DECIMAL, IRI, STRING, mean, number_text
 from .operators import baseline as baselines
 from .operators import comparator, windows
 from .plans.compiler import Dataset, Plan, Rel, Wide
@@ -388,7 +388,7 @@ _STATS = "s AS (SELECT user_id, avg(value) AS m, stddev_pop(value) AS sd FROM ev
 def _against_user(spark: SparkSession, sf_dir: str, call: str, boolean: bool) -> DataFrame:
     """Applies a function of the registry in a SPARQL BIND; the user's statistics are quads."""
     w = event_table(spark, sf_dir)
-    by_user = w.df.groupBy("user").agg(F.avg("number").alias("m"), F.stddev_pop("number").alias("sd"))
+    by_user = w.df.groupBy("user").agg(mean(F.col("number")).alias("m"), F.stddev_pop("number").alias("sd"))
     # one row an event with its user's statistics: a wide table again
     df = w.df.join(by_user, "user").select("ts_ms", "event", F.col("number").alias("v"), "m", "sd")
     data = Dataset(df.select(F.lit("").alias("g"), F.lit("").alias("s"), F.lit("").alias("p"), F.lit("").alias("o"), F.lit(0).cast("tinyint").alias("o_kind"), F.lit(None).cast("double").alias("o_num")).where(F.lit(False)),

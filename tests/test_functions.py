@@ -96,3 +96,22 @@ def test_mean_whatever_the_order(spark):
     odd = {"null": [None], "part": [None, 3.0, 4.5], "nan": [1.0, math.nan], "inf": [1.0, math.inf], "huge": [1e300, 3e300], "long": [1 / 3, 1 / 7], "tiny": [1e-9, 4e-9], "zero": [0.0, -0.0], "none": [50.1, -50.1]}
     got = dict(spark.createDataFrame([(k, v) for k, g in odd.items() for v in g], "k string, v double").groupBy("k").agg(mean(F.col("v"))).collect())
     assert math.isnan(got.pop("nan")) and got == {"null": None, "part": 3.75, "inf": math.inf, "huge": 2e300, "long": pytest.approx(5 / 21, rel=1e-15), "tiny": pytest.approx(2.5e-9, rel=1e-15), "zero": 0.0, "none": 0.0}
+
+
+_AT_THRESHOLD = {
+    "rule_catch_up": (-1, [[82.79, 64.45, 28.62], [18.73, 75.01, 1.87], [55.53, 37.27, 1.4]]),
+}
+
+
+@pytest.mark.parametrize("name", sorted(_AT_THRESHOLD))
+def test_rule_at_its_threshold(spark, tmp_path, name):
+    """Each group's last value is exactly at the threshold to its mean, which isn't over it, in whatever order
+    the values are added; each sum of doubles says that it is. With a step beyond, it is over."""
+    from quadtide import workload
+
+    step, groups = _AT_THRESHOLD[name]
+    users = [*groups, *([*g[:2], g[2] + step] for g in groups)]
+    rows = [(10 * u + k, u, v) for u, g in enumerate(users) for k, v in enumerate(g)]
+    spark.createDataFrame(rows, "event_id long, user_id long, value double").selectExpr("event_id", "TIMESTAMP_NTZ '2024-01-01 00:00:00' AS ts", "user_id", "'view' AS event_type", "value").write.parquet(str(tmp_path / "events.parquet"))
+    got = {int(r["e"].split("/")[-1]) for r in workload.QUERIES[name](spark, str(tmp_path)).collect()}
+    assert {e for e in got if e % 10 == 2} == {10 * u + 2 for u in range(len(groups), len(users))}
