@@ -99,6 +99,7 @@ def test_mean_whatever_the_order(spark):
 
 
 _AT_THRESHOLD = {
+    "rule_absolute": (1, [[83.19, 31.11, 117.15], [79.6, 4.0, 101.8], [69.78, 66.4, 128.09]]),
     "rule_catch_up": (-1, [[82.79, 64.45, 28.62], [18.73, 75.01, 1.87], [55.53, 37.27, 1.4]]),
 }
 
