@@ -168,6 +168,30 @@ def test_goes_on_from_its_checkpoint(spark, tmp_path, operator, monkeypatch):
     assert len(q.mark["parts"]) <= 2
 
 
+def test_lateness(spark):
+    """Windows close so much later, and what comes in between still counts."""
+    stream, e = StreamInput(spark, E + "st"), lambda t, v: [(t, E + "s", E + "reading", v, "")]
+    for rows in (e(500, "1"), e(1900, "2"), e(600, "3"), e(2100, "4"), e(700, "5"), e(2999, "6")):
+        stream.add_all(rows)
+        time.sleep(0.01)
+    live = LiveQuery(TEXT.format(items="?v", r=1000, s=1000, body="?s e:reading ?v", rest=""), {E + "st": stream.read(max_files=1)}, lateness="1 second").start()
+    live.await_end()
+    assert sorted((r["ws"], r["v"]) for r in live.collect_results()) == [(0, "1"), (0, "3")]
+
+
+def test_closed_windows(spark):
+    """The state store's stream of closed windows has the windows' quads."""
+    live = LiveProcessor(spark, TEXT.format(items="?s ?v", r=1000, s=500, body="?s e:reading ?v", rest=""))
+    stream = live.register_stream(E + "st")
+    rows = [(100 * k, f"{E}s{k % 3}", E + "reading", str(k % 4), "") for k in range(30)]
+    stream.add_all(rows)
+    stream.close(2900)
+    found = closed_windows([(live.query.live_windows[0], stream.read(), None)])
+    found.writeStream.format("memory").queryName("closed").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    got = {(r["ws"], r["we"], r["s"], r["o"]) for r in spark.table("closed").select("ws", "we", "quad.*").collect()}
+    assert got == {(ws, ws + 1000, s, o) for t, s, _, o, _ in rows for ws in range(-500, 1901, 500) if ws <= t < ws + 1000}
+
+
 def test_function_and_static(spark):
     text = TEXT.format(items="?s ?m", r=1000, s=500, body="?s e:reading ?v", rest="?s e:mean ?m . FILTER(f:absolute_threshold_exceeded(?v, ?m, 2))")
     p = LiveProcessor(spark, text)
