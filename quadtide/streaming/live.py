@@ -139,7 +139,7 @@ class LiveQuery:
         spark = streams[0][1].sparkSession
         self.use_static(self.static)
         at = self.checkpoint or scratch(spark, "live")
-        self.held, self.at, self.mark = f"{at}/held", f"{at}/content", None
+        self.held, self.at, self.mark = f"{at}/changes", f"{at}/content", None
         self.late_ms = spark.range(1).select(F.unix_millis(F.timestamp_millis(F.lit(0)) + F.expr(f"INTERVAL '{self.lateness}'"))).first()[0]
         self.wanted = {w.name: names for w, _, names in streams}
         self.uris = list(dict.fromkeys(w.stream for w, *_ in streams))
