@@ -8,6 +8,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: How written tables reach a local folder. Hadoop's checksummed local files take a chmod process each, and
+#: more for the checksum's file, where its native library is missing; each is a fork of a whole JVM.
+LOCAL = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
 
 def workspace(spark: SparkSession) -> str:
     """spark.checkpoint.dir; in local mode without it, a temporary folder."""
@@ -43,7 +47,7 @@ def scratch(spark: SparkSession, label: str) -> str:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back; it survives lost executors."""
     spark, path = df.sparkSession, scratch(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.options(**LOCAL).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quadtide_path = path
     return out

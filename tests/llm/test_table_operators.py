@@ -585,3 +585,17 @@ def test_recordings(spark):
     got = {r["rec_id"]: r["media"] for r in chroma.recordings(df).collect()}
     assert got[2] is None and len(chroma.decode_wav(bytes(got[1]))) == chroma.NOTES * chroma.NOTE_SAMPLES and len(chroma.decode_wav(bytes(got[3]))) == 0
     assert F is not None
+
+
+def test_written_tables_have_no_checksum_files(spark):
+    """Each is a chmod process, or more, of the writing JVM."""
+    import os
+
+    df = spark.range(1000).repartition(5)
+    out = common.materialize(df, "plain")
+    folder = out._quadtide_path.removeprefix("file://")
+    names = os.listdir(folder)
+    assert sum(n.startswith("part-") for n in names) == 5 and not [n for n in names if n.endswith(".crc")]
+    assert out.agg(F.sum("id")).first()[0] == 499500
+    common.discard(out)
+    assert not os.path.exists(folder)
