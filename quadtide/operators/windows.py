@@ -27,6 +27,25 @@ def as_set(quads: DataFrame, *keys: str) -> DataFrame:
     return quads.select(*keys, *TERMS).dropDuplicates([*keys, "s", "p", "o", "g", "o_kind"])
 
 
+def _name(quads: DataFrame) -> DataFrame:
+    return quads.withColumn("_name", F.xxhash64("s", "p", "o", "g", "o_kind"))
+
+
+def repeated(quads: DataFrame) -> DataFrame:
+    """Hashes of the quads that occur more than once, at whatever times, and maybe a few of others (a
+    collision): a quad that isn't among them is once in each of its windows."""
+    return _name(quads).groupBy("_name").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_name")
+
+
+def as_set_but(quads: DataFrame, repeats: DataFrame | None, *keys: str) -> DataFrame:
+    """as_set, where only the quads of repeats (few; None: none at all) can repeat."""
+    if repeats is None:
+        return quads.select(*keys, *TERMS)
+    named, few = _name(quads), F.broadcast(repeats)
+    rest = named.join(few, "_name", "left_anti").select(*keys, *TERMS)
+    return rest.unionByName(as_set(named.join(few, "_name", "left_semi"), *keys))
+
+
 def fixed(quads: DataFrame, start_ms: int, end_ms: int, unique: bool = False) -> DataFrame:
     """The contents of one closed interval; unique: quads are known not to repeat in it."""
     inside = time_range(quads, start_ms, end_ms)
@@ -113,16 +132,16 @@ def ending(assigned: DataFrame, closing: tuple[int | None, int] | None) -> DataF
     return found if after is None else found.where(F.col("we") > after)
 
 
-def closing_datasets(streams: list[tuple[WindowSpec, DataFrame, set[str] | None]], closing: tuple[int | None, int]) -> dict[str, Dataset]:
+def closing_datasets(streams: list[tuple[WindowSpec, DataFrame, set[str] | None]], closing: tuple[int | None, int], sets=as_set) -> dict[str, Dataset]:
     """The datasets of the live windows that end in (after, upto], as joined_live_datasets takes and has them;
-    for one window by itself without the key by."""
+    for one window by itself without the key by, and made a set by `sets`."""
     if len(streams) > 1:
         return joined_live_datasets(streams, closing)
     (w, quads, names), = streams
     assigned = ending(assign_live(quads, w.width, w.slide), closing)
     wanted = assigned if names is None else assigned.where(F.col("p").isin(*names))
     stamps = assigned.groupBy("ws", "we").agg(F.max("ts_ms").alias("last_ms"))
-    return {w.name: Dataset(as_set(wanted, "ws", "we"), ("ws", "we"), stamps=stamps)}
+    return {w.name: Dataset(sets(wanted, "ws", "we"), ("ws", "we"), stamps=stamps)}
 
 
 def open_at(spec: WindowSpec, at):

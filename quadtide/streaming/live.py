@@ -30,13 +30,16 @@ from ..plans.ast import Group, HybridQuery, WindowSpec, bodies, wanted_predicate
 from ..plans.compiler import Dataset, Plan, presented
 from ..plans.hybrid import _rewrite, split, stamped, streamed
 from ..plans.parser import parse_hybrid
-from ..workspace import remove, scratch, write_text
+from ..workspace import discard, materialize, remove, scratch, write_text
 
 SENTINEL = "urn:quadtide:sentinel"
 #: Results that wait in a query's queue, at most; static predicates that a query plans with, at most.
 MOST_RESULTS, MOST_PREDICATES = 100_000, 1000
 #: Parts of a live query's content beyond which the smaller half is merged, and rows of a merged part's file.
 MOST_PARTS, PART_ROWS = 32, 1_000_000
+#: Rows of content from which on repeated quads are looked for before quads are put into windows, and the most
+#: that are then made a set by themselves.
+LOOK_ROWS, MOST_REPEATS = 1_000_000, 100_000
 
 
 def _milliseconds(n: int) -> str:
@@ -177,7 +180,9 @@ class LiveQuery:
         if upto is None or after is not None and upto <= after:
             upto = after
         elif any(ends_between(w, after, upto) for w in specs):
-            self._fire(self._content(spark, batch.schema, parts, None if after is None else after - reach).where(F.col("ts_ms") < upto), after, upto, number)
+            low = None if after is None else after - reach
+            many = sum(p["rows"] for p in parts if low is None or p["high"] >= low)
+            self._fire(self._content(spark, batch.schema, parts, low).where(F.col("ts_ms") < upto), after, upto, number, many)
         if upto is not None:
             parts = [p for p in parts if p["high"] >= upto - reach]
         if len(parts) > MOST_PARTS:
@@ -217,18 +222,26 @@ class LiveQuery:
         write_text(spark, self.at, f"{number:09d}.json", json.dumps(mark))
         self.mark = mark
 
-    def _fire(self, rows: DataFrame, after: int | None, upto: int, number: int) -> None:
-        """Evaluates the windows that end in (after, upto]. rows: all that can be in them."""
+    def _fire(self, rows: DataFrame, after: int | None, upto: int, number: int, many: int = 0) -> None:
+        """Evaluates the windows that end in (after, upto]. rows: all that can be in them, at most `many`."""
         streams = []
         for w in self.query.live_windows:
             mine = rows.where((F.col("src") == self.uris.index(w.stream)) & F.col("real"))
             streams.append((w, mine.select("ts_ms", *windows.TERMS), self.wanted[w.name]))
         if all(windows.ending(windows.assign_live(q.select("ts_ms"), w.width, w.slide), (after, upto)).isEmpty() for w, q, _ in streams):
             return
-        data = windows.closing_datasets(streams, (after, upto))
-        out = self.evaluate(data)
+        found, sets = None, windows.as_set
+        if len(streams) == 1 and many >= LOOK_ROWS:
+            _, quads, names = streams[0]
+            found = materialize(windows.repeated(quads if names is None else quads.where(F.col("p").isin(*names))), "live-repeated")
+            repeats = found.count()
+            if repeats <= MOST_REPEATS:
+                sets = lambda quads, *keys: windows.as_set_but(quads, found if repeats else None, *keys)
+        out = self.evaluate(windows.closing_datasets(streams, (after, upto), sets))
         operator = self.query.operator.lower()
         self.on_result(out.drop("by") if operator in ("rstream", "stream") else self._changes(out, number))
+        if found is not None:
+            discard(found)
 
     def evaluate(self, data: dict[str, Dataset]) -> DataFrame:
         """The live plan over closed windows: every result, with stamps and, of several windows, `by`."""

@@ -168,6 +168,26 @@ def test_goes_on_from_its_checkpoint(spark, tmp_path, operator, monkeypatch):
     assert len(q.mark["parts"]) <= 2
 
 
+@pytest.mark.parametrize("most, again, made_sets", [(100, 0, 0), (100, 7, 7), (3, 7, 107)])
+def test_only_repeated_quads_are_made_a_set(spark, monkeypatch, most, again, made_sets):
+    from quadtide.operators import windows
+    from quadtide.streaming import live
+
+    seen, as_set = [], windows.as_set
+    monkeypatch.setattr(live, "LOOK_ROWS", 0)
+    monkeypatch.setattr(live, "MOST_REPEATS", most)
+    monkeypatch.setattr(windows, "as_set", lambda quads, *keys: seen.append(quads.select("s").distinct().count()) or as_set(quads, *keys))
+    rows = [(100 * k, f"{E}s{k}", p, str(k % 7), "") for k in range(100) for p in (E + "a", E + "b")]
+    rows += [(100 * k + d, f"{E}s{k}", E + "a", str(k % 7), "") for k in range(again) for d in (0, 450, 1900)]
+    rows.sort()
+    text = TEXT.format(items="?x (COUNT(?s) AS ?n)", r=2000, s=500, body="?s e:a ?x ; e:b ?y", rest="") + " GROUP BY ?x"
+    got = sorted((r["we"], r["x"], r["n"]) for r in run(spark, text, rows, 12000))
+    monkeypatch.setattr(windows, "as_set", as_set)
+    want = sorted((r["we"], r["x"], r["n"]) for r in HybridEvaluation(text, streams=quads_of(spark, rows)).live().collect() if r["we"] <= 12000)
+    assert got == want and len(got) > 100
+    assert sum(seen) == min(made_sets, 100)
+
+
 def test_lateness(spark):
     """Windows close so much later, and what comes in between still counts."""
     stream, e = StreamInput(spark, E + "st"), lambda t, v: [(t, E + "s", E + "reading", v, "")]
