@@ -30,7 +30,7 @@ from ..plans.ast import Group, HybridQuery, WindowSpec, bodies, wanted_predicate
 from ..plans.compiler import Dataset, Plan, presented
 from ..plans.hybrid import _rewrite, split, stamped, streamed
 from ..plans.parser import parse_hybrid
-from ..workspace import discard, materialize, remove, scratch, write_text
+from ..workspace import remove, scratch, write_text
 
 SENTINEL = "urn:quadtide:sentinel"
 #: Results that wait in a query's queue, at most; static predicates that a query plans with, at most.
@@ -233,7 +233,9 @@ class LiveQuery:
         found, sets = None, windows.as_set
         if len(streams) == 1 and many >= LOOK_ROWS:
             _, quads, names = streams[0]
-            found = materialize(windows.repeated(quads if names is None else quads.where(F.col("p").isin(*names))), "live-repeated")
+            at = f"{self.at}/{number:09d}-repeated"
+            windows.repeated(quads if names is None else quads.where(F.col("p").isin(*names))).write.mode("overwrite").parquet(at)
+            found = rows.sparkSession.read.schema("_name long").parquet(at)
             repeats = found.count()
             if repeats <= MOST_REPEATS:
                 sets = lambda quads, *keys: windows.as_set_but(quads, found if repeats else None, *keys)
@@ -241,7 +243,7 @@ class LiveQuery:
         operator = self.query.operator.lower()
         self.on_result(out.drop("by") if operator in ("rstream", "stream") else self._changes(out, number))
         if found is not None:
-            discard(found)
+            remove(rows.sparkSession, at)
 
     def evaluate(self, data: dict[str, Dataset]) -> DataFrame:
         """The live plan over closed windows: every result, with stamps and, of several windows, `by`."""
