@@ -390,22 +390,25 @@ def written(spans: list[tuple[int, int, int]]) -> str:
 
 
 def detect(docs: DataFrame) -> DataFrame:
-    """doc_id, counts of all spans by kind, base_sha256 and spans of each row."""
+    """doc_id, counts of all spans by kind, base_sha256, spans, and counts of base spans by kind of each row."""
     prepare(docs.sparkSession)
     w = weights()
 
     def apply(batches):
         for b in batches:
-            counts, base_sha, spans = [[] for _ in KINDS], [], []
+            counts, base_counts, base_sha, spans = [[] for _ in KINDS], [[] for _ in KINDS], [], []
             for t in b.column("text").to_pylist():
                 base, every = find(t, w)
                 for k in range(len(KINDS)):
                     counts[k].append(sum(x[1] == k for x in every))
+                    base_counts[k].append(sum(x[1] == k for x in base))
                 base_sha.append(hashlib.sha256(written(base).encode()).hexdigest())
                 spans.append(written(every))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(base_sha, pa.string()), pa.array(spans, pa.string())], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(base_sha, pa.string()), pa.array(spans, pa.string()), *(pa.array(c, pa.int64()) for c in base_counts)],
+                ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", *(f"base_{k}" for k in KINDS)])
 
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string"
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, " + ", ".join(f"base_{k} long" for k in KINDS)
     return docs.select("doc_id", "text").mapInArrow(apply, schema)
 
 

@@ -10,7 +10,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quadtide.llm import bestfit, bpe, packing, pii, quality, tokenbin, tokens, urlfilter
+from quadtide.llm import bestfit, bpe, packing, pii, quality, queries, tokenbin, tokens, urlfilter
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -309,6 +309,19 @@ def test_pii_table(spark):
     assert pii.detect(docs(spark, [])).count() == 0
 
 
+def test_pii_query_counts_base_spans(spark, tmp_path):
+    """n_ columns and base_sha256 are of the fixed patterns alone; what the field adds is in spans and all_ columns."""
+    texts = [None, "", "call +1 (375) 555-4393 ... again (375) 555-4393", "pay 4111 1111 1111 1111 or 4111/1111/1111/1111, mail joe.1@example.com or joe.1@localhost, ip 1.2.3.4"]
+    docs(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {r["doc_id"]: r for r in queries.op3_pii(spark, str(tmp_path)).collect()}
+    for k, t in enumerate(texts):
+        base, every = plain_spans(t or ""), pii.find(t)[1]
+        assert [rows[k][f"n_{x}"] for x in pii.KINDS] == [sum(s[1] == n for s in base) for n in range(4)]
+        assert [rows[k][f"all_{x}"] for x in pii.KINDS] == [sum(s[1] == n for s in every) for n in range(4)]
+        assert rows[k]["base_sha256"] == hashlib.sha256(pii.written(base).encode()).hexdigest() and rows[k]["spans"] == pii.written(every)
+    assert (rows[2]["n_phone"], rows[2]["all_phone"]) == (1, 2) and rows[3]["n_email"] < rows[3]["all_email"]
+
+
 def test_field_on_held_out_documents():
     rng, hit, false, missed = random.Random(4242), 0, 0, 0
     for _ in range(200):
